@@ -13,9 +13,11 @@ columns of the input are ignored. A null id is kept as null.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,42 +46,74 @@ def cuts(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[tuple[int,
     return out
 
 
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where printable in Latin-1,
+    else the next free code point from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in plain else next(free)) for b in range(256)]
+
+
+STAND_IN = _byte_letters()
+#: A word that is one run of letters and perhaps one of marks after it: two pre-tokens.
+SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+
+
 class WordEncoder:
     """Token ids of texts for a vocabulary whose pre-tokens never cross white space.
 
-    Ids of a word are cached as little-endian 32-bit bytes; the cache has two generations, of which the
-    older is dropped when the younger is full.
+    Ids of a word are cached as little-endian 32-bit bytes, and so are those of the letters and marks that
+    simple words consist of; only other words take the whole path of normaliser and pre-tokeniser. A cache
+    has two generations, of which the older is dropped when the younger is full.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
-        self.model, self.limit = Tokenizer.from_file(path), limit // 2
+        self.whole, self.limit = Tokenizer.from_file(path), limit // 2
+        self.model = self.whole.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def part(self, pre: str) -> bytes:
+        ids = self.parts.get(pre)
+        if ids is None:
+            if len(self.parts) > self.limit:
+                self.parts = {"": b""}
+            letters = pre if pre.isascii() else "".join([STAND_IN[b] for b in pre.encode()])
+            ids = self.parts[pre] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def word(self, w: str) -> bytes | None:
+        """Ids of a simple word; None for any other."""
+        low = w.lower()
+        m = SIMPLE.fullmatch(low)
+        if m and (w.isascii() or m[1].isalpha() and "\u03a3" not in w and is_normalized("NFC", w) and is_normalized("NFC", low)):
+            return self.part(m[1]) + self.part(m[2])
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         split = [t.split() for t in texts]
-        new = []
-        for w in set().union(*split):
-            if w not in young:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    young[w] = ids
-        if new:
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        other = []
+        for w in set().union(*split).difference(young):
+            ids = old.get(w)
+            if ids is None and (ids := self.word(w)) is None:
+                other.append(w)
+            else:
+                young[w] = ids
+        if other:
+            for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
                 young[w] = array("I", e.ids).tobytes()
         get = young.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else b"" for ws in split]
+        return [b"".join(map(get, ws)) for ws in split]
 
     def encode_odd(self, text: str) -> bytes:
         """For texts with separators that Python, but not the vocabulary's rule, takes as white space."""
-        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
