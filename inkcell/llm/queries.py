@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, edit_tokens, langid, packing, quality, topk, toxicity, warc
+from . import decontam, edit_tokens, langid, ngram_join, packing, quality, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_tokens.self_edits(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_blocked_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_lattice_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_norm_sorted_top_k": op6_norm_sorted_top_k,
     "op7_ppm_language_id": op7_ppm_language_id,
     "op8_edit_aware_counts": op8_edit_aware_counts,
+    "op9_blocked_jaccard": op9_blocked_jaccard,
     "op10_lattice_toxicity": op10_lattice_toxicity,
 }
 SQL: dict[str, str] = {"op2_winnowing_decontamination": OP2_SQL, "op4_dictionary_warc": OP4_SQL, "op6_norm_sorted_top_k": OP6_SQL}
