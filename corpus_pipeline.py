@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkcell.llm import decontam, packing
+from inkcell.llm import decontam, ngram_join, packing, suffix_dedup, toxicity
 from inkcell.llm.common import materialize
 from inkcell.llm.queries import table, word_vocabulary
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; labels of the training fold teach."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
+    return ngram_join.keep_first(docs, k=5, percent=80)
+
+
+def cut_copied_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without bytes that repeat 200 bytes or more of an earlier place."""
+    return suffix_dedup.remove_later(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,18 +30,23 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; the last stage."""
     return packing.pack(docs, word_vocabulary())
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_copied_passages),
     ("benchmark decontamination", drop_leaks),
     ("packing", pack),
 ]
-#: Tokenisation and model scores have no SQL form; tests hold the stages against brute force.
+#: Model scores and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each writes Parquet that the next one reads."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

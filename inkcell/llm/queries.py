@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, edit_tokens, langid, ngram_join, packing, quality, topk, toxicity, warc
+from . import decontam, edit_tokens, langid, ngram_join, packing, quality, suffix_dedup, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ from v
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.copies(table(spark, sf_dir, "documents")))
+
+
 def op6_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
     "op3_additive_quality": op3_additive_quality,
     "op4_dictionary_warc": op4_dictionary_warc,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_norm_sorted_top_k": op6_norm_sorted_top_k,
     "op7_ppm_language_id": op7_ppm_language_id,
     "op8_edit_aware_counts": op8_edit_aware_counts,
