@@ -5,6 +5,528 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import cells, decode, encode, tags, text
+from .functions import tables as t
+from .operators import annotations, compare, layout, lines, nav, physical, semantics
+from .plans import views as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL it must equal if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+KNOWN = "[^" + cells.KNOWN_CLASS + r"\n\r\f]"
+ACCEPTED, PLAIN, AS_UNICODE, ASCII = quoted(cells.ACCEPTED), quoted(cells.PLAIN), quoted(cells.AS_UNICODE), quoted(t.BRAILLE_ASCII)
+NORM = lambda x: f"regexp_replace(translate({x}, '`', '@'), '\\s+$', '')"
+
+
+# ---- lines
+
+
+@query(f"with {V.FED} select doc_id, (row_number() over (partition by doc_id order by page_index, line_index) - 1)::int as global_index, page_index, line_index, raw_ascii from pl")
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.parse(V.fed_texts(spark, sf_dir))
+
+
+@query(f"""with {V.FED}, n as (select doc_id, count(*) as n from pl group by doc_id)
+select kept.doc_id, len(pages)::int as page_count, coalesce(n, 0)::int as line_count, feed as has_trailing_formfeed from kept left join n using (doc_id)""")
+def page_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.documents(V.fed_texts(spark, sf_dir))
+
+
+@query(f"""with {V.FED}, t as (select doc_id, page_index, string_agg(raw_ascii || chr(10), '' order by line_index) as page from pl group by doc_id, page_index),
+d as (select pg.doc_id, bool_or(feed) as feed, string_agg(coalesce(t.page, ''), chr(12) order by pg.page_index) as text from pg left join t on pg.doc_id = t.doc_id and pg.page_index = t.page_index group by pg.doc_id)
+select doc_id, md5(text || case when feed then chr(12) else '' end) as digest, length(text || case when feed then chr(12) else '' end)::int as n from d""")
+def brf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fed = V.fed_texts(spark, sf_dir)
+    return lines.serialize(lines.parse(fed), lines.documents(fed)).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
+
+
+@query(f"""with {V.FED}, t as (select doc_id, page_index, string_agg(raw_ascii, chr(10) order by line_index) as page from pl group by doc_id, page_index)
+select doc_id, md5(string_agg(page, chr(12) order by page_index)) as digest from t group by doc_id""")
+def brf_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.serialize(lines.parse(V.fed_texts(spark, sf_dir)), end="").select("doc_id", F.md5("text").alias("digest"))
+
+
+# ---- cells
+
+
+@query(f"select doc_id, translate(regexp_replace(translate(text, '`', '@'), {quoted(KNOWN)}, '�', 'g'), {ACCEPTED}, {AS_UNICODE}) as cells from documents")
+def ascii_to_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", cells.to_unicode(cells.normalize(F.col("text"))).alias("cells"))
+
+
+@query(f"select doc_id, translate(regexp_replace(text, {quoted(KNOWN)}, '?', 'g'), {ACCEPTED}, {PLAIN}) as plain from documents")
+def unicode_to_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.translate(cells.from_unicode(cells.to_unicode(F.col("text"))), "�", "?").alias("plain"))
+
+
+@query(f"""with {V.LINES} select doc_id, n, case when raw_ascii = '' then '' else array_to_string(list_transform(string_split(raw_ascii, ''), lambda c:
+  greatest(instr({ASCII}, translate(c, {ACCEPTED}, {PLAIN})) - 1, 0)::varchar), ',') end as cells from l""")
+def cells_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).select("doc_id", "n", F.array_join(F.transform(cells.cells(F.col("raw_ascii")), lambda x: x.cast("string")), ",").alias("cells"))
+
+
+@query(f"with {V.LINES} select doc_id, n, not regexp_matches(raw_ascii, {quoted(KNOWN)}) as ok from l")
+def roundtrip_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).select("doc_id", "n", cells.round_trip_ok(F.col("raw_ascii")).alias("ok"))
+
+
+# ---- comparison
+
+OVERLAP = """case when a = '' and b = '' then 1 else coalesce(list_sum(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: case when a[i] = b[i] then 1 else 0 end)), 0) end::bigint"""
+COMPARED = f"""{V.PAIR}, j as (
+  select coalesce(g.doc_id, r.doc_id) as doc_id, coalesce(g.page_index, r.page_index) as page_index, coalesce(g.line_index, r.line_index) as line_index,
+    coalesce(g.raw_ascii, '') as generated, coalesce(r.raw_ascii, '') as reference, g.doc_id is not null as in_generated, r.doc_id is not null as in_reference
+  from g full join r on g.doc_id = r.doc_id and g.page_index = r.page_index and g.line_index = r.line_index
+), jn as (select *, {NORM('generated')} as a, {NORM('reference')} as b from j),
+c as (select doc_id, page_index, line_index, generated, reference, in_generated, in_reference, a = b as matched, {OVERLAP} as cell_equal, greatest(length(a), length(b), case when a = '' and b = '' then 1 else 0 end)::bigint as cell_total from jn)"""
+TOTALS = """sum(in_generated::int)::bigint as generated_lines, sum(in_reference::int)::bigint as reference_lines, sum(matched::int)::bigint as matched_lines, sum(cell_equal)::bigint as cell_equal, sum(cell_total)::bigint as cell_total"""
+
+
+@query(f"with {V.LINES}, x as (select doc_id, n, {NORM('raw_ascii')} as a, {NORM(chr(116) + 'ranslate(raw_ascii, ' + quoted('eo') + ', ' + quoted('oe') + ')')} as b from l) select doc_id, n, {OVERLAP} as cell_equal, greatest(length(a), length(b), case when a = '' and b = '' then 1 else 0 end)::bigint as cell_total from x")
+def cell_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.lines(spark, sf_dir).withColumns({"a": text.norm_line(F.col("raw_ascii")), "b": text.norm_line(F.translate("raw_ascii", "eo", "oe"))})
+    return rows.select("doc_id", "n", compare.equal_cells(F.col("a"), F.col("b")).cast("long").alias("cell_equal"), compare.total_cells(F.col("a"), F.col("b")).cast("long").alias("cell_total"))
+
+
+@query(f"with {COMPARED} select doc_id, page_index, line_index, generated, reference, in_generated, in_reference, matched, cell_equal, cell_total from c")
+def page_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.compare_lines(*V.pair(spark, sf_dir))
+
+
+@query(f"""with {COMPARED}, s as (select doc_id, {TOTALS} from c group by doc_id)
+select *, matched_lines / greatest(generated_lines, reference_lines, 1) as line_match_ratio, case when cell_total = 0 then 1.0::double else cell_equal / cell_total end as cell_match_ratio from s""")
+def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.summary(compare.compare_lines(*V.pair(spark, sf_dir)))
+
+
+@query(f"with {COMPARED} select doc_id, {TOTALS} from c where page_index < 2 group by doc_id")
+def page_limit_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.summary(compare.compare_lines(*V.pair(spark, sf_dir), page_limit=2)).drop("line_match_ratio", "cell_match_ratio")
+
+
+@query(f"with {COMPARED}, d as (select *, row_number() over (partition by doc_id order by page_index, line_index)::int as nth from c where not matched) select doc_id, nth, page_index, line_index, generated, reference, cell_equal, cell_total, cell_equal / cell_total as match_ratio from d where nth <= 5")
+def topn_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.first_diffs(compare.compare_lines(*V.pair(spark, sf_dir)), 5).select("doc_id", "nth", "page_index", "line_index", "generated", "reference", "cell_equal", "cell_total", "match_ratio")
+
+
+# ---- encoding
+
+SYLLABLES = quoted(encode.SYLLABLE_LIST)
+RANGE_SQL = r"\[\s*[0-9]{1,2}\s*[~\-–—]\s*[0-9]{1,2}\s*\]"
+SINGLES = {" ": " ", "\t": " "} | t.WORDS | {c: f"7#{b}7" for c, b in zip(t.CIRCLED, t.CIRCLED_CELLS, strict=True)} | t.INK_PUNCTUATION
+SINGLES_SQL = "map {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in SINGLES.items()) + "}"
+DIGITS_SQL = lambda x: f"'#' || translate({x}, '1234567890', 'abcdefghij')"
+IS_SYLLABLE = lambda x: f"(unicode({x}) between 44032 and 55203)"
+
+
+def encode_sql(source: str, column: str) -> str:
+    """Encoding of lines as SQL: the same tokens, looked up in the same tables."""
+    held = "regexp_replace(translate(tok, '(),', chr(1) || chr(2) || chr(3)), '([A-Z])', ',\\1', 'g')"
+    latin = f"'0' || replace(replace(replace(lower({held}), chr(1), '8'''), chr(2), ',0'), chr(3), '1')"
+    span = lambda i: f"regexp_extract(tok, '([0-9]{{1,2}})[^0-9]+([0-9]{{1,2}})', {i})::int::varchar"
+    token = quoted("|".join([RANGE_SQL, *sorted(t.WORDS, key=lambda w: (-len(w), w)), "[0-9]+", encode.LATIN, r"(?s:.)"]))
+    return f"""{source}, eh as (select doc_id, n, {column} as x, regexp_extract({column}, {quoted(encode.NUMBER)}, 1) as head from {'k' if column == 'ink' else 'l'}),
+et as (select doc_id, n, head, regexp_extract_all(case when head <> '' then regexp_replace(x, {quoted(encode.NUMBER)}, '') else x end, {token}) as toks from eh),
+tab as (select string_split({SYLLABLES}, '|') as syl, {SINGLES_SQL} as one),
+eu as (select doc_id, n, head, tab.syl, tab.one, toks[i] as tok, i, toks[i + 1] as nxt, toks[i + 2] as aft from (select *, unnest(range(1, len(toks) + 1)) as i from et), tab),
+ec as (
+  select doc_id, n, i, case
+    when regexp_matches(tok, '^[0-9]') then {DIGITS_SQL('tok')} || case when coalesce({IS_SYLLABLE('left(nxt, 1)')} and (unicode(left(nxt, 1)) - 44032) // 588 <> 11 and not (nxt = '교' and coalesce(aft, '') = '시'), false) then ' ' else '' end
+    when regexp_matches(tok, '^[A-Za-z]') then {latin}
+    when one[tok] is not null then one[tok]
+    when starts_with(tok, '[') and length(tok) > 1 then '82' || {DIGITS_SQL(span(1))} || '`9' || {DIGITS_SQL(span(2))} || ';0'
+    when {IS_SYLLABLE('tok')} then syl[unicode(tok) - 44031]
+    when unicode(tok) between 12593 and 12686 then '?' else '' end as c
+  from eu
+), ea as (select doc_id, n, string_agg(c, '' order by i) as body from ec group by doc_id, n)
+select et.doc_id, et.n, case when head <> '' then {DIGITS_SQL('head::int::varchar')} || '4 ' else '' end || coalesce(body, '') as cells from et left join ea on et.doc_id = ea.doc_id and et.n = ea.n"""
+
+
+@query(f"select doc_id, {DIGITS_SQL('n_chars::varchar')} as number, '82' || {DIGITS_SQL('(doc_id % 45)::varchar')} || '`9' || {DIGITS_SQL('(doc_id % 45 + 3)::varchar')} || ';0' as span from documents")
+def encode_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = F.concat(F.lit("[ "), (F.col("doc_id") % 45).cast("string"), F.lit("~"), (F.col("doc_id") % 45 + 3).cast("string"), F.lit(" ]"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", encode.number(F.col("n_chars").cast("string")).alias("number"), encode.passage_range(span).alias("span"))
+
+
+@query(f"with s as (select string_split({SYLLABLES}, '|') as syl) select event_id, chr((44032 + event_id % 11172)::int) as ink, syl[event_id % 11172 + 1] as cells from events, s")
+def encode_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = "".join(chr(0xAC00 + i) for i in range(len(t.SYLLABLES)))
+    rows = V.table(spark, sf_dir, "events").select("event_id", F.substring(F.lit(every), (F.col("event_id") % 11172 + 1).cast("int"), F.lit(1)).alias("ink"))
+    return rows.select("event_id", "ink", encode.syllable(F.col("ink")).alias("cells"))
+
+
+@query("with " + encode_sql(V.INK, "ink"))
+def encode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.ink(spark, sf_dir).select("doc_id", "n", encode.line(F.col("ink")).alias("cells"))
+
+
+@query("with " + encode_sql(V.LINES, "raw_ascii"))
+def encode_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).select("doc_id", "n", encode.line(F.col("raw_ascii")).alias("cells"))
+
+
+@query("""with b as (select item_id, case when item_id % 2 = 0 then 'center' else 'left' end as align, trim(left(text, (item_id % 40)::int)) as body from benchmark)
+select item_id, case when length(body) >= 32 then left(body, 32) when body = '' then '' when align = 'center' then repeat(' ', (32 - length(body)) // 2) || body else '  ' || body end as head from b""")
+def header_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    align = F.when(F.col("item_id") % 2 == 0, "center").otherwise("left")
+    return V.table(spark, sf_dir, "benchmark").select("item_id", text.pad_header(align, F.substring("text", F.lit(1), (F.col("item_id") % 40).cast("int"))).alias("head"))
+
+
+# ---- tags
+
+MARKED = "case n % 9 when 0 then concat(n % 60, '. ') when 1 then '① ' when 2 then '[1~3] ' when 3 then '* ' when 4 then '〈보기〉 ' when 5 then '3) ' when 6 then '수고하셨습니다 ' when 7 then concat(n % 50, ' ') else '' end"
+MARKED_SQL = MARKED.replace("concat(n % 60, '. ')", "(n % 60) || '. '").replace("concat(n % 50, ' ')", "(n % 50) || ' '")
+TAGGED = f"""{V.LINES}, x as (select doc_id, n, {MARKED_SQL} || raw_ascii as x, line_index from l),
+tg as (select *, regexp_matches(x, {quoted(tags.PASSAGE)}) as pg, coalesce(nullif(regexp_extract(x, {quoted(tags.QUESTION)}, 1), ''), nullif(regexp_extract(x, {quoted(tags.QUESTION)}, 2), ''))::int as q from x),
+bc as (
+  select doc_id, n, case when regexp_replace(x, '^\\s+|\\s+$', '', 'g') = '' then [] when line_index = 0 then ['Header'] when line_index = 25 then ['Footer'] else list_filter([
+    case when pg then 'PassageGroup' end, case when not pg and q between 1 and 45 then 'Question' end, case when regexp_matches(x, {quoted(tags.CHOICE)}) then 'Choice' end,
+    case when regexp_matches(x, {quoted(tags.EXAMPLE)}) then 'ExampleBox' end, case when regexp_matches(x, {quoted(tags.FOOTNOTE)}) then 'Footnote' end, case when regexp_matches(x, {quoted(tags.ENDING)}) then 'EndNotice' end], lambda y: y is not null) end as c
+  from tg)"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.lines(spark, sf_dir).withColumn("x", F.concat(F.expr(MARKED), "raw_ascii"))
+    band = F.when(F.col("line_index") == 0, "header").when(F.col("line_index") == 25, "footer")
+    return rows.withColumn("c", tags.block_candidates(F.col("x"), band))
+
+
+@query(f"with {TAGGED} select doc_id, n, array_to_string(c, ',') as tags from bc")
+def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).select("doc_id", "n", F.array_join("c", ",").alias("tags"))
+
+
+@query(f"""with {TAGGED}, u as (select doc_id, n, case when n % 10 = 0 then ['Note', 'Choice', 'Question'] else c end as c from bc)
+select doc_id, n, list_filter({list(t.TAG_PRIORITY)}, lambda y: list_contains(c, y))[1] as tag from u""")
+def primary_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.expr("if(n % 10 = 0, array('Note', 'Choice', 'Question'), cast(array() as array<string>))")
+    return _tagged(spark, sf_dir).select("doc_id", "n", tags.primary_tag(given, F.col("c")).alias("tag"))
+
+
+MIXED = "case n % 8 when 0 then '#d4 ' when 1 then ' #bc\"1 ' when 2 then '======' when 3 then '#e\"1' when 4 then '#d  ' when 5 then '#jj-' when 6 then '=ggggg=' else '' end"
+MIXED_INK = "case n % 7 when 0 then '① ' when 1 then '12 번 ' when 2 then '국어 ' when 3 then '3) ' else '' end"
+LINE_TAGS = f"""{V.LINES}, x0 as (select doc_id, n, {MIXED} || case when n % 8 in (2, 6) then '' else raw_ascii end as x, {MIXED_INK} || raw_ascii as ink from l),
+x1 as (select *, translate(lower(regexp_extract(x, {quoted(tags.LINE_QUESTION_EXAM)}, 1)), 'abcdefghij', '1234567890') as qe, translate(lower(regexp_extract(x, {quoted(tags.LINE_QUESTION)}, 1)), 'abcdefghij', '1234567890') as qs from x0),
+x2 as (select *, coalesce(nullif(qe, '')::int between 1 and 45, false) as exam, coalesce(nullif(qs, '')::int between 1 and 45, false) as start from x1),
+x3 as (select *, exam or start as q, start and regexp_replace(regexp_replace(x, {quoted(tags.LINE_QUESTION)}, ''), '^\\s+|\\s+$', '', 'g') <> '' as more from x2)"""
+
+
+@query(f"""with {LINE_TAGS} select doc_id, n, case when x = '' then '' else array_to_string(list_filter([
+  case when regexp_matches(x, {quoted(tags.LINE_RULE)}) then 'Separator' end, case when q then 'Question' end, case when more then 'Prompt' end,
+  case when not q and (regexp_matches(x, {quoted(tags.LINE_CHOICE_EXAM)}) or regexp_matches(x, {quoted(tags.LINE_CHOICE)})) then 'Choice' end,
+  case when regexp_matches(ink, {quoted(tags.INK_CHOICE)}) and not (not q and (regexp_matches(x, {quoted(tags.LINE_CHOICE_EXAM)}) or regexp_matches(x, {quoted(tags.LINE_CHOICE)}))) then 'Choice' end,
+  case when regexp_matches(ink, {quoted(tags.INK_HEADER)}) then 'Header' end, case when regexp_matches(ink, {quoted(tags.INK_QUESTION)}) and not q then 'Question' end], lambda y: y is not null), ',') end as tags from x3""")
+def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.lines(spark, sf_dir).select("doc_id", "n", F.expr(f"concat({MIXED}, if(n % 8 in (2, 6), '', raw_ascii))").alias("x"), F.expr(f"concat({MIXED_INK}, raw_ascii)").alias("ink"))
+    return rows.select("doc_id", "n", F.array_join(tags.line_candidates(F.col("x"), F.col("ink")), ",").alias("tags"))
+
+
+@query(f"with {V.VIEWS_OF_LINES} select doc_id, global_index, kind, key from vy")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.line_views(V.views_of_lines(spark, sf_dir))
+    c, i = F.col("raw_ascii"), F.col("ink")
+    return rows.select("doc_id", "global_index", "kind", F.when(F.col("kind") == "passage_group", tags.passage_key(c, i)).when(F.col("kind") == "question", tags.question_key(c, i)).alias("key"))
+
+
+@query(f"""with {V.LINES} select doc_id, n, translate(regexp_replace(regexp_replace(lower(raw_ascii), '\\s+', '', 'g'), {quoted("[·.?!,;:'" + chr(34) + "\\[\\]()<>〈〉【】]")}, '', 'g'), '～—–', '~--') as ink,
+  case when length(trim(raw_ascii)) <= 20 then trim(raw_ascii) else left(trim(raw_ascii), 19) || '…' end as clipped from l""")
+def norm_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).select("doc_id", "n", text.norm_ink(F.col("raw_ascii")).alias("ink"), text.clip(F.col("raw_ascii"), 20).alias("clipped"))
+
+
+# ---- tree
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.tree(semantics.assign(V.blocks(spark, sf_dir)))
+
+
+@query(f"with {V.TREE} select doc_id, id, node_id, node_type, parent_id from asg")
+def tree_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.assign(V.blocks(spark, sf_dir)).select("doc_id", "id", "node_id", "node_type", "parent_id")
+
+
+@query(f"with {V.TREE} select doc_id, node_id, node_type, parent_id, depth, dfs_order, child_ordinal, question_number from tr")
+def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).select("doc_id", "node_id", "node_type", "parent_id", "depth", "dfs_order", "child_ordinal", "question_number")
+
+
+@query(f"with {V.TREE} select doc_id, 'refers_to_passage' as relation_type, node_id as source_id, parent_id as target_id from asg where node_type = 'Question' and parent_id <> 'exam-root'")
+def tree_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.relations(semantics.assign(V.blocks(spark, sf_dir)))
+
+
+@query(f"with {V.TREE} select doc_id, node_type, count(*) as n from asg group by doc_id, node_type")
+def tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.counts(semantics.assign(V.blocks(spark, sf_dir)))
+
+
+@query(f"""with {V.TREE}, w as (
+  select doc_id, 0 as part, 0 as spot, 'unclassified blocks: ' || count(*) as warning from tr where node_type = 'Unknown' group by doc_id
+  union all select q.doc_id, 1, q.dfs_order, 'question ' || q.node_id || ': expected 5 choices, found ' || c.n from tr q join (select doc_id, parent_id, count(*) as n from tr where node_type = 'Choice' group by all) c on q.doc_id = c.doc_id and q.node_id = c.parent_id where q.node_type = 'Question' and c.n <> 5
+  union all select doc_id, 2, 0, 'questions outside PassageGroup: ' || count(*) from tr where node_type = 'Question' and parent_id = 'exam-root' group by doc_id)
+select doc_id, (row_number() over (partition by doc_id order by part, spot, warning) - 1)::int as nth, warning from w""")
+def tree_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.warnings(_nodes(spark, sf_dir))
+
+
+@query(f"""with {V.TREE}, x as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as b from tr), y as (
+  select doc_id, dfs_order, repeat('  ', depth) || node_type || case when question_number is not null then ' #' || question_number else '' end || ' (' || node_id || ')' || case when b <> '' then ' — ' || case when length(b) <= 48 then b else left(b, 47) || '…' end else '' end as line, row_number() over (partition by doc_id order by dfs_order) as nth from x)
+select doc_id, string_agg(line, chr(10) order by nth) as tree from y where nth <= 400 group by doc_id""")
+def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.tree_text(_nodes(spark, sf_dir))
+
+
+# ---- geometry
+
+
+@query(f"with {V.SPANS} select doc_id, page_number, id, col from sc")
+def column_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = V.spans(spark, sf_dir)
+    return physical.assign_columns(spans, V.profile(spans)).select("doc_id", "page_number", "id", "col")
+
+
+@query(f"""with {V.SPANS}, m as (select doc_id, page_number, (x0 + x1) / 2 as m, count(*) over (partition by doc_id, page_number) as n, max(x1) over (partition by doc_id, page_number) as extent from sp),
+gp as (select *, lead(m) over w - m as gap, (m + lead(m) over w) / 2 as cut from m window w as (partition by doc_id, page_number order by m)),
+ok as (select * from gp where n >= 8 and gap > 0 and cut >= extent * 0.28::double and cut <= extent * 0.72::double),
+b as (select *, row_number() over (partition by doc_id, page_number order by gap desc, cut) as rn from ok)
+select doc_id, page_number, gap, cut from b where rn = 1 and gap >= greatest(28::double, extent * 0.045::double)""")
+def column_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return physical.column_boundary(V.spans(spark, sf_dir)).select("doc_id", "page_number", "gap", "cut")
+
+
+@query(f"""with {V.SPANS}, gx as (select *, lag(x1) over (partition by doc_id, page_number, col, y0 order by x0, extraction_index) as px from sc),
+gi as (select *, sum(case when x0 - px > greatest(28::double, 11 * 0.45::double * 6) then 1 else 0 end) over (partition by doc_id, page_number, col, y0 order by x0, extraction_index rows unbounded preceding) as part from gx),
+ln as (
+  select doc_id, page_number, col, part, y0 as ly, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, trim(string_agg(text, '' order by x0, extraction_index)) as text, count(*)::int as n_spans from gi group by doc_id, page_number, col, y0, part)
+select doc_id, page_number, col, text, x0, y0, x1, y1, n_spans, (row_number() over (partition by doc_id, page_number order by col, ly, part) - 1)::int as reading_order from ln""")
+def line_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = V.spans(spark, sf_dir)
+    made = physical.build_lines(physical.assign_columns(spans, V.profile(spans)))
+    return made.select("doc_id", "page_number", "col", "text", "x0", "y0", "x1", "y1", F.size("span_ids").alias("n_spans"), "reading_order")
+
+
+@query(f"with {V.PRINT_LINES} select doc_id, page_number, id, block_no from pn")
+def block_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return physical.block_numbers(V.print_lines(spark, sf_dir)).select("doc_id", "page_number", "id", "block_no")
+
+
+BLOCKS_SQL = f"""{V.PRINT_LINES}, bl as (
+  select doc_id, page_number, block_no, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, string_agg(text, chr(10) order by y0, x0, line_index) as text, string_agg(id, ',' order by y0, x0, line_index) as line_ids
+  from (select *, x0 + length(text) as x1 from pn) group by doc_id, page_number, block_no
+), bk as (select *, 'p' || page_number || '-b' || (block_no - 1) as id, (block_no - 1)::int as made from bl)"""
+
+
+@query(f"with {BLOCKS_SQL} select doc_id, page_number, id, text, x0, y0, x1, y1, line_ids, made as reading_order from bk")
+def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = physical.build_blocks(V.print_lines(spark, sf_dir))
+    return made.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.array_join("line_ids", ",").alias("line_ids"), "reading_order")
+
+
+@query(f"""with {BLOCKS_SQL}, rg as (select *, case when y0 < 80 then 0 when y0 >= 410 then 3 when x1 - x0 > 595 * 0.5 then 1 when (x0 + x1) / 2 < 320 then 2 else 3 end as region from bk)
+select doc_id, page_number, id, (row_number() over (partition by doc_id, page_number order by region, y0, x0, id) - 1)::int as reading_order from rg""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = physical.build_blocks(V.print_lines(spark, sf_dir))
+    return physical.reading_order(made, V.profile(made)).select("doc_id", "page_number", "id", "reading_order")
+
+
+@query(f"""with {BLOCKS_SQL}, n as (select *, count(*) over (partition by doc_id, page_number) as n from bk), r as (select *, greatest(0, least(2, n - 1)) as dest, made = 0 as it from n)
+select doc_id, page_number, id, (case when it then dest else made - 1 + case when made - 1 >= dest then 1 else 0 end end)::int as reading_order from r""")
+def move_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = physical.build_blocks(V.print_lines(spark, sf_dir))
+    moves = made.where("reading_order = 0").select("doc_id", "page_number", "id", F.lit(2).alias("to"))
+    return physical.move_block(made, moves).select("doc_id", "page_number", "id", "reading_order")
+
+
+@query(f"""with {BLOCKS_SQL}, k as (select *, case when made = 1 then 0 else made end as key from bk),
+m as (select doc_id, page_number, key, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, coalesce(string_agg(case when text <> '' then text end, chr(10) order by made), '') as text, string_agg(line_ids, ',' order by made) as line_ids, 'p' || page_number || '-b' || min(made) as id from k group by doc_id, page_number, key)
+select doc_id, page_number, id, text, x0, y0, x1, y1, line_ids, (row_number() over (partition by doc_id, page_number order by y0, x0, id) - 1)::int as reading_order from m""")
+def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    made = physical.build_blocks(V.print_lines(spark, sf_dir)).withColumns({"candidate_tags": none, "tags": none, "notes": F.lit(None).cast("string")})
+    pairs = made.where("reading_order = 1").select("doc_id", "page_number", F.concat(F.lit("p"), "page_number", F.lit("-b0")).alias("left_id"), F.col("id").alias("right_id"))
+    out = physical.merge_blocks(made, pairs)
+    return out.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.array_join("line_ids", ",").alias("line_ids"), "reading_order")
+
+
+@query(f"""with {V.SPANS}, f as (select doc_id, min(y0) as foot from sp where y0 >= 842 * 0.90::double group by doc_id), b as (select d.doc_id, 842 * 0.06::double as head, greatest(coalesce(foot, 842 * 0.96::double) - 4, 842 * 0.06::double + 50) as foot from (select distinct doc_id from sp) d left join f using (doc_id)),
+o as (select sp.doc_id, page_number, x0, x1, (x0 + x1) / 2 as m from sp join b using (doc_id) where y0 >= head and y0 < b.foot),
+s as (select doc_id, page_number, max(case when m < 595 * 0.5 then x1 end) as l, min(case when m >= 595 * 0.5 then x0 end) as r from o group by doc_id, page_number having count(*) >= 4 and count(*) filter (m < 595 * 0.5) >= 2 and count(*) filter (m >= 595 * 0.5) >= 2),
+g as (select o.doc_id, o.page_number, m, lead(m) over (partition by o.doc_id, o.page_number order by m) as nx from o join s on o.doc_id = s.doc_id and o.page_number = s.page_number where s.r <= s.l),
+g1 as (select *, row_number() over (partition by doc_id, page_number order by nx - m desc, (m + nx) / 2) as rn, (m + nx) / 2 as cut from g where nx - m > 0 and (m + nx) / 2 >= 595 * 0.35::double and (m + nx) / 2 <= 595 * 0.65::double),
+a as (select o.doc_id, o.page_number, max(case when o.m < coalesce(cut, 595 * 0.5) then x1 end) as l, min(case when o.m >= coalesce(cut, 595 * 0.5) then x0 end) as r from o join s on o.doc_id = s.doc_id and o.page_number = s.page_number left join (select * from g1 where rn = 1) c on o.doc_id = c.doc_id and o.page_number = c.page_number where s.r <= s.l group by o.doc_id, o.page_number),
+e as (select doc_id, l, r from s where r > l union all select doc_id, l, r from a where l is not null and r is not null), q as (select doc_id, median(l) as l, median(r) as r from e group by doc_id),
+z as (select b.doc_id, head, foot, l, r, coalesce(r - l >= greatest(12, 595 * 0.015::double), false) as two from b left join q using (doc_id))
+select doc_id, case when two then (l + r) / 2 else 595 * 0.96::double end as column_cut_x, head as header_bottom_y, foot as footer_top_y, case when two then l else 595 * 0.95::double end as left_column_right_x, case when two then r else 595 * 0.98::double end as right_column_left_x from z""")
+def infer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = V.spans(spark, sf_dir)
+    sizes = spans.select("doc_id").distinct().select("doc_id", F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    return physical.infer_profile(spans, sizes).drop("page_width", "page_height")
+
+
+# ---- layout
+
+
+@query(f"""with {V.TREE}, p as (select *, lag(node_type) over (partition by doc_id order by dfs_order) as prev from tr)
+select doc_id, node_id, case when (prev = 'Header' and node_type in ('Header', 'PassageGroup')) or (prev in ('Passage', 'ExampleBox') and node_type = 'Question') then '' when node_type = 'ExampleBox' then {quoted(t.SEPARATOR_ROW)} end as before from p""")
+def layout_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = _nodes(spark, sf_dir).withColumn("seq_no", F.col("dfs_order"))
+    return layout.insertions(seqs).select("doc_id", "node_id", "before")
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).select("doc_id", F.col("n").alias("row_no"), F.concat(F.lit("x"), "n").alias("node_id"), F.when(F.col("n") % 4 == 0, "").otherwise(F.substring("raw_ascii", 1, 32)).alias("ascii_text"))
+
+
+PAGES_SQL = f"""{V.LINES}, q as (select doc_id, n, n // 10 as page, n % 10 as ofs, 'x' || n as node_id, case when n % 4 = 0 then '' else left(raw_ascii, 32) end as a from l),
+s as (select *, case when page > 0 and first_value(a) over (partition by doc_id, page order by n) <> '' then 1 else 0 end as shift from q)"""
+
+
+@query(f"""with {PAGES_SQL} select doc_id, page::int as page_index, (ofs + shift)::int as line_index, node_id, a as ascii_text from s where ofs + shift < 10
+union all select doc_id, page::int, 0, null, '' from s where shift = 1 and ofs = 0""")
+def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.paginate(_rows(spark, sf_dir), 10)
+
+
+@query()
+def paginate_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.paginate(_rows(spark, sf_dir), 10, compat_truncate=False)
+
+
+@query()
+def wrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode.wrap(F.col("raw_ascii"), F.lit(32), F.lit(2))
+    return V.lines(spark, sf_dir).select("doc_id", "n", F.posexplode(rows).alias("row_no", "row"))
+
+
+@query()
+def braille_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree to encoded, wrapped and paginated text."""
+    seqs = layout.sequences(_nodes(spark, sf_dir))
+    return lines.serialize(layout.paginate(layout.rows(seqs)), end="", cells="ascii_text")
+
+
+# ---- content
+
+
+@query(f"with {V.VIEWS_OF_LINES} select doc_id, seg_no, key, kind, ink_text, ascii_text from sg")
+def segment_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir)))
+
+
+@query(f"with {V.VIEWS_OF_LINES}, k as (select *, row_number() over (partition by doc_id, key order by seg_no desc) as rn from sg) select doc_id, key, seg_no, ink_text from k where rn = 1")
+def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.last_of_key(compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir)))).select("doc_id", "key", "seg_no", "ink_text")
+
+
+@query(f"""with {V.VIEWS_OF_LINES}, n as (select *, row_number() over (partition by doc_id, key order by seg_no desc) as rn from sg where kind in ('passage_group', 'question')), k as (select * from n where rn = 1),
+a as (select doc_id, key, ink_text from k where doc_id % 3 <> 0 or length(ink_text) % 2 = 0), b as (select doc_id, key, ink_text from k where length(ink_text) % 5 <> 0)
+select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.key, b.key) as key, case when b.key is null then 'missing_in_reference' when a.key is null then 'missing_in_generated' else 'aligned_ok' end as classification
+from a full join b on a.doc_id = b.doc_id and a.key = b.key""")
+def segment_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = compare.last_of_key(compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir))).where(F.col("kind").isin("passage_group", "question")))
+    diffs = compare.compare_segments(seg.where("doc_id % 3 <> 0 or length(ink_text) % 2 = 0"), seg.where("length(ink_text) % 5 <> 0"))
+    return diffs.select("doc_id", "key", "classification")
+
+
+@query(f"""with {V.VIEWS_OF_LINES}, u as (select distinct doc_id, key from sg),
+x as (select *, case when key like 'passage:%' then 0 when key like 'question:%' then 1 else 2 end as kd, coalesce(nullif(regexp_extract(key, '^passage:([0-9]+)-([0-9]+)$', 1), '')::int, 0) as pa, coalesce(nullif(regexp_extract(key, '^passage:([0-9]+)-([0-9]+)$', 2), '')::int, 0) as pb, coalesce(nullif(regexp_extract(key, '^question:([0-9]+)$', 1), '')::int, 0) as qn from u)
+select doc_id, key, row_number() over (partition by doc_id order by kd, case kd when 0 then pa when 1 then qn else 0 end, case kd when 0 then pb else 0 end, key)::int as place from x""")
+def key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    keys = compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir))).select("doc_id", "key").distinct()
+    return keys.select("doc_id", "key", F.row_number().over(Window.partitionBy("doc_id").orderBy(tags.key_rank(F.col("key")))).alias("place"))
+
+
+@query()
+def reverse_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded lines decoded again."""
+    coded = V.ink(spark, sf_dir).select("doc_id", "n", encode.line(F.col("ink")).alias("cells"))
+    return decode.with_ink(coded, "cells", "ink")
+
+
+@query()
+def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.lines(spark, sf_dir)
+    return rows.select("doc_id", "n", decode.similarity(text.norm_ink(F.col("raw_ascii")), text.norm_ink(F.translate("raw_ascii", "eo", "oe"))).alias("score"))
+
+
+# ---- navigation
+
+NAV_SQL = f"""{V.TREE}, am as (select *, is_nav or not bool_or(is_nav) over (partition by doc_id, parent_id) as among from tr)"""
+
+
+@query(f"""with {NAV_SQL}, fc as (select doc_id, parent_id, arg_min(node_id, [case when is_nav then 0 else 1 end, child_ordinal]) as first_child from tr group by doc_id, parent_id)
+select am.doc_id, am.node_id, depth, case when is_nav then (sum(is_nav::int) over (partition by am.doc_id order by dfs_order rows unbounded preceding) - 1)::bigint end as nav_order,
+  case when among then (row_number() over w - 1)::int else 0 end as sibling_index, sum(among::int) over (partition by am.doc_id, am.parent_id)::bigint as sibling_count,
+  case when among then lag(am.node_id) over w end as prev_sibling, case when among then lead(am.node_id) over w end as next_sibling, fc.first_child,
+  case when is_nav then lag(am.node_id) over t end as prev_same, case when is_nav then lead(am.node_id) over t end as next_same
+from am left join fc on am.doc_id = fc.doc_id and am.node_id = fc.parent_id window w as (partition by am.doc_id, am.parent_id, among order by child_ordinal, dfs_order), t as (partition by am.doc_id, node_type order by dfs_order)""")
+def nav_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = nav.index(_nodes(spark, sf_dir))
+    return made.select("doc_id", "node_id", "depth", "nav_order", "sibling_index", "sibling_count", "prev_sibling", "next_sibling", "first_child", "prev_same", "next_same")
+
+
+@query(f"""with {V.TREE} select a.doc_id, a.node_id, array_to_string(list_filter([c.node_id, b.node_id], lambda x: x is not null), '/') as crumbs
+from tr a left join tr b on a.doc_id = b.doc_id and a.parent_id = b.node_id left join tr c on b.doc_id = c.doc_id and b.parent_id = c.node_id""")
+def breadcrumb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav.breadcrumb(_nodes(spark, sf_dir)).select("doc_id", "node_id", F.array_join("crumbs", "/").alias("crumbs"))
+
+
+@query(f"""with {V.TREE}, h as (select *, case when node_type = 'Question' then node_id end as hit from tr)
+select doc_id, node_id, case when is_nav then first_value(hit ignore nulls) over (partition by doc_id order by dfs_order rows between 1 following and unbounded following) else first_value(hit ignore nulls) over (partition by doc_id order by dfs_order rows between unbounded preceding and unbounded following) end as target from h""")
+def next_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav.step_of_type(_nodes(spark, sf_dir), "Question")
+
+
+@query(f"""with {V.TREE}, b as (select *, 'k' || (dfs_order // 3) as block_id from tr), r as (select *, row_number() over (partition by doc_id, block_id order by is_nav desc, depth desc, dfs_order) as rn from b)
+select doc_id, block_id, node_id from r where rn = 1""")
+def find_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _nodes(spark, sf_dir).withColumn("block_ids", F.array(F.concat(F.lit("k"), F.expr("dfs_order div 3").cast("string"))))
+    return nav.find_by_block(rows)
+
+
+# ---- annotations
+
+
+@query(f"with {V.ANNOTATIONS} select doc_id, global_index, tags, notes from ap")
+def annotations_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.apply(*V.annotations(spark, sf_dir)).select("doc_id", "global_index", F.array_join("tags", ",").alias("tags"), "notes")
+
+
+@query(f"with {V.ANNOTATIONS} select an.doc_id, count(*) as applied from an join l on an.doc_id = l.doc_id and an.global_index = l.n group by an.doc_id")
+def annotations_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.applied_count(*V.annotations(spark, sf_dir))
+
+
+@query(f"with {V.ANNOTATIONS} select doc_id, global_index, page_index, line_index, tags, notes from ap where tags <> '' or coalesce(notes, '') <> ''")
+def annotations_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = annotations.export(annotations.apply(*V.annotations(spark, sf_dir)))
+    return made.withColumn("tags", F.array_join("tags", ","))
+
+
+@query(f"with {V.ANNOTATIONS} select doc_id, global_index, case when tags = '' then candidate_tags else tags end as tags from ap")
+def accept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = annotations.accept_candidates(annotations.apply(*V.annotations(spark, sf_dir)))
+    return made.select("doc_id", "global_index", F.array_join("tags", ",").alias("tags"))
