@@ -1,0 +1,456 @@
+"""Each operator against brute force, a round trip or held-out accuracy, and on awkward rows."""
+
+import collections
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from inkcell.llm import decontam, edit_tokens, langid, ngram_join, packing, quality, suffix_dedup, topk, toxicity, warc
+from inkcell.llm.common import shared_dir
+from inkcell.llm.components import components
+from inkcell.llm.queries import table, word_vocabulary
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, length int, spans string, node string"
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def docs_of(spark, texts, ids=None, lang="en"):
+    """Documents with columns whose names operators use themselves."""
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, lang, None, None if t is None else len(t), 1, "x", "y") for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text").collect()
+    return [(r.doc_id, r.text) for r in rows]
+
+
+AWKWARD = [None, "", " ", "a", "a b", "!!!", "\x1c\x1f", "가나다 라마", "x" * 5000, "same text here, more than ten words of it in all, indeed", "same text here, more than ten words of it in all, indeed", "é" * 300, "é" * 300]
+
+
+# ---- 1 packing
+
+
+def ids_of(text):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(word_vocabulary()).encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def check_packing(rows, texts):
+    whole = collections.defaultdict(list)
+    fill = collections.defaultdict(list)
+    for r in rows:
+        ids = ids_of(texts[r.doc_id])
+        part = ids[r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids) and zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r.ids_crc32
+        whole[r.doc_id].append((r.start, r.length))
+        fill[r.sequence_id].append((r.offset, r.length))
+    for d, parts in whole.items():
+        at = 0
+        for s, n in sorted(parts):
+            assert s == at and n > 0
+            at += n
+        assert at == len(ids_of(texts[d]))
+    for parts in fill.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= packing.CAPACITY
+    assert set(whole) == set(texts)
+    return fill
+
+
+def test_packing(spark, real):
+    texts = dict(real[:80])
+    fill = check_packing(packing.pack(docs_of(spark, list(texts.values()), list(texts)), word_vocabulary()).collect(), texts)
+    used = sum(n for p in fill.values() for _, n in p)
+    assert used > 0.9 * packing.CAPACITY * (len(fill) - 1)
+
+
+def test_packing_edges(spark):
+    check_packing(packing.pack(docs_of(spark, AWKWARD), word_vocabulary()).collect(), dict(enumerate(AWKWARD)))
+    assert packing.pack(docs_of(spark, []), word_vocabulary()).count() == 0
+    assert packing.pack(docs_of(spark, ["a"], [None]), word_vocabulary()).first().doc_id is None
+    for n in (1, 63, 64, 65, 100, 4095, 4096, 4097, 9999):
+        parts = packing.cuts(n)
+        assert sum(x for _, x in parts) == n and all(x <= 4096 for _, x in parts)
+
+
+def test_encoder_agrees(real):
+    odd = ["Straße ΟΔΟΣ İstanbul naïve's it's \"q\" <|endoftext|> a<|startoftext|>b 12½² x² _a_b don't ①②", "é ́abc", "a\x1cb", "​x y"]
+    texts = [t for _, t in real[:40]] + odd + [t or "" for t in AWKWARD]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in ([*ids_of(t)[:-1]] for t in texts)]
+    assert packing.encode_texts(texts, word_vocabulary()) == want
+    small = packing.WordEncoder(word_vocabulary(), limit=20)  # caches that overflow change nothing
+    assert [small.encode([t])[0] for t in texts[:40]] == want[:40]
+
+
+def test_sequences(spark, real):
+    d = docs_of(spark, [t for _, t in real[:20]])
+    packed = packing.pack(d, word_vocabulary()).cache()
+    got = {r.sequence_id: r.ids for r in packing.sequences(d, packed, word_vocabulary()).collect()}
+    want = collections.defaultdict(list)
+    for r in sorted(packed.collect(), key=lambda r: (r.sequence_id, r.offset)):
+        want[r.sequence_id] += ids_of(real[r.doc_id][1])[r.start : r.start + r.length]
+    assert got == want
+
+
+# ---- 2 decontamination
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute_hits(texts, items):
+    cut = lambda t: WORD.findall((t or "").translate(LOW))
+    windows = collections.defaultdict(set)
+    for item, t in items:
+        w = cut(t)
+        m = min(len(w), 10)
+        for i in range(len(w) - m + 1) if w else ():
+            windows[tuple(w[i : i + m])].add(item)
+    sizes = {len(k) for k in windows}
+    out = []
+    for t in texts:
+        w, hit, found = cut(t), set(), set()
+        for m in sizes:
+            for i in range(len(w) - m + 1):
+                if items_ := windows.get(tuple(w[i : i + m])):
+                    hit |= set(range(i, i + m))
+                    found |= items_
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 60])
+def test_decontamination(spark, block):
+    items = [(10, "one two three four five six seven eight nine ten eleven twelve"), (9, "Short Item"), (2, None), (3, "..."), (4, "ä ö ü"), (5, "two three four five six seven eight nine ten eleven")]
+    texts = [*AWKWARD, "x one Two three four five six seven eight nine ten, eleven y", "short item short", "SHORT-ITEM Ä ä ö ü", "one two three four five six seven eight nine", "ä ö ü" * 40]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.digest(decontam.hits(docs_of(spark, texts), bench, block_bytes=block)).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in rows] == brute_hits(texts, [(str(i), t) for i, t in items])
+    clean = {r.doc_id for r in decontam.keep_clean(docs_of(spark, texts), bench, block_bytes=block).collect()}
+    assert clean == {r.doc_id for r in rows if not r.contaminated}
+
+
+def test_decontamination_empty(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.digest(decontam.hits(docs_of(spark, ["a b"]), none)).first().n_hit == 0
+    assert decontam.hits(docs_of(spark, []), none).count() == 0
+
+
+# ---- 3 quality
+
+
+def test_quality_held_out(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    got = quality.predict(table(spark, big, "documents"), table(spark, big, "labels")).join(table(spark, big, "labels"), "doc_id").where("held_out")
+    r = got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")).alias("accuracy")).first()
+    assert r.accuracy >= 0.97
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(12)] + [(None, 1, 1), (3, None, 0)], LABELS)
+    rows = quality.predict(docs_of(spark, AWKWARD), labels).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    none = spark.createDataFrame([], LABELS)
+    assert {r.score for r in quality.predict(docs_of(spark, AWKWARD), none).collect()} == {0.5}
+    assert quality.predict(docs_of(spark, []), labels).count() == 0
+
+
+def test_additive_model_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3)).astype(np.float32)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.fit(x, y, pairs=2)
+    assert ((m.score(x) > 0.5) == (y > 0)).mean() > 0.9 and (1, 0) in {(i, j) for i, j, _ in m.pairs}
+
+
+# ---- 4 WARC
+
+
+def test_warc_round_trip(spark):
+    pages = [(1, "http://a/\r\nX: y", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>one</p>"), (None, "v", "alone"), (7, "w", "ü" * 200_000), (9, "w", "<p>one</p>")]
+    df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, key int")
+    got = {(r.page_id, r.payload_bytes): r for r in warc.round_trip(df).collect()}
+    assert len(got) == len(pages)
+    for page, _, html in pages:
+        body = (html or "").encode()
+        r = got[page, len(body)]
+        assert r.payload_digest == warc.digest(body)
+        same = [p for p, _, h in pages if (h or "") == (html or "") and p is not None]
+        last = max(same, default=None)
+        assert (r.record_type, r.refers_to) == (("revisit", last) if last is not None and page != last else ("response", None))
+    few = {r.page_id: r.record_type for r in warc.round_trip(df.where("page_id < 3"), least=100).collect()}
+    assert few == {1: "response", 2: "response"}
+    assert warc.round_trip(df.where("false")).count() == 0
+
+
+def test_warc_dictionary_frame(spark, sf):
+    uri = warc.write(table(spark, sf, "pages"), f"{shared_dir(spark)}/warc-test")[0]
+    fs, path = warc._fs(uri)
+    with fs.open_input_stream(path, compression=None) as f:
+        magic, size = struct.unpack("<II", f.read(8))
+        assert magic == warc.MAGIC and 0 < size <= warc.DICTIONARY_BYTES
+        f.read(size)
+        assert f.read(4) == warc.ZSTD_MAGIC
+    first, _ = next(warc.records(uri))
+    assert first["warc-type"] == "warcinfo"
+
+
+# ---- 5 suffix dedup
+
+
+def brute_copies(docs, length, later):
+    first, count = {}, collections.Counter()
+    bodies = [(i, (t or "").encode()) for i, t in docs]
+    for i, b in sorted(bodies):
+        for p in range(len(b) - length + 1):
+            count[b[p : p + length]] += 1
+            first.setdefault(b[p : p + length], (i, p))
+    out = {}
+    for i, b in bodies:
+        c = np.zeros(len(b), bool)
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if first[w] != (i, p) if later else count[w] > 1:
+                c[p : p + length] = True
+        runs = int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum())
+        out[i] = (len(b), int(c.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~c].tobytes()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("mode", ["all", "later"])
+@pytest.mark.parametrize("length,gram", [(20, 8), (50, 32)])
+def test_copies(spark, mode, length, gram):
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 6)))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(3)]
+    docs = [(i, " ".join([word(), rng.choice(passages), word(), rng.choice(passages)[rng.randint(0, 60) :], word()])) for i in range(40)]
+    docs += [(50, "ab" * 100), (51, "ab" * 30), (52, "z" * 500), (53, None), (54, ""), (55, passages[0]), (56, passages[0])]
+    d = docs_of(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.copies(d, length, gram, mode)).collect()}
+    assert got == brute_copies(docs, length, mode == "later")
+
+
+def test_remove_later_keeps_rows(spark):
+    d = docs_of(spark, ["é" * 150 + "x", "y" + "é" * 150, None, "z"], [1, 2, 3, None])
+    got = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.remove_later(d, 40, 16).collect()}
+    assert got[1][0].startswith("é") and got[2][0] == "y" and got[2][1] == 1 and got[3][0] is None and got[None][0] == "z"
+    assert suffix_dedup.remove_later(docs_of(spark, [])).count() == 0
+
+
+def test_longest_previous_factor():
+    data = b"abracadabra banana"
+    want = [max([k for j in range(i) for k in range(len(data) - i + 1) if data[j : j + k] == data[i : i + k]] or [0]) for i in range(len(data))]
+    assert suffix_dedup.longest_previous_factor(data).tolist() == want
+    rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), 3)
+    order = sorted(range(len(rank)), key=lambda i: data[i : i + 3])
+    assert all(rank[a] <= rank[b] for a, b in zip(order, order[1:], strict=False)) and rank[0] == rank[7]
+
+
+# ---- 6 top-k
+
+
+@pytest.mark.parametrize("block,head", [(8192, 2048), (3, 4)])
+def test_top_k(spark, block, head, monkeypatch):
+    monkeypatch.setattr(topk, "HEAD_ROWS", head)
+    rng = np.random.default_rng(3)
+    v = (rng.standard_normal((700, 9)) * rng.random((700, 1)) ** 3).astype(np.float32)
+    v[5] = v[6] = v[7]
+    rows = [(i, x.tolist(), 1.0, [0]) for i, x in enumerate(v)] + [(900, None, 1.0, [0]), (950, [float("nan")] * 9, 1.0, [0]), (1000, [], 1.0, [0]), (None, v[0].tolist(), 1.0, [0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, norm double, v array<int>")
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, block=block).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    q = np.floor(256 * v.astype(np.float64)).astype(np.int64)
+    want = {i: sorted(((j, int(q[i] @ q[j])) for j in range(700) if j != i), key=lambda x: (-x[1], x[0]))[:5] for i in range(0, 700, 50)}
+    assert dict(got) == want
+
+
+def test_top_k_few(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
+    few = topk.top_k(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, [0.5, -1.0])], schema)).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in few] == [(0, 1, 1, 65536), (0, 2, 2, 256 * 128 - 512 * 256)]
+
+
+# ---- 7 language identification
+
+
+def test_language_held_out(spark, sf):
+    got = langid.predict(table(spark, sf, "documents")).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
+
+
+def test_language_edges(spark):
+    rows = langid.predict(docs_of(spark, AWKWARD)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in rows[:3]] == ["und"] * 3 and rows[5].lang_pred == "und" and rows[5].score == 0
+    assert {r.lang_pred for r in langid.predict(docs_of(spark, ["abc", None], lang=None)).collect()} == {"und"}
+    assert langid.predict(docs_of(spark, [])).count() == 0
+
+
+def test_code_lengths_are_exact():
+    text = "abab aba cab"
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    at, n = np.unique(langid.gram_index(data, offsets), return_counts=True)
+    bits = langid.code_lengths(at, n)
+    probabilities = 2.0 ** -bits.reshape(-1, langid.SYMBOLS).astype(np.float64)
+    assert (probabilities.sum(1) <= 1 + 1e-5).all() and (probabilities > 0).all()  # escapes are shared with what is seen
+    sym = langid.FOLD[data].tolist()
+    grams = collections.Counter(zip([0, 0, *sym], [0, *sym], sym, strict=False))
+    total = sum(c for (a, b, _), c in grams.items() if (a, b) == (0, 0))
+    kinds = sum(1 for (a, b, _) in grams if (a, b) == (0, 0))
+    assert np.isclose(2.0 ** -bits[langid.gram_index(data, offsets)[0]], grams[0, 0, sym[0]] / (total + kinds))
+
+
+# ---- 8 edit-aware counts
+
+
+def gpt_tokens(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    return len(model.encode(text, add_special_tokens=False).ids)
+
+
+def test_edits_against_whole_counts(real):
+    import public_tokenizers
+
+    counter = edit_tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    for text in [t for _, t in real[:25]] + ["", "  a  b \n\n  c'll don't", "    "]:
+        doc, now = edit_tokens.Document(text, counter), text
+        for _ in range(10):
+            lo = rng.randint(0, len(now))
+            hi = min(len(now), lo + rng.choice([0, 1, 5, 40, 3000]))
+            new = rng.choice(["", "x", " ", "  \n", "'ll", "hello world ", real[rng.randrange(25)][1][:3000], " 12é"])
+            doc.edit(lo, hi, new)
+            now = now[:lo] + new + now[hi:]
+            assert (doc.n_tokens, doc.n_chars) == (gpt_tokens(now), len(now))
+
+
+def test_edit_counts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    edits = spark.createDataFrame([(0, 1, 3, 4, "zz"), (0, 0, 0, 1, ""), (None, 0, 0, 0, "q"), (77, 0, 0, 0, "q"), (1, 0, 90, 99, None)], "doc_id long, seq int, lo long, hi long, new string")
+    rows = {r.doc_id: r for r in edit_tokens.edit_counts(docs_of(spark, ["hello you", None, "plain"]), edits, path).collect()}
+    assert rows[0].n_tokens_after == gpt_tokens("ellzz you") and rows[0].n_edits == 2
+    assert (rows[1].n_tokens, rows[1].n_tokens_after) == (0, 0) and rows[2].n_edits == 0
+    texts = dict(enumerate(AWKWARD))
+    for r in edit_tokens.self_edits(docs_of(spark, AWKWARD), path).collect():
+        t = texts[r.doc_id] or ""
+        n = len(t)
+        t2 = t[: n // 3] + "rewritten, twice" + t[min(n, n // 3 + 12) :]
+        at = min(n * 2 // 3, len(t2))
+        t3 = t2[:at] + f" [{r.doc_id}] " + t2[at:]
+        assert (r.n_tokens, r.n_tokens_after) == (gpt_tokens(t), gpt_tokens(t3[5:]))
+
+
+# ---- 9 n-gram Jaccard join
+
+
+def brute_join(docs, k, percent):
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if b < a and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,percent,block", [(3, 90, 1024), (3, 90, 8), (5, 80, 1024)])
+def test_ngram_join(spark, k, percent, block):
+    rng = random.Random(k)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(20, 160))] for _ in range(8)]
+    docs = []
+    for i in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(50)}"
+        docs.append((i, " ".join(w)))
+    docs += [(200 + i, t) for i, t in enumerate(AWKWARD)]
+    d = docs_of(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(d, k, percent, block).collect()}
+    assert got == brute_join(docs, k, percent)
+    kept = {r.doc_id for r in ngram_join.keep_first(d, k, percent).collect()}
+    assert kept == {i for i, (_, c) in got.items() if i == c}
+
+
+def test_ngram_join_edges(spark):
+    assert ngram_join.join(docs_of(spark, [])).count() == 0
+    rows = ngram_join.join(docs_of(spark, ["a b c d"] * 3, [5, 5, None])).collect()
+    assert len(rows) == 3 and {r.component_id for r in rows} == {5}
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(500, 560)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+# ---- 10 toxicity
+
+
+def test_toxicity_held_out(spark, sf):
+    big = sf.replace("0.001", "0.1")
+    labels = table(spark, big, "labels")
+    got = toxicity.predict(table(spark, big, "documents"), labels).join(labels, "doc_id").where("held_out")
+    r = got.agg(F.sum(F.expr("int(predicted = 1 and toxic = 1)")).alias("hit"), F.sum("toxic").alias("all"), F.sum("predicted").alias("said")).first()
+    assert r.hit / r.all >= 0.9 and r.hit / r.said >= 0.7
+
+
+def test_deobfuscation(spark, sf):
+    big = sf.replace("0.001", "0.1")
+    docs = table(spark, big, "documents")
+    model = langid.train(docs.select(F.lit("all").alias("label"), "text"))
+    lexicon = {w: 3.0 for w in ("idiot", "loser", "trash", "stupid", "worthless", "^patheti")}
+    score = toxicity.Scorer(lexicon, toxicity.Lattice(model)).score
+    for bad in ("l0ser", "1d10t", "i.d.i.o.t", "LOOOOSER!", "tr@sh", "stuupid,", "wor7hless", "path3tic", "you i d i o t there", "(loser)", "$tup1d"):
+        assert score(f"the {bad} of it") > 0.9, bad
+    for good in ("los er", "idea of it", "4 5 7", "+1 (449) 555-7462", "a b c d e f", "10.5 x", ""):
+        assert score(good) < 0.1, good
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(None, 1, 1), (3, 0, None)], LABELS)
+    rows = toxicity.predict(docs_of(spark, AWKWARD), labels).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert toxicity.predict(docs_of(spark, ["idiot"]), spark.createDataFrame([], LABELS)).first().predicted == 0
+    assert toxicity.predict(docs_of(spark, []), labels).count() == 0
+    assert toxicity.keep_clean(docs_of(spark, AWKWARD), labels).columns == docs_of(spark, []).columns
