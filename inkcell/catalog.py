@@ -79,8 +79,8 @@ def unicode_to_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.translate(cells.from_unicode(cells.to_unicode(F.col("text"))), "�", "?").alias("plain"))
 
 
-@query(f"""with {V.LINES} select doc_id, n, case when raw_ascii = '' then '' else array_to_string(list_transform(string_split(raw_ascii, ''), lambda c:
-  greatest(instr({ASCII}, translate(c, {ACCEPTED}, {PLAIN})) - 1, 0)::varchar), ',') end as cells from l""")
+@query(f"""with {V.LINES} select doc_id, n, case when raw_ascii = '' then '' else array_to_string(list_transform(string_split(translate(raw_ascii, {ACCEPTED}, {PLAIN}), ''), lambda c:
+  greatest(instr({ASCII}, c) - 1, 0)::varchar), ',') end as cells from l""")
 def cells_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lines(spark, sf_dir).select("doc_id", "n", F.array_join(F.transform(cells.cells(F.col("raw_ascii")), lambda x: x.cast("string")), ",").alias("cells"))
 
