@@ -92,9 +92,12 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def sample(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[bytes]:
-    """Records of the pages with the least hash of their id: a fixed number, cut to a fixed size."""
-    few = pages.select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, size).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
-    return [page_record(r["page_id"], r["url"], r["html"].encode(), None) for r in few.collect()]
+    """Records of about ``rows`` pages chosen by a hash of their id, cut to ``size`` bytes. The ids are chosen
+    by count first, so tasks send no more than their share."""
+    n = pages.count()
+    few = pages if n <= rows else pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(rows / n * (1 << 30)) + 1)
+    few = few.select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, size).alias("html")).limit(4 * rows)
+    return [page_record(r["page_id"], r["url"], r["html"].encode(), None) for r in sorted(few.collect(), key=lambda r: (r["page_id"] is None, r["page_id"], r["url"] or ""))]
 
 
 def write(pages: DataFrame, uri: str, least: int = 0, level: int = 3) -> list[str]:
