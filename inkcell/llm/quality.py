@@ -7,7 +7,7 @@ same way. A score is the logistic function of the sum of one table entry a featu
 is additions over bin numbers.
 
 Features are counted from the bytes of whole texts; a null text counts as empty, and scores as the empty
-text does. At most ``sample`` labelled rows teach (those with the least hash of their id); labels with a null
+text does. About ``sample`` labelled rows at most teach (chosen by a hash of their id); labels with a null
 id or mark are ignored, repeated ones count once. Without labels of both kinds every score is 0.5.
 """
 
@@ -210,9 +210,9 @@ def predict(docs: DataFrame, labels: DataFrame, of: int = 3, out: int = 1, thres
 
     spark = docs.sparkSession
     known = materialize(featurized(docs), "quality")
-    # at most `sample` ids: the broadcast and what is collected are bounded by that parameter
+    # about `sample` ids at most: the broadcast and what is collected are bounded by that parameter
     chosen = F.broadcast(sample_labels(labels, "quality", langid.fold("doc_id", of, out), sample))
-    rows = known.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).select("x", "label").toPandas()
+    rows = known.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).toPandas().sort_values("doc_id")
     x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, len(NAMES)), np.float32)
     shared = spark.sparkContext.broadcast(fit(x, (rows["label"].to_numpy() > 0).astype(np.float64)))
 

@@ -8,8 +8,8 @@ documents only: words, and beginnings of words, that occur in toxic documents si
 chance, each with its smoothed precision. A score is the noisy-or of the restored words' precisions.
 
 Null and empty texts, and any text if nothing was learned, score as texts without toxic words. Repeated
-labels of a document count once; labels with a null id or a null mark are ignored. At most ``sample``
-labelled rows (those with the least hash of their id) teach; corpus counts cover all documents.
+labels of a document count once; labels with a null id or a null mark are ignored. About ``sample``
+labelled rows at most (chosen by a hash of their id) teach; corpus counts cover all documents.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ class Lattice:
             a, b = b, c
         return (a, b), total
 
-    def restore(self, word: str) -> str:
-        """The cheapest reading; the word itself if there is no model."""
+    def restore(self, word: str, doubles: bool = True) -> str:
+        """The cheapest reading; the word itself if there is no model. ``doubles``: whether a letter twice
+        running may be a repeat too, not only a longer run."""
         if self.bits is None:
             return word
         paths: dict[tuple, tuple[float, str]] = {(0, 0): (0.0, "")}
@@ -94,8 +95,9 @@ class Lattice:
                 readings = [(x, 1.0) for x in LOOKALIKES[ch]] + [(ch, 6.0)]
             elif ch in SEPARATORS:
                 readings = [("", 1.0), (ch, 6.0)]
-            if i and ch == word[i - 1]:
-                readings.append(("", 0.5 if i > 1 and ch == word[i - 2] else 3.0))
+            thrice = i > 1 and ch == word[i - 1] == word[i - 2]
+            if thrice or doubles and i and ch == word[i - 1]:
+                readings.append(("", 0.5 if thrice else 3.0))
             for state, (bits, text) in paths.items():
                 for read, channel in readings:
                     to, more = self.cost(state, read) if read else (state, 0.0)
@@ -116,7 +118,7 @@ class Lattice:
         if decode is None:
             decode = bool(TRIPLE.search(core)) if whole.isalpha() else any(map(str.isalpha, whole))
         if decode and len(whole) <= LONGEST:
-            out += [self.restore(core), self.restore(whole)]
+            out += [self.restore(x, doubles) for x in (core, whole) for doubles in (False, True)]
         return list(dict.fromkeys(out))
 
 
@@ -158,10 +160,12 @@ def tokens(text: str, spaced: bool = True) -> set[str]:
 
 
 def sample_labels(labels: DataFrame, mark: str, held, sample: int) -> DataFrame:
-    """(doc_id, label) of at most ``sample`` labelled rows outside the held-out fold."""
+    """(doc_id, label) of about ``sample`` labelled rows outside the held-out fold: all if there are no more,
+    else those whose hash of the id falls under a share."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull() & ~held)
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(mark).cast("int").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    n = rows.count()
+    return rows if n <= sample else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
 
 
 def count_words(docs: DataFrame, lattice_model) -> DataFrame:
@@ -199,7 +203,7 @@ def tail(k: int, n: int, p: float) -> float:
 def learn(docs: DataFrame, labels: DataFrame, held, model: langid.Model, sample: int = SAMPLE) -> dict[str, float]:
     """Feature -> -log(1 - precision) of the significant features."""
     spark = docs.sparkSession
-    # at most `sample` ids, so the broadcast is bounded by that parameter
+    # about `sample` ids at most, so the broadcast is bounded by that parameter
     chosen = F.broadcast(sample_labels(labels, "toxic", held, sample))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = count_words(text.join(chosen, "doc_id"), spark.sparkContext.broadcast(model))
