@@ -19,9 +19,10 @@ def test_stages(spark, sf):
     first = docs.orderBy("doc_id").first()
     words = [f"unikat{i}" for i in range(300)]
     passage = " ".join(f"passage{i}" for i in range(70))
+    own = lambda c: " ".join(f"{c}{i}" for i in range(80))
     near = list(words)
     near[150] = "changed"
-    planted = {90001: " ".join(words), 90002: " ".join(near), 90003: f"alpha beta {item} gamma", 90004: f"erste {passage} letzte", 90005: f"other {passage} end", 90006: first.text}
+    planted = {90001: " ".join(words), 90002: " ".join(near), 90003: f"alpha beta {item} gamma", 90004: f"erste {passage} {own('x')}", 90005: f"other {passage} {own('y')}", 90006: first.text}
     extra = spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in planted.items()], docs.schema)
     rows = docs.unionByName(extra)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
