@@ -34,6 +34,11 @@ BLOCK = 1024
 STRIP = 4096
 #: Bytes of text whose parts a task folds together.
 FOLD_BYTES = 24 << 20
+#: N-grams on the list of frequent ones at most, sets of one fold that must hold one, and levels: n-grams of
+#: level l are in FREQUENT_FROM * 8 ** (l - 1) sets or more.
+FREQUENT = 1 << 20
+FREQUENT_FROM = 3
+LEVELS = 6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,46 +73,114 @@ class Parts:
         tops = self.lows[1:] - 1
         self.differ = np.array([(100 - percent) * 2 * int(x) // (100 + percent) for x in tops])
         spare = []
-        for low, d in zip(self.lows[:-1].tolist(), self.differ.tolist(), strict=True):
-            m = d + 2
-            empty = m * np.exp(-low / m)
-            spare.append(1 + int(np.ceil(empty + 3 * np.sqrt(empty))) if d else 0)
+        # the least sets of a class's pairs are of the class before
+        for low, d in zip([1, *self.lows[:-2].tolist()], self.differ.tolist(), strict=True):
+            extra = 1
+            for _ in range(8 if d else 0):
+                empty = (d + 1 + extra) * np.exp(-low / (d + 1 + extra))
+                extra = 1 + int(np.ceil(empty + 3 * np.sqrt(empty)))
+            spare.append(extra if d else 0)
         self.spare = np.array(spare)
         self.count = self.differ + 1 + self.spare
 
-    def keys(self, grams: np.ndarray, offs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(part keys, index of their text) of the texts ``which``.
+    def keys(self, grams: np.ndarray, offs: np.ndarray, which: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(part keys, index of their text) of the texts ``which``. ``frequent``: sorted hashes, and levels.
 
-        Pairs agree on at least spare + 1 parts; only a set with more empty parts than spare shows them.
+        At each level pairs agree on at least spare + 1 parts of what is left. If one of them has no more
+        empty parts than spare, they agree on a part that isn't empty; if both have more, both go on to the
+        next level, where less is left out; at the last nothing is, and such sets show empty parts too.
         """
+        known, levels = frequent
+        level = np.zeros(len(grams), np.int8)
+        if len(known) and len(grams):
+            at = np.searchsorted(known, grams)
+            at[at == len(known)] = 0
+            level = np.where(known[at] == grams, levels[at], 0).astype(np.int8)
         keys, owners = [], []
-        size = np.diff(offs)
-        base = np.searchsorted(self.lows, size, side="right") - 1
-        spread = mix(grams ^ U64(0x5851F42D4C957F2D))
         for up in (0, 1):
-            use = which[(size[which] > 0)]
-            c = base[use] + up
-            ok = self.differ[c] > 0
-            use, c = use[ok], c[ok]
-            if not len(use):
-                continue
-            m = self.count[c]
-            first = np.concatenate([[0], np.cumsum(m)])
-            n = size[use]
-            at = np.repeat(offs[use] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            slot = np.repeat(first[:-1], n) + ((spread[at] >> U64(32)) * np.repeat(m, n).astype(U64) >> U64(32)).astype(np.int64)
-            value = mix(grams[at] + U64(0x14057B7EF767814F))
-            lo = np.bincount(slot, (value & U64(0xFFFFFFFF)).astype(np.float64), first[-1]).astype(U64)
-            hi = np.bincount(slot, (value >> U64(32)).astype(np.float64), first[-1]).astype(U64)
-            some = np.bincount(slot, minlength=first[-1]) > 0
-            owner = np.repeat(use, m)
-            holes = np.add.reduceat(~some, first[:-1])
-            show = some | np.repeat(holes > self.spare[c], m)
-            part = np.arange(first[-1]) - np.repeat(first[:-1], m)
-            key = mix((hi << U64(32)) + lo + mix((np.repeat(c, m) * 1_000_003 + part).astype(U64)))
-            keys.append(key[show])
-            owners.append(owner[show])
-        return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
+            left = which
+            for step in range(LEVELS + 1):
+                last = step == LEVELS
+                key, owner, left = self._cut(grams, offs, left, up, step, None if last else level <= step, last)
+                keys.append(key)
+                owners.append(owner)
+                if not len(left):
+                    break
+        return np.concatenate(keys), np.concatenate(owners)
+
+    def _cut(self, grams: np.ndarray, offs: np.ndarray, which: np.ndarray, up: int, step: int, keep: np.ndarray | None, holes_too: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part keys in the texts' own size class or the next one, their texts, and the texts with more empty
+        parts than spare."""
+        size = np.diff(offs)
+        use = which[size[which] > 0]
+        c = np.searchsorted(self.lows, size[use], side="right") - 1 + up
+        ok = self.differ[c] > 0
+        use, c = use[ok], c[ok]
+        if not len(use):
+            return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        m = self.count[c]
+        first = np.concatenate([[0], np.cumsum(m)])
+        n = size[use]
+        at = np.repeat(offs[use] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        base, many = np.repeat(first[:-1], n), np.repeat(m, n)
+        if keep is not None:
+            at, base, many = at[keep[at]], base[keep[at]], many[keep[at]]
+        g = grams[at]
+        spread = mix(g ^ U64(0x5851F42D4C957F2D)) >> U64(32)
+        slot = base + (spread * many.astype(U64) >> U64(32)).astype(np.int64)
+        value = mix(g + U64(0x14057B7EF767814F))
+        lo = np.bincount(slot, (value & U64(0xFFFFFFFF)).astype(np.float64), first[-1]).astype(U64)
+        hi = np.bincount(slot, (value >> U64(32)).astype(np.float64), first[-1]).astype(U64)
+        some = np.bincount(slot, minlength=first[-1]) > 0
+        bare = np.add.reduceat(~some, first[:-1]) > self.spare[c]
+        show = some | np.repeat(bare, m) if holes_too else some
+        part = np.arange(first[-1]) - np.repeat(first[:-1], m)
+        key = mix((hi << U64(32)) + lo + mix((np.repeat(c, m) * 1_000_003 + part).astype(U64) * U64(LEVELS + 1) + U64(step)))
+        return key[show], np.repeat(use, m)[show], use[bare]
+
+
+def frequent_grams(docs: DataFrame, k: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of n-grams that many different sets hold, and their levels: counted in each task over
+    what it folds, those of several sets summed, and of these the most frequent, ``most`` at most, a fixed
+    bound. Any list will do for right results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if held:
+                g, c = np.unique(np.concatenate(held), return_counts=True)
+                g, c = g[c >= FREQUENT_FROM], c[c >= FREQUENT_FROM]
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "n"])
+            held.clear()
+            seen.clear()
+            size = 0
+
+        for batch in batches:
+            for _, data, offsets in text_slices(batch):
+                grams, offs = shingle_sets(data, offsets, k)
+                node = set_digests(grams, offs).tolist()
+                held.extend(grams[offs[i] : offs[i + 1]] for i, x in enumerate(node) if x not in seen and not seen.add(x))
+                size += len(data)
+                if size >= FOLD_BYTES:
+                    yield from flush()
+        yield from flush()
+
+    found = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long")
+    counted = materialize(found.groupBy("gram").agg(F.sum("n").alias("n")), "frequent")
+    least, total = 1 << 62, 0
+    for r in sorted(counted.groupBy("n").count().collect(), reverse=True):  # a row for each frequency
+        if total + r["count"] > most:
+            break
+        least, total = r["n"], total + r["count"]
+    top = counted.where(F.col("n") >= least).toPandas()
+    grams, n = top["gram"].to_numpy(np.int64).astype(U64), top["n"].to_numpy(np.float64)
+    order = np.argsort(grams)
+    levels = 1 + np.floor(np.log(np.maximum(n[order], FREQUENT_FROM) / FREQUENT_FROM) / np.log(8) + 1e-9)
+    return grams[order], np.minimum(levels, LEVELS).astype(np.int8)
 
 
 def set_digests(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -118,12 +191,30 @@ def set_digests(grams: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return (mix(a ^ mix(b + np.diff(offs).astype(U64))) >> U64(1)).astype(np.int64)
 
 
-SCAN = "kind int, doc_id long, n long, node long, bucket int, keys binary, nodes binary"
+SCAN = "kind int, doc_id long, n long, node long, bucket int, keys binary, nodes binary, counts binary"
+KINDS = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "nodes": pa.binary(), "counts": pa.binary()}
+
+
+def _rows(kind: int, count: int, **have) -> pa.RecordBatch:
+    cols = [have[c] if c in have else pa.nulls(count, t) for c, t in KINDS.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind), pa.int32()), *cols], names=["kind", *KINDS])
 
 
-def _scan(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """kind 0: (doc_id, n, node) of a document; kind 1: part keys and their nodes of one bucket; kind 2: a
-    tie (node, doc_id as other node) between nodes that share a part in one task."""
+def _fold(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry a key, with its least node; and the ties of the other nodes to that one."""
+    if not len(keys):
+        return keys, nodes, np.zeros((0, 2), np.int64)
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
+    ties = np.unique(np.stack([nodes, hub], 1)[nodes != hub], axis=0)
+    return keys[new], nodes[new], ties
+
+
+def _scan(docs: DataFrame, k: int, percent: int, buckets: int, frequent) -> DataFrame:
+    """kind 0: (doc_id, n, node) of a document; kind 1: a bucket's part keys (32 bits; a clash only makes a
+    pair that the product turns down), by node; kind 2: a tie (node, doc_id as other node) found here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(percent)
@@ -131,29 +222,19 @@ def _scan(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
         seen: set[int] = set()
         size = 0
 
-        def rows(kind: int, count: int, **have) -> pa.RecordBatch:
-            types = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "bucket": pa.int32(), "keys": pa.binary(), "nodes": pa.binary()}
-            cols = [have[c] if c in have else pa.nulls(count, t) for c, t in types.items()]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind), pa.int32()), *cols], names=["kind", *types])
-
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if held:
-                keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
-                order = np.lexsort((nodes, keys))
-                keys, nodes = keys[order], nodes[order]
-                new = np.concatenate([[True], keys[1:] != keys[:-1]])
-                hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-                ties = np.unique(np.stack([nodes, hub], 1)[nodes != hub], axis=0)
+                keys, nodes, ties = _fold(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 if len(ties):
-                    yield rows(2, len(ties), node=pa.array(ties[:, 0]), doc_id=pa.array(ties[:, 1]))
-                keys, nodes = keys[new], nodes[new]
+                    yield _rows(2, len(ties), node=pa.array(ties[:, 0]), doc_id=pa.array(ties[:, 1]), bucket=pa.array(ties[:, 0] % buckets, pa.int32()))
                 bucket = (keys % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
+                order = np.lexsort((nodes, bucket))
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                keys, nodes = keys[order], nodes[order]
+                keys, nodes = (keys[order] >> U64(32)).astype(np.uint32), nodes[order]
                 some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield rows(1, len(some), bucket=pa.array(some, pa.int32()), keys=pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), nodes=pa.array([nodes[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()))
+                packed = [np.unique(nodes[cut[b] : cut[b + 1]], return_counts=True) for b in some]
+                yield _rows(1, len(some), bucket=pa.array(some, pa.int32()), keys=pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()), nodes=pa.array([x.tobytes() for x, _ in packed], pa.binary()), counts=pa.array([c.astype(np.uint32).tobytes() for _, c in packed], pa.binary()))
             held.clear()
             seen.clear()
             size = 0
@@ -163,9 +244,9 @@ def _scan(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
                 grams, offs = shingle_sets(data, offsets, k)
                 node = set_digests(grams, offs)
                 n = np.diff(offs)
-                yield rows(0, len(n), doc_id=part.column(0), n=pa.array(n), node=pa.array(node))
+                yield _rows(0, len(n), doc_id=part.column(0), n=pa.array(n), node=pa.array(node), bucket=pa.array(node % buckets, pa.int32()))
                 which = [i for i, x in enumerate(node.tolist()) if n[i] and x not in seen and not seen.add(x)]
-                keys, owners = parts.keys(grams, offs, np.array(which, np.int64))
+                keys, owners = parts.keys(grams, offs, np.array(which, np.int64), frequent.value)
                 held.append((keys, node[owners]))
                 size += len(data)
                 if size >= FOLD_BYTES:
@@ -175,24 +256,26 @@ def _scan(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN)
 
 
-def _ties(blocks: DataFrame, partitions: int) -> DataFrame:
-    """(a, b): nodes that share a part, tied to the least of those that do."""
+def _ties(scan: DataFrame, partitions: int) -> DataFrame:
+    """kind 0 as it is; kind 2: nodes that share a part, tied to the least of those that do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        names = ["kind", "doc_id", "n", "node"]
         for batch in batches:
-            for b, k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.setdefault(b, []).append((np.frombuffer(k, U64), np.frombuffer(n, np.int64)))
+            kind = batch.column(0).to_numpy()
+            for i in np.flatnonzero(kind == 1).tolist():
+                b, k, x, c = (batch.column(j)[i].as_py() for j in (4, 5, 6, 7))
+                held.setdefault(b, []).append((np.frombuffer(k, np.uint32), np.repeat(np.frombuffer(x, np.int64), np.frombuffer(c, np.uint32))))
+            rest = batch.select(names).filter(pa.array(kind != 1))
+            if rest.num_rows:
+                yield rest
         for b in list(held):
-            keys, nodes = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
-            order = np.lexsort((nodes, keys))
-            keys, nodes = keys[order], nodes[order]
-            new = np.concatenate([[True], keys[1:] != keys[:-1]])
-            hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-            ties = np.unique(np.stack([nodes, hub], 1)[nodes != hub], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ties[:, 0]), pa.array(ties[:, 1])], names=["a", "b"])
+            _, _, ties = _fold(*(np.concatenate(x) for x in zip(*held.pop(b), strict=True)))
+            n = len(ties)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2), pa.int32()), pa.array(ties[:, 1]), pa.nulls(n, pa.int64()), pa.array(ties[:, 0])], names=names)
 
-    return blocks.select("bucket", "keys", "nodes").repartition(partitions, "bucket").mapInArrow(run, "a long, b long")
+    return scan.repartition(partitions, "bucket").mapInArrow(run, "kind int, doc_id long, n long, node long")
 
 
 def product_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> np.ndarray:
@@ -287,10 +370,10 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90, block: int = BLOCK) ->
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     n = parallelism(spark, docs)
-    scan = materialize(_scan(docs, k, percent, n), "ngrams")
+    frequent = spark.sparkContext.broadcast(frequent_grams(docs, k))
+    scan = materialize(_ties(_scan(docs, k, percent, n, frequent), n), "ngrams")
     own = scan.where("kind = 0").select("doc_id", "n", "node")
-    near = scan.where("kind = 2").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    blocks = components(_ties(scan.where("kind = 1"), n).union(near))
+    blocks = components(scan.where("kind = 2").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     # each node's text is taken from its least document; places: the blocks it is needed in
     first = own.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sizes = blocks.groupBy("root").agg(F.count("*").alias("size"))
