@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import cells, decode, encode, tags, text
@@ -408,9 +408,16 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paginate(_rows(spark, sf_dir), 10)
 
 
+def _whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``wrap_rows``, numbered through each document; blank ones are the text's own."""
+    rows = wrap_rows(spark, sf_dir)
+    order = Window.partitionBy("doc_id").orderBy("n", "row_no")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("row_no"), F.concat(F.lit("x"), "n").alias("node_id"), F.col("row").alias("ascii_text"))
+
+
 @query()
 def paginate_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.paginate(_rows(spark, sf_dir), 10, compat_truncate=False)
+    return layout.paginate(_whole_rows(spark, sf_dir), 10, compat_truncate=False)
 
 
 @query()
