@@ -3,8 +3,12 @@
 Words are restored before they are judged: a word with look-alike characters, separators between its
 letters or repeated letters spans a lattice of readings (each character as itself, as a letter it imitates,
 as nothing if it separates or repeats), and Viterbi decoding under a byte trigram model of the whole corpus
-finds the cheapest. Letters spaced out one by one are joined first. The lexicon is learned from labelled
-documents only: words, and beginnings of words, that occur in toxic documents significantly more than
+finds the cheapest. A token of any length is decoded, after repeats of a letter and runs of separators are
+cut to three. Letters spaced out one by one are joined first: every stretch of at most 16 characters, every
+stretch of whole repeats that has no more of them than the lexicon's longest word has letters (a longer one
+can't be read as a word of it), and all of them. In learning, where there is no lexicon, stretches have at
+most 16 repeats; a longer word that stands between other spaced-out words teaches by its beginnings only.
+The lexicon is learned from labelled documents only: words, and beginnings of words, that occur in toxic documents significantly more than
 chance, each with its smoothed precision. A score is the noisy-or of the restored words' precisions.
 
 Null and empty texts, and any text if nothing was learned, score as texts without toxic words. Repeated
@@ -35,7 +39,8 @@ SIGNIFICANCE = -5.0
 LEAN = 4.0
 LEAST_SHARE = 0.25
 CACHE_WORDS = 300_000
-LONGEST = 40
+#: Characters of a joined stretch that may begin and end within repeats; least bound of one that may not.
+STRETCH = 16
 
 # Characters and the letters they imitate.
 LOOKALIKES = {
@@ -67,13 +72,41 @@ def skeleton(word: str) -> str:
     return RUN.sub(r"\1", word.translate(CLASSES))
 
 
+def collapse(word: str) -> str:
+    """At most three of a letter's repeats (whatever separators are between) and three separators running;
+    has the word's skeleton."""
+    out: list[str] = []
+    last, times, marks = "", 0, 0
+    for ch in word:
+        if ch in SEPARATORS:
+            marks += 1
+            if marks <= 3:
+                out.append(ch)
+            continue
+        times = times + 1 if ch == last else 1
+        last = ch
+        if times <= 3:
+            marks = 0
+            out.append(ch)
+    return "".join(out)
+
+
 class Lattice:
     """Viterbi decoding of a word under the byte trigram model."""
 
     def __init__(self, model: langid.Model) -> None:
         self.bits = model.tables()[0] if model.labels else None
+        self.costs: dict[tuple[tuple[int, int], str], tuple[tuple[int, int], float]] = {}
 
     def cost(self, state: tuple[int, int], text: str) -> tuple[tuple[int, int], float]:
+        key = state, text
+        if key not in self.costs:
+            if len(self.costs) > CACHE_WORDS:
+                self.costs.clear()
+            self.costs[key] = self._cost(state, text)
+        return self.costs[key]
+
+    def _cost(self, state: tuple[int, int], text: str) -> tuple[tuple[int, int], float]:
         a, b = state
         total, s = 0.0, langid.SYMBOLS
         for x in text.encode():
@@ -87,9 +120,10 @@ class Lattice:
         running may be a repeat too, not only a longer run."""
         if self.bits is None:
             return word
-        paths: dict[tuple, tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a path's text is a chain of (what is before, last part), so that long words take linear time
+        paths: dict[tuple, tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, ch in enumerate(word):
-            nxt: dict[tuple, tuple[float, str]] = {}
+            nxt: dict[tuple, tuple[float, tuple | None]] = {}
             readings = [(ch, 0.0)]
             if ch in LOOKALIKES:
                 readings = [(x, 1.0) for x in LOOKALIKES[ch]] + [(ch, 6.0)]
@@ -98,14 +132,16 @@ class Lattice:
             thrice = i > 1 and ch == word[i - 1] == word[i - 2]
             if thrice or doubles and i and ch == word[i - 1]:
                 readings.append(("", 0.5 if thrice else 3.0))
-            for state, (bits, text) in paths.items():
+            for state, (bits, chain) in paths.items():
                 for read, channel in readings:
                     to, more = self.cost(state, read) if read else (state, 0.0)
                     found = bits + more + channel
                     if to not in nxt or found < nxt[to][0]:
-                        nxt[to] = (found, text + read)
+                        nxt[to] = (found, (chain, read) if read else chain)
             paths = nxt
-        return min((bits + self.cost(state, " ")[1], text) for state, (bits, text) in paths.items())[1]
+        ends = [(bits + self.cost(state, " ")[1], chain) for state, (bits, chain) in paths.items()]
+        least = min(bits for bits, _ in ends)
+        return min(unchained(chain) for bits, chain in ends if bits == least)
 
     def readings(self, token: str, decode: bool | None = None) -> list[str]:
         """What a white-space token may stand for, plainest first; lower case.
@@ -117,11 +153,19 @@ class Lattice:
         out = [core] if core else []
         if decode is None:
             decode = bool(TRIPLE.search(core)) if whole.isalpha() else any(map(str.isalpha, whole))
-        if decode and len(whole) <= LONGEST:
-            out += [self.restore(x, doubles) for x in (core, whole) for doubles in (False, True)]
+        if decode:
+            out += [self.restore(x, doubles) for x in dict.fromkeys(map(collapse, (core, whole))) for doubles in (False, True)]
         return list(dict.fromkeys(out))
 
 
+def unchained(chain: tuple | None) -> str:
+    parts: list[str] = []
+    while chain is not None:
+        chain, part = chain
+        parts.append(part)
+    return "".join(reversed(parts))
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings (marked by a caret), longest first."""
     return [word] + [f"^{word[:n]}" for n in (7, 6, 5, 4) if len(word) > n]
@@ -140,7 +184,23 @@ def spaced_out(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
     return (three[first[1:]] > three[first[:-1]]).tolist()
 
 
-def tokens(text: str, spaced: bool = True) -> set[str]:
+def joins(run: str, longest: int) -> Iterator[str]:
+    """What characters spaced out one by one may spell: their stretches of 3 to 16, those of up to ``longest``
+    whole repeats, and all of them."""
+    run = collapse(run)
+    yield run
+    for a in range(len(run) - 2):
+        for b in range(a + 3, min(len(run), a + STRETCH) + 1):
+            yield run[a:b]
+    # a stretch of separators counts with the repeats before it
+    starts = [i for i, ch in enumerate(run) if i == 0 or ch != run[i - 1] and ch not in SEPARATORS] + [len(run)]
+    for i, a in enumerate(starts[:-1]):
+        for b in starts[i + 1 : i + 1 + longest]:
+            if b - a > STRETCH:
+                yield run[a:b]
+
+
+def tokens(text: str, spaced: bool = True, longest: int = STRETCH) -> set[str]:
     """Lower-case white-space tokens, and joins of letters spaced out one by one (if there may be any)."""
     split = text.lower().split()
     out = set(split)
@@ -152,9 +212,7 @@ def tokens(text: str, spaced: bool = True) -> set[str]:
         run.append(split[at])
         if i + 1 == len(ones) or ones[i + 1] != at + 1:
             if len(run) >= 3:
-                for a in range(len(run) - 2):
-                    for b in range(a + 3, min(len(run), a + 16) + 1):
-                        out.add("".join(run[a:b]))
+                out.update(joins("".join(run), longest))
             run = []
     return out
 
@@ -251,6 +309,8 @@ class Scorer:
         self.skeletons = {skeleton(x) for x, w in lexicon.items() if w and x[0] != "^"}
         self.beginnings = {skeleton(x[1:]) for x, w in lexicon.items() if w and x[0] == "^"}
         self.lengths = sorted({len(x) for x in self.beginnings})
+        # a stretch with more repeats than this can't be read as an entry, as each is one letter at least
+        self.longest = max([STRETCH, *(len(x) for x, w in lexicon.items() if w)])
 
     def known(self, word: str) -> float:
         """The weight of the word, or else of its longest known beginning."""
@@ -272,7 +332,7 @@ class Scorer:
         return best
 
     def score(self, text: str, spaced: bool = True) -> float:
-        cache, have = self.cache, tokens(text, spaced)
+        cache, have = self.cache, tokens(text, spaced, self.longest)
         if len(cache) > CACHE_WORDS:
             cache.clear()
         for t in have.difference(cache):
