@@ -171,17 +171,32 @@ def features(word: str) -> list[str]:
     return [word] + [f"^{word[:n]}" for n in (7, 6, 5, 4) if len(word) > n]
 
 
-BLANK = np.zeros(256, bool)
-BLANK[:33] = True
+# what str.split takes as a blank: bytes of ASCII, and longer encodings as (first bytes, whether a byte may be the last)
+BLANK = np.array([chr(c).isspace() and c < 128 for c in range(256)])
+WIDE = [chr(c).encode() for c in range(128, 0x3001) if chr(c).isspace()]
+WIDE_LAST = {head: np.array([head + bytes([c]) in WIDE for c in range(256)]) for head in sorted({x[:-1] for x in WIDE})}
+
+
+def wide_blanks(data: np.ndarray) -> np.ndarray:
+    """Where the encodings of blanks outside ASCII begin."""
+    out = [np.zeros(0, np.int64)]
+    for head, last in WIDE_LAST.items():
+        at = np.flatnonzero(data[: len(data) - len(head)] == head[0])
+        for i in range(1, len(head)):
+            at = at[data[at + i] == head[i]]
+        out.append(at[last[data[at + len(head)]]])
+    return np.concatenate(out)
 
 
 def spaced_out(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
-    """Of each text, whether three tokens running may be single characters (up to four bytes of one)."""
+    """Of each text, whether three tokens running may be single characters (up to four bytes of one); true of
+    any with a blank outside ASCII."""
     starts, ends, first = words(data, offsets, ~BLANK)
     one = np.zeros(len(starts) + 2, np.int8)
     one[: len(starts)] = (ends - starts == 1) | (ends - starts <= 4) & (data[starts] >= 128) if len(starts) else 0
     three = np.concatenate([[0], np.cumsum(one[:-2] & one[1:-1] & one[2:])])
-    return (three[first[1:]] > three[first[:-1]]).tolist()
+    wide = np.bincount(np.searchsorted(offsets, wide_blanks(data), "right") - 1, minlength=len(offsets) - 1)
+    return ((three[first[1:]] > three[first[:-1]]) | (wide > 0)).tolist()
 
 
 def joins(run: str, longest: int) -> Iterator[str]:

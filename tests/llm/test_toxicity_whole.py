@@ -1,5 +1,6 @@
 """Obfuscated words of any length."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +32,13 @@ def test_learning_decodes_long_tokens(lattice):
 
 def test_long_words_take_linear_time(lattice):
     assert len(lattice.restore("ab1-" * 20_000)) >= 40_000
+
+
+def test_shortcut_takes_every_blank():
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["", "no such thing", *(b.join("idiot") for b in blanks), "a\x01b\x01c", "\x01 a b", "café à", "no more", "", "a b"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(x.encode()) for x in texts)])
+    said = toxicity.spaced_out(np.frombuffer(data, np.uint8), offsets)
+    assert said == [False, False, *(True for _ in blanks), False, True, False, False, False, False]
+    assert toxicity.spaced_out(np.zeros(0, np.uint8), np.zeros(2, np.int64)) == [False]
