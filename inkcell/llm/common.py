@@ -19,9 +19,12 @@ SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one if driver and
+    executors are one process; otherwise an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="inkcell-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -29,11 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and reread it: lineage ends there, so a lost executor
-    costs no recomputation of what came before."""
+    costs no recomputation of what came before. ``discard`` deletes what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -108,6 +120,28 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian word of eight.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: blocks of eight bytes are each mixed with their place in the span, then
+    summed. Unlike ``span_hash`` it isn't linear in the bytes, so no family of strings collides by rule."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    total = mix(eight[starts] & FIRST_BYTES[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        first = np.cumsum(more) - more
+        nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * nth
+        block = eight[at] & FIRST_BYTES[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        total[long] += np.add.reduceat(mix(block ^ mix(nth.astype(U64) * U64(BASE))), first)
+    return mix(total + size.astype(U64) * U64(0xA24BAED4963EE407))
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

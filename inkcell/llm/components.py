@@ -3,7 +3,7 @@
 Each round every node's larger neighbours are tied to its least neighbour (large star), then every node's
 smaller neighbours likewise (small star), until nothing changes; the rounds grow with the logarithm of the
 nodes. All of it stays in tables: minima are reduced in each task before the shuffle, and a round ends with
-a written table.
+a written table; the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours to the least of these
         tied = large.join(least, "a")
         small = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        discard(before)
         found = _digest(now)
         if found == seen:
             break

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkcell.llm import decontam, edit_tokens, langid, ngram_join, packing, quality, suffix_dedup, topk, toxicity, warc
+from inkcell.llm import common, decontam, edit_tokens, langid, ngram_join, packing, quality, suffix_dedup, topk, toxicity, warc
 from inkcell.llm.common import shared_dir
 from inkcell.llm.components import components
 from inkcell.llm.queries import table, word_vocabulary
@@ -401,10 +401,65 @@ def test_ngram_join(spark, k, percent, block):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_ngram_join_hot_group(spark, monkeypatch):
+    """A group of near copies whose members share their parts, blocks bounded by n-grams, folds of a few rows."""
+    monkeypatch.setattr(ngram_join, "FOLD_BYTES", 4000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(500)}"
+        docs.append((i, " ".join(w)))
+    d = docs_of(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(3)
+    for grams in (ngram_join.BLOCK_GRAMS, 1000):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(d, 5, 80, grams=grams).collect()}
+        assert got == brute_join(docs, 5, 80)
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join.join(docs_of(spark, [])).count() == 0
     rows = ngram_join.join(docs_of(spark, ["a b c d"] * 3, [5, 5, None])).collect()
     assert len(rows) == 3 and {r.component_id for r in rows} == {5}
+    w = [f"w{i}" for i in range(200)]
+    near = " ".join([*w[:100], "other", *w[101:]])
+    rows = ngram_join.join(docs_of(spark, [" ".join(w), near, "a b", "a b", None], [1, None, None, None, 7])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 0), (0, 1), (1, 1), (7, 7)]
+    kept = ngram_join.keep_first(docs_of(spark, ["a b", "c d", None, "a b", "c d"], [4, None, None, None, 9])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (4, "a b"), (9, "c d")]
+    clash = docs_of(spark, ["a b", "a b"]).withColumn("row", F.lit(1)).withColumn("ROW_", F.lit(2))
+    assert ngram_join.keep_first(clash).collect()[0].asDict()["ROW_"] == 2 and ngram_join.keep_first(clash).columns == clash.columns
+
+
+def test_words_of_thue_and_morse_stay_apart(spark):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert {r.component_id for r in ngram_join.join(docs_of(spark, [a, b])).collect()} == {0, 1}
+
+
+def test_word_hash():
+    data = np.frombuffer(b"abcdefgh12345678x abcdefgh12345678x abcdefgh12345678y", np.uint8)
+    h = common.word_hash(data, np.array([0, 18, 36, 0, 8, 5, 5]), np.array([17, 35, 53, 8, 16, 5, 6]))
+    assert h[0] == h[1] and len(set(h.tolist())) == 6
+
+
+def test_sketches_turn_down_no_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 300, 3000):
+        for changed in (0, 1, n // 20, n // 9, n // 2):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = a.copy()
+            b[:changed] = rng.integers(0, 1 << 63, changed)
+            b = b[rng.integers(0, 3) * n // 30 :]
+            a, b = np.unique(a), np.unique(b)
+            x, y = ngram_join.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            both = len(np.intersect1d(a, b))
+            for percent in (80, 90):
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    assert ngram_join.may_link(len(a), x, len(b), y, percent)
+            if n >= 300 and changed == n // 2:
+                assert not ngram_join.may_link(len(a), x, len(b), y, 80)
 
 
 def test_components(spark):
