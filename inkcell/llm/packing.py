@@ -81,7 +81,8 @@ class WordEncoder:
         if ids is None:
             if len(self.parts) > self.limit:
                 self.parts = {"": b""}
-            letters = pre if pre.isascii() else "".join([STAND_IN[b] for b in pre.encode()])
+            plain = pre.isascii() and pre.isprintable()  # control characters have stand-ins too
+            letters = pre if plain else "".join([STAND_IN[b] for b in pre.encode()])
             ids = self.parts[pre] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return ids
 

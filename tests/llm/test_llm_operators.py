@@ -94,6 +94,18 @@ def test_encoder_agrees(real):
     assert [small.encode([t])[0] for t in texts[:40]] == want[:40]
 
 
+def test_encoder_agrees_on_any_text():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    signs = [chr(c) for c in range(128)] * 2 + list("  aeiourstn.,'-") * 6 + list("éßΣσςÅİıфж가中①½\u0301\u00a0\u200b\u2028🙂")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(10_000)]
+    texts += [a + chr(c) + b for c in [*range(32), 127] for a in ("", "a", "hello", "a ") for b in ("", "b", " b")]
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in Tokenizer.from_file(word_vocabulary()).encode_batch(texts, add_special_tokens=False)]
+    got = packing.encode_texts(texts, word_vocabulary())
+    assert [t for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
+
+
 def test_sequences(spark, real):
     d = docs_of(spark, [t for _, t in real[:20]])
     packed = packing.pack(d, word_vocabulary()).cache()
