@@ -2,7 +2,7 @@
 
 Words are restored before they are judged: a word with look-alike characters, separators between its
 letters or repeated letters spans a lattice of readings (each character as itself, as a letter it imitates,
-as nothing if it separates or repeats), and Viterbi decoding under a byte trigram model of the whole corpus
+as nothing if it separates or if it can be read as the letter before it), and Viterbi decoding under a byte trigram model of the whole corpus
 finds the cheapest. A token of any length is decoded, after repeats of a letter and runs of separators are
 cut to three. Letters spaced out one by one are joined first: every stretch of at most 16 characters, every
 stretch of whole repeats that has no more of them than the lexicon's longest word has letters (a longer one
@@ -65,6 +65,10 @@ def _classes() -> dict[int, str | None]:
 
 
 CLASSES = _classes()
+NONE: frozenset = frozenset()
+#: Letters that a character may stand for, and the symbol of each in the byte model.
+LETTERS = {ch: frozenset(ch) for ch in "abcdefghijklmnopqrstuvwxyz"} | {ch: frozenset(x) for ch, x in LOOKALIKES.items()}
+SYMBOL = {ch: int(langid.FOLD[ord(ch)]) for ch in "abcdefghijklmnopqrstuvwxyz"}
 
 
 def skeleton(word: str) -> str:
@@ -122,6 +126,7 @@ class Lattice:
             return word
         # a path's text is a chain of (what is before, last part), so that long words take linear time
         paths: dict[tuple, tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        one = two = frozenset()  # letters that the last character but separators, and both of the last two, may be
         for i, ch in enumerate(word):
             nxt: dict[tuple, tuple[float, tuple | None]] = {}
             readings = [(ch, 0.0)]
@@ -129,15 +134,22 @@ class Lattice:
                 readings = [(x, 1.0) for x in LOOKALIKES[ch]] + [(ch, 6.0)]
             elif ch in SEPARATORS:
                 readings = [("", 1.0), (ch, 6.0)]
-            thrice = i > 1 and ch == word[i - 1] == word[i - 2]
-            if thrice or doubles and i and ch == word[i - 1]:
-                readings.append(("", 0.5 if thrice else 3.0))
+            letters = LETTERS.get(ch, NONE)
+            thrice = bool(two & letters) or i > 1 and ch == word[i - 1] == word[i - 2]
+            drop = 0.5 if thrice else 3.0
+            # a repeat of the raw character may go in any path, one of a reading where that letter is the last
+            again = (thrice or doubles) and i > 0 and ch == word[i - 1]
+            ends = {SYMBOL[x] for x in one & letters} if thrice or doubles else NONE
             for state, (bits, chain) in paths.items():
                 for read, channel in readings:
                     to, more = self.cost(state, read) if read else (state, 0.0)
                     found = bits + more + channel
                     if to not in nxt or found < nxt[to][0]:
                         nxt[to] = (found, (chain, read) if read else chain)
+                if (again or state[1] in ends) and (state not in nxt or bits + drop < nxt[state][0]):
+                    nxt[state] = (bits + drop, chain)
+            if ch not in SEPARATORS:
+                one, two = letters, one & letters
             paths = nxt
         ends = [(bits + self.cost(state, " ")[1], chain) for state, (bits, chain) in paths.items()]
         least = min(bits for bits, _ in ends)
@@ -355,8 +367,8 @@ class Scorer:
         return 1 - math.exp(-0.01 - sum(map(cache.__getitem__, have)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` with a column ``toxicity``."""
+def scored(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, sample: int = SAMPLE, name: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``, which they must not have yet."""
     spark = docs.sparkSession
     corpus = docs.select(F.lit("all").alias("label"), F.col("text").cast("string").alias("text"))
     model = langid.train(corpus)
@@ -371,11 +383,11 @@ def scored(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, sample
             for part, data, offsets in text_slices(batch):
                 texts = part.column(at).to_pylist()
                 scores = pa.array([scorer.score(t or "", s) for t, s in zip(texts, spaced_out(data, offsets), strict=True)], pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("toxicity", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def predict(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -385,5 +397,8 @@ def predict(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, thres
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows that score below the threshold, as they are."""
-    return scored(docs, labels, of, out, sample).where(F.col("toxicity") < threshold).drop("toxicity")
+    """The rows that score below the threshold, as they are, whatever columns they have."""
+    name = "toxicity"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return scored(docs, labels, of, out, sample, name).where(F.col(name) < threshold).drop(name)

@@ -42,3 +42,50 @@ def test_shortcut_takes_every_blank():
     said = toxicity.spaced_out(np.frombuffer(data, np.uint8), offsets)
     assert said == [False, False, *(True for _ in blanks), False, True, False, False, False, False]
     assert toxicity.spaced_out(np.zeros(0, np.uint8), np.zeros(2, np.int64)) == [False]
+
+
+def test_repeats_of_a_reading(lattice):
+    score = toxicity.Scorer(LEXICON, lattice).score
+    for bad in ("l00ser", "lo0ser", "l0oser", "loo0ser", "l.o.0.s.e.r", "1di1o0t", "sttup1id", "tra@$sh", " ".join("l0oser")):
+        assert score(f"the {bad} of it") > 0.9, bad
+
+
+def readings(lattice, word, doubles):
+    """All (text, cost) of a word's lattice, by the rules as they are stated."""
+    letters = lambda ch: set(toxicity.LOOKALIKES.get(ch, ch if ch in "abcdefghijklmnopqrstuvwxyz" else ""))
+    paths = {("", 0.0)}
+    for i, ch in enumerate(word):
+        before = [letters(c) for c in word[:i] if c not in toxicity.SEPARATORS][-2:]
+        raw = word[max(0, i - 2) : i]
+        thrice = len(before) == 2 and bool(before[0] & before[1] & letters(ch)) or raw == ch * 2
+        drop = 0.5 if thrice else 3.0 if doubles else None
+        if ch in toxicity.LOOKALIKES:
+            step = [(x, 1.0) for x in toxicity.LOOKALIKES[ch]] + [(ch, 6.0)]
+        else:
+            step = [("", 1.0), (ch, 6.0)] if ch in toxicity.SEPARATORS else [(ch, 0.0)]
+        out = {(text + read, cost + c) for text, cost in paths for read, c in step}
+        if drop is not None:
+            for text, cost in paths:
+                may = before and text and text[-1] in before[-1] & letters(ch)
+                if may or raw[-1:] == ch:
+                    out.add((text, cost + drop))
+        paths = out
+    return [(text, cost + lattice.cost((0, 0), text + " ")[1]) for text, cost in paths]
+
+
+def test_viterbi_against_all_readings(lattice):
+    rng = __import__("random").Random(2)
+    words = ["l00ser", "lo0ser", "1d10t", "a.a", "$$", "@a4", "..", "o", "l.l1i"]
+    words += ["".join(rng.choice("aoils0145@$.-e") for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    for word in words:
+        for doubles in (False, True):
+            found = readings(lattice, word, doubles)
+            least = min(cost for _, cost in found)
+            assert lattice.restore(word, doubles) in {t for t, cost in found if cost <= least + 1e-6}, word
+
+
+def test_columns_of_any_name(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1, "a", 7, 8)], "doc_id long, text string, Toxicity int, toxicity_ int")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and kept.first().asDict()["toxicity_"] == 8
