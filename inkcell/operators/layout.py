@@ -19,7 +19,9 @@ def sequences(nodes: DataFrame) -> DataFrame:
     and nodes without text give nothing.
     """
     raw = F.coalesce("text", F.lit(""))
-    head = F.array_join(F.transform(text.header_lines(raw), lambda h: text.pad_header(h["align"], encode.line(h["ink"]))), "\n")
+    heads = text.header_lines(raw)  # their inks are encoded as one text: a line each
+    coded = F.split(encode.text(F.array_join(F.transform(heads, lambda h: h["ink"]), "\n")), "\n", -1)
+    head = F.array_join(F.zip_with(heads, coded, lambda h, c: text.pad_header(h["align"], c)), "\n")
     is_head = F.col("node_type") == "Header"
     page_no = (F.col("node_type") == "Footer") & text.strip(raw).rlike("^[0-9]+$")
     rows = nodes.where((F.col("node_type") != "ExamDocument") & (raw != "") & ~page_no)
