@@ -8,8 +8,9 @@ cut to three. Letters spaced out one by one are joined first: every stretch of a
 stretch of whole repeats that has no more of them than the lexicon's longest word has letters (a longer one
 can't be read as a word of it), and all of them. In learning, where there is no lexicon, stretches have at
 most 16 repeats; a longer word that stands between other spaced-out words teaches by its beginnings only.
-The lexicon is learned from labelled documents only: words, and beginnings of words, that occur in toxic documents significantly more than
-chance, each with its smoothed precision. A score is the noisy-or of the restored words' precisions.
+The lexicon is learned from labelled documents only: words, and beginnings of words, that occur in toxic
+documents significantly more than chance, and not only beside other such words, each with its smoothed
+precision. A score is the noisy-or of the restored words' precisions.
 
 Null and empty texts, and any text if nothing was learned, score as texts without toxic words. Repeated
 labels of a document count once; labels with a null id or a null mark are ignored. About ``sample``
@@ -18,9 +19,9 @@ labelled rows at most (chosen by a hash of their id) teach; corpus counts cover
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import materialize, text_slices, words
+from .common import discard, materialize, text_slices, words
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
-#: Log 10 of the chance below which a word's share of toxic documents isn't chance.
+#: Log 10 of the chance below which a word's share of toxic documents isn't chance: for words with toxic
+#: documents of their own, and for words that always stand beside such, as different documents have them.
 SIGNIFICANCE = -5.0
+BESIDE = -12.0
 #: Documents that a shorter beginning's share counts as; the least share that says anything.
 LEAN = 4.0
 LEAST_SHARE = 0.25
@@ -253,27 +256,24 @@ def sample_labels(labels: DataFrame, mark: str, held, sample: int) -> DataFrame:
     return rows if n <= sample else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
 
 
-def count_words(docs: DataFrame, lattice_model) -> DataFrame:
-    """(feature, toxic, clean): labelled documents that hold it; feature "" counts all of them."""
+def word_features(docs: DataFrame, lattice_model) -> DataFrame:
+    """(label, features): what each labelled document holds, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(lattice_model.value)
         cache: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            counts: tuple[Counter, Counter] = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                have = {""}
+                have: set[str] = set()
                 for t in tokens(text.as_py() or ""):
                     if t not in cache:
                         if len(cache) > CACHE_WORDS:
                             cache.clear()
                         cache[t] = tuple(x for r in lattice.readings(t) for x in features(r))
                     have.update(cache[t])
-                counts[1 if label else 0].update(have)
-            names = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][w] for w in names], pa.int64()), pa.array([counts[0][w] for w in names], pa.int64())], names=["feature", "toxic", "clean"])
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([sorted(have)], pa.list_(pa.string()))], names=["label", "features"])
 
-    return docs.select("label", "text").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return docs.select("label", "text").mapInArrow(run, "label int, features array<string>")
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -285,26 +285,85 @@ def tail(k: int, n: int, p: float) -> float:
     return min(0.0, (term - math.log1p(-min(ratio, 0.999))) / math.log(10))
 
 
+def own_evidence(counts: dict[str, tuple[int, int]], holders: list[tuple[int, list[str]]], base: float) -> set[str]:
+    """Features that are significant by toxic documents of their own: the most significant one is taken, the
+    toxic documents that hold it (``holders``: a signature, which copies share, and the features of each)
+    count for no other, and so on. What only stands beside toxic words, as in copies of a toxic document, is
+    left out, unless documents of many signatures have it and clean ones don't."""
+    where: dict[str, set[int]] = {}
+    kinds: dict[str, set[int]] = {}
+    for i, (signature, have) in enumerate(holders):
+        for f in have:
+            where.setdefault(f, set()).add(i)
+            kinds.setdefault(f, set()).add(signature)
+
+    def beside(f: str) -> bool:
+        k = len(kinds.get(f, ()))
+        return tail(k, k + counts[f][1] - counts[f][0], base) <= BESIDE
+
+    def rank(f: str) -> tuple[float, str]:
+        k = len(where.get(f, ()))
+        return tail(k, k + counts[f][1] - counts[f][0], base), f
+
+    heap = [rank(f) for f in counts]
+    heapq.heapify(heap)
+    own = {f for f in counts if beside(f)}
+    while heap and heap[0][0] <= SIGNIFICANCE:
+        was, f = heapq.heappop(heap)
+        now = rank(f)
+        if now[0] > was:  # some of its documents are explained since
+            heapq.heappush(heap, now)
+            continue
+        own.add(f)
+        for i in list(where[f]):
+            for g in holders[i][1]:
+                where[g].discard(i)
+    return own
+
+
+def related(f: str, own: set[str]) -> bool:
+    """Whether the word or beginning is, begins or goes on one of ``own``."""
+    stem = f.lstrip("^")
+    return any(stem.startswith(g.lstrip("^")) if g[0] == "^" else f == g or f[0] == "^" and g.startswith(stem) for g in own)
+
+
 def learn(docs: DataFrame, labels: DataFrame, held, model: langid.Model, sample: int = SAMPLE) -> dict[str, float]:
-    """Feature -> -log(1 - precision) of the significant features."""
+    """Feature -> -log(1 - precision) of the features with toxic documents of their own. What reaches the
+    driver is bounded by ``sample``: the labels, and of the toxic documents the significant features."""
     spark = docs.sparkSession
     # about `sample` ids at most, so the broadcast is bounded by that parameter
     chosen = F.broadcast(sample_labels(labels, "toxic", held, sample))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = count_words(text.join(chosen, "doc_id"), spark.sparkContext.broadcast(model))
-    counted = materialize(counted, "toxicity-words")
-    rows = counted.where("feature = '' or (toxic >= 3 and toxic > clean)").collect()
-    all_toxic, all_clean = next(((r["toxic"], r["clean"]) for r in rows if r["feature"] == ""), (0, 0))
+    found = materialize(word_features(text.join(chosen, "doc_id"), spark.sparkContext.broadcast(model)), "toxicity-words")
+    every = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+    all_toxic, all_clean = every.get(1, 0), every.get(0, 0)
     if not all_toxic or not all_clean:
+        discard(found)
         return {}
     base = all_toxic / (all_toxic + all_clean)
-    sure = [r["feature"] for r in rows if r["feature"] and tail(r["toxic"], r["toxic"] + r["clean"], base) <= SIGNIFICANCE]
-    if not sure:
+    counted = found.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    rows = counted.where("toxic >= 3 and toxic > n - toxic").toArrow()
+    counts = {f: (k, n) for f, k, n in zip(*(c.to_pylist() for c in rows.columns), strict=True) if f and tail(k, n, base) <= SIGNIFICANCE}
+    known = spark.sparkContext.broadcast(frozenset(counts))
+
+    def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            have = [(sign, y) for sign, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (y := [f for f in x if f in known.value])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in have], pa.int64()), pa.array([y for _, y in have], pa.list_(pa.string()))], names=["signature", "features"])
+
+    signature = F.array_min(F.transform("features", lambda f: F.xxhash64(f))).alias("signature")
+    rows = found.where("label = 1").select(signature, "features").mapInArrow(held_by, "signature long, features array<string>").toArrow()
+    holders = list(zip(*(c.to_pylist() for c in rows.columns), strict=True))
+    own = own_evidence(counts, holders, base)
+    if not own:
+        discard(found)
         return {}
-    # every word that shares a beginning with a significant one, so that each gets its own share
+    sure = {f for f in counts if related(f, own)}
+    # every word that shares a beginning with one of these, so that each gets its own share
     heads = spark.createDataFrame([(h,) for h in sorted({x.lstrip("^")[:4] for x in sure})], "head string")
-    near = counted.withColumn("head", F.expr("substring(ltrim('^', feature), 1, 4)")).join(F.broadcast(heads), "head").collect()
-    return weights({r["feature"]: (r["toxic"], r["toxic"] + r["clean"]) for r in near}, set(sure), base)
+    near = counted.withColumn("head", F.expr("substring(ltrim('^', feature), 1, 4)")).join(F.broadcast(heads), "head").select("feature", "toxic", "n").toArrow()
+    discard(found)
+    return weights({f: (k, n) for f, k, n in zip(*(c.to_pylist() for c in near.columns), strict=True)}, sure, base)
 
 
 def weights(counts: dict[str, tuple[int, int]], sure: set[str], base: float) -> dict[str, float]:

@@ -89,3 +89,12 @@ def test_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a", 7, 8)], "doc_id long, text string, Toxicity int, toxicity_ int")
     kept = toxicity.keep_clean(docs, labels)
     assert kept.columns == docs.columns and kept.first().asDict()["toxicity_"] == 8
+
+
+def test_words_beside_toxic_words_teach_nothing():
+    counts = {"bad": (40, 40), "vile": (40, 40), "copied": (9, 10), "rare": (4, 4)}
+    holders = [(i, ["bad", "vile"]) for i in range(20)] + [(i, ["bad", "vile"]) for i in range(20, 31)] + [(7, ["bad", "vile", "copied", "rare"])] * 9
+    own = toxicity.own_evidence(counts, holders, 0.1)
+    assert own == {"bad", "vile"}
+    assert toxicity.related("^ba", own) and toxicity.related("badly", {"^bad"}) and not toxicity.related("copied", own) and not toxicity.related("badly", own)
+    assert "new" in toxicity.own_evidence({"new": (6, 6)} | counts, [*holders, *((90 + i, ["new"]) for i in range(6))], 0.1)
