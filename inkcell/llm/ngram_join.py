@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, discard, gram_hashes, materialize, mix, parallelism, text_slices, word_hash, words
+from .common import LOWER, U64, discard, free_name, gram_hashes, materialize, mix, parallelism, text_slices, word_hash, words
 from .components import components
 
 KEEP = np.ones(256, bool)
@@ -520,9 +520,7 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, the one with the least id (a null id is the largest), all columns as they
     are. Rows without words stay. Rows alike in id and text stay or go together."""
     out = _grouped(*_linked(docs, k, percent, BLOCK, BLOCK_GRAMS))
-    name = "row"
-    while name in (c.lower() for c in docs.columns):
-        name += "_"
+    name = free_name(docs, "row")
     gone = out.where("n > 0 and row <> first.row").select(F.col("row").alias(name)).distinct()
     keyed = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,19 +1,28 @@
-"""Repeated substrings of a corpus by longest-previous-factor arrays over suffix order.
+"""Repeated substrings of a corpus by suffix order: bytes whose longest previous factor reaches a length.
 
 A byte is a copy if it is covered by a string of ``length`` bytes that starts anywhere else too (mode
-``all``), or anywhere earlier in (doc_id, position) order (mode ``later``). Strings are judged on the input.
+``all``), or anywhere earlier in (document, position) order (mode ``later``): where the longest factor found
+elsewhere, or before, is that long. Strings are judged on the input.
 
 Every window of ``length`` bytes is put in the charge of its anchor, the ``gram``-byte string of least hash
-in it (the leftmost of equals), so equal windows have equal anchors. The windows in charge of one anchor
-occurrence make a stretch of text. Each task folds equal stretches; the 64-bit hashes of the rest meet by
-anchor in packed blocks. Stretches that occur again as a whole are settled by that: all but the first are
-copies. Only distinct stretches under one anchor, as at the ends of a shared passage, need their bytes: those
-are cut from their documents and meet by anchor, where they are sorted as suffixes (ranks by prefix doubling,
-compared byte by byte as far as ``length``). Previous and next smaller positions in that order tell which
-windows have an earlier or another match. The spans found move to their documents, once.
-
-Null text is empty. Rows with a null id stay whole and lend no matches; repeated ids are documents of
-their own only if their texts differ from the first, and are cut alike otherwise. Empty tables give none.
+in it (the leftmost of equals), so equal windows have equal anchors at the same place in them. The windows in
+charge of one anchor occurrence make a stretch of text.
+
+1. Equal stretches are folded to the first, by two independent 64-bit hashes, of the anchor and of the whole
+   stretch; all others are copies.
+2. Distinct stretches under one anchor, as at the ends of a shared passage, are cut from their documents.
+   Windows with up to half of their free bytes left of the anchor meet by the bytes right of it that all of
+   them hold, the others by those left of it, so only stretches that share most of a window meet.
+3. There the suffixes that begin at the anchors are sorted, and the reversed prefixes that end there, with the
+   lengths of the common prefixes of neighbours. A window with l bytes left of its anchor belongs to a class
+   of each order, between places where fewer than l, or ``length`` - l, bytes are common; equal pairs of
+   classes are equal bytes. In a class in the order of places, the entry before a window is its previous
+   occurrence, the one behind it its next.
+
+The spans found move to their documents, once. Null text is empty. Rows are told apart by id and text: rows
+with a null id take part like others and are the last in order, repeated ids with unlike texts are documents
+of their own, and rows alike in both are cut alike (mode ``later`` counts them as one). Empty tables give
+none.
 """
 
 from __future__ import annotations
@@ -22,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_CODES, U64, materialize, mix, parallelism, prefix_hash, span_hash, text_slices
+from .common import BASE, BYTE_CODES, U64, free_name, materialize, mix, parallelism, text_slices, word_hash
 
 LENGTH = 200
 GRAM = 32
@@ -45,12 +54,12 @@ def gram_codes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, one past the last, anchor hash) of every stretch; windows count from the
-    beginning of the slice and never cross texts."""
+    """(text, first window, one past the last, anchor, its hash) of every stretch; windows and anchors count
+    from the beginning of the slice, windows never cross texts."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, np.zeros(0, U64)
+        return none, none, none, none, np.zeros(0, U64)
     code = gram_codes(data, gram)
     width = length - gram + 1
     bits = U64(max(1, int(n).bit_length()))
@@ -72,109 +81,109 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     hi = np.concatenate([lo[1:], [w]])
     ok = inside[lo]
     lo, hi = lo[ok], hi[ok]
-    return text[lo], lo, hi, code[anchor[lo]]
+    return text[lo], lo, hi, anchor[lo], code[anchor[lo]]
 
 
-def suffix_ranks(buffer: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the ``length``-byte string at every position with that many bytes left: Karp, Miller and
-    Rosenberg's doubling, equal ranks for equal strings, ranks in byte order."""
-    n = len(buffer)
-    if n < length:
-        return np.zeros(0, np.int64)
-    have = 1
-    rank = buffer.astype(np.int64)
-    while have < length:
-        step = min(have, length - have)
-        m = len(rank) - step
-        key = (rank[:m] << 32) | rank[step : step + m]
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(m, np.int64)
-        rank[order] = new
-        have += step
-    return rank
+def _common(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of sorted rows of bytes, how many are common with the row before; -1 where a group begins."""
+    out = np.full(len(rows), -1)
+    unlike = rows[1:] != rows[:-1]
+    out[1:] = np.where(unlike.any(1), unlike.argmax(1), rows.shape[1])
+    out[1:][group[1:] != group[:-1]] = -1
+    return out
+
 
+def _suffix_order(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of bytes within their groups, and the common prefixes of neighbours."""
+    keyed = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}")[:, 0], kind="stable")
+    return order, _common(rows[order], group[order])
 
-def previous_and_next(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix has an equal prefix at a smaller place, and at a larger one.
 
-    In suffix order with ties by place, the previous smaller place of a suffix within its class is its
-    left neighbour, the next larger its right one; the longest previous factor reaches the compared length
-    just where the left neighbour shares the rank.
+def occurrences(group: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether window l (columns) of each row has an equal one in an earlier, and in a later, row of its group.
+
+    A row's window l is the first l bytes of ``left`` (reversed) and ``length`` - l of ``right``; it has those
+    from ``low`` to ``high``. Rows are in the order of places.
     """
-    order = np.lexsort((place, rank))
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = rank[order][1:] == rank[order][:-1]
-    earlier, later = np.empty(len(order), bool), np.empty(len(order), bool)
-    earlier[order], later[order] = same[:-1], same[1:]
+    m = len(group)
+    earlier, later = (np.zeros((m, int(high.max(initial=0)) + 1), bool) for _ in range(2))
+    order_r, common_r = _suffix_order(right, group)
+    order_l, common_l = _suffix_order(left, group)
+    class_r, class_l = np.empty(m, np.int64), np.empty(m, np.int64)
+    for at in range(int(low.min(initial=0)), earlier.shape[1]):
+        some = np.flatnonzero((low <= at) & (at <= high))
+        if len(some) < 2:
+            continue
+        class_r[order_r] = np.cumsum(common_r < length - at)
+        class_l[order_l] = np.cumsum(common_l < at)
+        key = class_r[some] * (m + 1) + class_l[some]
+        order = np.argsort(key, kind="stable")  # equal windows in the order of places
+        same = key[order][1:] == key[order][:-1]
+        earlier[some[order[1:][same]], at] = True
+        later[some[order[:-1][same]], at] = True
     return earlier, later
 
 
-def longest_previous_factor(data: bytes) -> np.ndarray:
-    """LPF array of a text held in memory, from its suffix array by previous and next smaller positions."""
-    n = len(data)
-    sa = sorted(range(n), key=lambda i: data[i:])
-    out = np.zeros(n, np.int64)
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while i + k < n and j + k < n and data[i + k] == data[j + k]:
-            k += 1
-        return k
-
-    stack: list[int] = []
-    for at in (*sa, None):
-        while stack and (at is None or at < stack[-1]):
-            i = stack.pop()
-            near = [x for x in (stack[-1] if stack else None, at) if x is not None]
-            out[i] = max((common(i, x) for x in near), default=0)
-        if at is not None:
-            stack.append(at)
-    return out
+#: An entry of a block: anchor, stretch hash, document and its text's hash, first window, bytes from there to the
+#: anchor, number of windows, occurrences folded.
+ENTRY = np.dtype([("anchor", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("lo", "<i4"), ("at", "<u2"), ("n", "<u2"), ("many", "<i4")])
+SPANS = "doc long, tie int, los array<int>, his array<int>"
+SCAN = f"kind int, {SPANS}, bucket int, block binary"
+INTS = pa.list_(pa.int32())
+TYPES = {"kind": pa.int32(), "doc": pa.int64(), "tie": pa.int32(), "los": INTS, "his": INTS, "bucket": pa.int32(), "block": pa.binary()}
 
 
-SCAN = "kind int, doc_id long, los array<int>, his array<int>, bucket int, block binary"
-#: An entry of a block: anchor, stretch hash, document, first window, number of windows, occurrences folded.
-ENTRY = np.dtype([("anchor", "<u8"), ("stretch", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4"), ("many", "<i4")])
+def _rows(kind: int, n: int, **have) -> pa.RecordBatch:
+    cols = {"kind": pa.array(np.full(n, kind), pa.int32())} | {c: pa.array(have[c], t) if c in have else pa.nulls(n, t) for c, t in TYPES.items() if c != "kind"}
+    return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
-def _first_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in the order (anchor, stretch, doc, lo), and where a new stretch begins."""
-    e = e[np.lexsort((e["lo"], e["doc"], e["stretch"], e["anchor"]))]
+def _first_of(e: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The first entry of every stretch, in the order of anchors and with all its occurrences, and the entries
+    that are copies."""
+    e = e[np.lexsort((e["lo"], e["tie"], e["doc"], e["stretch"], e["anchor"]))]
     new = np.ones(len(e), bool)
     new[1:] = (e["anchor"][1:] != e["anchor"][:-1]) | (e["stretch"][1:] != e["stretch"][:-1])
-    return e, new
-
-
-def _cover(docs: np.ndarray, los: np.ndarray, his: np.ndarray) -> tuple[list[int], list[list[int]], list[list[int]]]:
-    """Byte spans of each document, merged."""
-    order = np.lexsort((los, docs))
-    docs, los, his = docs[order], los[order], his[order]
-    out_d: list[int] = []
-    out_l: list[list[int]] = []
-    out_h: list[list[int]] = []
-    for d, lo, hi in zip(docs.tolist(), los.tolist(), his.tolist(), strict=True):
-        if out_d and out_d[-1] == d:
-            if lo <= out_h[-1][-1]:
-                out_h[-1][-1] = max(hi, out_h[-1][-1])
-            else:
-                out_l[-1].append(lo)
-                out_h[-1].append(hi)
+    group = np.cumsum(new) - 1
+    many = np.bincount(group, e["many"]).astype(np.int32)
+    first = e[new]
+    if every:
+        copies = many[group] > 1
+    else:  # a row alike in id and text is the same document
+        f = first[group]
+        copies = (e["lo"] != f["lo"]) | (e["tie"] != f["tie"]) | (e["doc"] != f["doc"])
+    first["many"] = many
+    return first, e[copies]
+
+
+def _cover(docs: np.ndarray, ties: np.ndarray, los: np.ndarray, his: np.ndarray) -> pa.RecordBatch:
+    """Spans of each document, merged where they touch."""
+    order = np.lexsort((los, ties, docs))
+    docs, ties, los, his = docs[order], ties[order], los[order], his[order]
+    out: list[list] = [[], [], [], []]
+    last = None
+    for d, t, lo, hi in zip(docs.tolist(), ties.tolist(), los.tolist(), his.tolist(), strict=True):
+        if (d, t) != last:
+            last = d, t
+            for c, x in zip(out, (d, t, [lo], [hi]), strict=True):
+                c.append(x)
+        elif lo <= out[3][-1][-1]:
+            out[3][-1][-1] = max(hi, out[3][-1][-1])
         else:
-            out_d.append(d)
-            out_l.append([lo])
-            out_h.append([hi])
-    return out_d, out_l, out_h
+            out[2][-1].append(lo)
+            out[3][-1].append(hi)
+    return _rows(0, len(out[0]), doc=out[0], tie=out[1], los=out[2], his=out[3])
+
 
+def _covered(c: np.ndarray, length: int) -> pa.RecordBatch:
+    lo = c["lo"].astype(np.int64)
+    return _cover(c["doc"], c["tie"], lo, lo + c["n"] + (length - 1))
 
-def _rows(kind: int, docs: list[int], los: list, his: list, bucket: list | None = None, block: list | None = None) -> pa.RecordBatch:
-    n = len(bucket) if bucket is not None else len(docs)
-    ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n, pa.int32()), pa.array(docs, pa.int64()) if bucket is None else pa.nulls(n, pa.int64()), pa.array(los, ints) if bucket is None else pa.nulls(n, ints), pa.array(his, ints) if bucket is None else pa.nulls(n, ints), pa.array(bucket, pa.int32()) if bucket is not None else pa.nulls(n, pa.int32()), pa.array(block, pa.binary()) if block is not None else pa.nulls(n, pa.binary())],
-        names=["kind", "doc_id", "los", "his", "bucket", "block"],
-    )
+
+def _cuts(x: np.ndarray) -> list[int]:
+    """Where runs of equal entries begin, and the end."""
+    return [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
 
 
 def _scan(text: DataFrame, length: int, gram: int, every: bool, buckets: int) -> DataFrame:
@@ -187,31 +196,25 @@ def _scan(text: DataFrame, length: int, gram: int, every: bool, buckets: int) ->
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if held:
-                e, new = _first_of(np.concatenate(held))
-                group = np.cumsum(new) - 1
-                many = np.bincount(group, e["many"]).astype(np.int32)
-                copies = ~new | ((many[group] > 1) if every else False)
-                c = e[copies]
+                e, c = _first_of(np.concatenate(held), every)
                 if len(c):
-                    yield _rows(0, *_cover(c["doc"], c["lo"], c["lo"] + c["n"] + (length - 1)))
-                e = e[new]
-                e["many"] = many
+                    yield _covered(c, length)
                 bucket = (e["anchor"] % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                e, cut = e[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                yield _rows(1, [], [], [], some, [e[cut[b] : cut[b + 1]].tobytes() for b in some])
+                e, bucket = e[order], bucket[order]
+                cut = _cuts(bucket)
+                yield _rows(1, len(cut) - 1, bucket=bucket[cut[:-1]].astype(np.int32), block=[e[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])
             held.clear()
             size = 0
 
         for batch in batches:
             for part, data, offsets in text_slices(batch):
-                doc, lo, hi, anchor = stretches(data, offsets, length, gram)
+                doc, lo, hi, anchor, code = stretches(data, offsets, length, gram)
                 if len(doc):
                     e = np.empty(len(doc), ENTRY)
-                    e["anchor"], e["stretch"] = anchor, span_hash(prefix_hash(data), lo, hi + length - 1)
-                    e["doc"] = part.column(0).to_numpy()[doc]
-                    e["lo"], e["n"], e["many"] = lo - offsets[doc], hi - lo, 1
+                    e["anchor"], e["stretch"] = code, word_hash(data, lo, hi + length - 1)
+                    e["doc"], e["tie"] = part.column(0).to_numpy()[doc], part.column(1).to_numpy()[doc]
+                    e["lo"], e["at"], e["n"], e["many"] = lo - offsets[doc], anchor - lo, hi - lo, 1
                     held.append(e)
                 size += len(data)
                 if size >= FOLD_BYTES:
@@ -222,8 +225,7 @@ def _scan(text: DataFrame, length: int, gram: int, every: bool, buckets: int) ->
 
 
 def _settle(blocks: DataFrame, length: int, every: bool, partitions: int) -> DataFrame:
-    """kind 0: spans settled by whole stretches; kind 1: per document, stretches whose bytes are needed, as
-    (windows from, to) in los/his and their entries in block."""
+    """kind 0: spans settled by whole stretches; kind 1: per document, entries whose bytes are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -231,115 +233,150 @@ def _settle(blocks: DataFrame, length: int, every: bool, partitions: int) -> Dat
             for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(b, []).append(np.frombuffer(x, ENTRY))
         for b in list(held):
-            e, new = _first_of(np.concatenate(held.pop(b)))
-            group = np.cumsum(new) - 1
-            many = np.bincount(group, e["many"]).astype(np.int32)
-            copies = ~new | ((many[group] > 1) if every else False)
-            c = e[copies]
+            e, c = _first_of(np.concatenate(held.pop(b)), every)
             if len(c):
-                yield _rows(0, *_cover(c["doc"], c["lo"], c["lo"] + c["n"] + (length - 1)))
-            e = e[new]
-            e["many"] = many
+                yield _covered(c, length)
             # anchors with more than one stretch
-            head = np.ones(len(e), bool)
-            head[1:] = e["anchor"][1:] != e["anchor"][:-1]
-            which = np.cumsum(head) - 1
+            which = np.cumsum(np.concatenate([[True], e["anchor"][1:] != e["anchor"][:-1]])) - 1
             e = e[np.bincount(which)[which] > 1]
             if len(e):
-                e = e[np.lexsort((e["lo"], e["doc"]))]
-                cut = np.concatenate([[0], np.flatnonzero(np.diff(e["doc"])) + 1, [len(e)]])
+                e = e[np.lexsort((e["lo"], e["tie"], e["doc"]))]
+                cut = _cuts(e[["doc", "tie"]])
                 for at in range(0, len(cut) - 1, 4096):
-                    part = [(cut[i], cut[i + 1]) for i in range(at, min(at + 4096, len(cut) - 1))]
-                    docs = [int(e["doc"][a]) for a, _ in part]
-                    yield pa.RecordBatch.from_arrays([pa.array([1] * len(part), pa.int32()), pa.array(docs, pa.int64()), pa.nulls(len(part), pa.list_(pa.int32())), pa.nulls(len(part), pa.list_(pa.int32())), pa.nulls(len(part), pa.int32()), pa.array([e[a:b].tobytes() for a, b in part], pa.binary())], names=["kind", "doc_id", "los", "his", "bucket", "block"])
+                    part = list(zip(cut[at : at + 4096], cut[at + 1 : at + 4097], strict=False))
+                    first = e[[a for a, _ in part]]
+                    yield _rows(1, len(part), doc=first["doc"], tie=first["tie"], block=[e[a:b].tobytes() for a, b in part])
 
     return blocks.select("bucket", "block").repartition(partitions, "bucket").mapInArrow(run, SCAN)
 
 
-def _cut_out(needed: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, lo, known (settled already), body: the bytes of each stretch asked for."""
+CUT = "meet long, doc long, tie int, lo int, low int, high int, known boolean, prefix binary, suffix binary"
+
+
+def _cut_out(needed: DataFrame, length: int, gram: int) -> DataFrame:
+    """CUT: of each stretch asked for, the half of its windows that meets by what is right of the anchor, and
+    the half that meets by what is left of it; ``lo``: place of the anchor, ``low``, ``high``: bytes of the
+    windows before it."""
+    half = (length - gram) // 2
+    names = [x.split()[0] for x in CUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                body = batch.column(1)[i].as_py()
-                for x in batch.column(2)[i].as_py():
-                    e = np.frombuffer(x, ENTRY)
-                    lo, n = e["lo"].tolist(), e["n"].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(e["anchor"].astype(np.int64)), pa.array(e["doc"]), pa.array(e["lo"]), pa.array(e["many"] > 1), pa.array([body[a : a + k + length - 1] for a, k in zip(lo, n, strict=True)], pa.binary())], names=["anchor", "doc_id", "lo", "known", "body"])
-
-    return needed.mapInArrow(run, "anchor long, doc_id long, lo int, known boolean, body binary")
+                body = batch.column(2)[i].as_py()
+                e = np.concatenate([np.frombuffer(x, ENTRY) for x in batch.column(3)[i].as_py()])
+                data = np.frombuffer(body, np.uint8)
+                at = e["lo"].astype(np.int64) + e["at"]
+                high = e["at"].astype(np.int64)
+                low = high - e["n"] + 1
+                for right in (True, False):
+                    on = low <= half if right else high > half
+                    if not on.any():
+                        continue
+                    f, a = e[on], at[on]
+                    h = np.minimum(high[on], half) if right else high[on]
+                    w = low[on] if right else np.maximum(low[on], half + 1)
+                    meet = word_hash(data, a, a + (length - half)) if right else word_hash(data, a - (half + 1), a)
+                    meet = mix(meet ^ f["anchor"] ^ U64(right)).view(np.int64)
+                    prefix = [body[x - y : x] for x, y in zip(a.tolist(), h.tolist(), strict=True)]
+                    suffix = [body[x : x + length - y] for x, y in zip(a.tolist(), w.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(meet), pa.array(f["doc"]), pa.array(f["tie"]), pa.array(a, pa.int32()), pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(f["many"] > 1), pa.array(prefix, pa.binary()), pa.array(suffix, pa.binary())], names=names)
+
+    return needed.mapInArrow(run, CUT)
+
+
+def _matrix(parts: list[bytes], reverse: bool) -> np.ndarray:
+    """Rows of bytes (reversed if asked), padded with zeros."""
+    size = np.array([len(x) for x in parts])
+    out = np.zeros((len(parts), max(1, int(size.max(initial=0)))), np.uint8)
+    flat = np.frombuffer(b"".join(parts), np.uint8)
+    row = np.repeat(np.arange(len(parts)), size)
+    col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out[row, np.repeat(size, size) - 1 - col if reverse else col] = flat
+    return out
 
 
 def _resolve(cut: DataFrame, length: int, every: bool, partitions: int) -> DataFrame:
-    """Spans of copies among the stretches of each anchor, by suffix order."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[2]))
-        sizes = np.array([len(r[4]) for r in rows])
-        buffer = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        rank = suffix_ranks(buffer, length)
-        n = sizes - (length - 1)
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        # rows are in (document, position) order, so places in the buffer are too; but overlapping stretches
-        # of one document may hold the same window only under one anchor occurrence, so none counts twice
-        earlier, later = previous_and_next(rank[at], at)
-        # windows under unlike anchors are never equal, so no pairing by anchor is needed
-        copy = earlier | later if every else earlier
-        owner = np.repeat(np.arange(len(rows)), n)
-        if every:
-            copy &= ~np.array([r[3] for r in rows])[owner]
-        own, pos = owner[copy], at[copy]
-        docs = np.array([r[1] for r in rows], np.int64)[own]
-        lo = pos - starts[own] + np.array([r[2] for r in rows])[own]
-        run_of = np.ones(len(lo), bool)
-        run_of[1:] = (own[1:] != own[:-1]) | (lo[1:] != lo[:-1] + 1)
-        first = np.flatnonzero(run_of)
-        last = np.concatenate([first[1:], [len(lo)]]) - 1 if len(first) else first
-        return _rows(0, *_cover(docs[first], lo[first], lo[last] + length))
+    """Spans of copies among the stretches that meet, by suffix order."""
+
+    def solve(rows: dict[str, list]) -> pa.RecordBatch:
+        meet, doc, tie, lo = (np.array(rows[c], np.int64) for c in ("meet", "doc", "tie", "lo"))
+        order = np.lexsort((lo, tie, doc, meet))
+        same = np.zeros(len(order), bool)  # the same stretch of rows alike in id and text
+        same[1:] = (meet[order][1:] == meet[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (tie[order][1:] == tie[order][:-1]) & (lo[order][1:] == lo[order][:-1])
+        order = order[~same]
+        group = np.cumsum(np.concatenate([[True], meet[order][1:] != meet[order][:-1]])) - 1
+        shared = np.bincount(group)[group] > 1
+        order, group = order[shared], group[shared]
+        if not len(order):
+            return _rows(0, 0)
+        doc, tie, lo = doc[order], tie[order], lo[order]
+        low, high, known = (np.array(rows[c])[order] for c in ("low", "high", "known"))
+        pick = order.tolist()
+        earlier, later = occurrences(group, _matrix([rows["prefix"][i] for i in pick], True), _matrix([rows["suffix"][i] for i in pick], False), low, high, length)
+        copy = (earlier | later) & ~known[:, None] if every else earlier
+        # runs of windows make spans
+        edge = np.diff(np.pad(copy, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        _, past = np.nonzero(edge == -1)
+        return _cover(doc[row], tie[row], lo[row] - (past - 1), lo[row] - first + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        size, anchor = 0, None
+        rows: dict[str, list] = {}
+        size, last = 0, None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != anchor and size >= SORT_BYTES:
+            cols = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            began = 0
+            for i, m in enumerate(cols["meet"]):
+                if m != last and size >= SORT_BYTES:  # between two groups
+                    for n, c in cols.items():
+                        rows.setdefault(n, []).extend(c[began:i])
                     yield solve(rows)
-                    rows, size = [], 0
-                anchor = r[0]
-                rows.append(r)
-                size += len(r[4])
-        if rows:
+                    rows, size, began = {}, 0, i
+                last = m
+                size += len(cols["prefix"][i]) + len(cols["suffix"][i])
+            for n, c in cols.items():
+                rows.setdefault(n, []).extend(c[began:])
+        if rows and rows["meet"]:
             yield solve(rows)
 
-    return cut.repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(run, SCAN)
+    return cut.repartition(partitions, "meet").sortWithinPartitions("meet").mapInArrow(run, SCAN)
+
+
+def _key() -> tuple[Column, Column]:
+    """What tells rows apart: the id (of a null one, a number above usual ids that the text gives), and a hash of
+    the text."""
+    text = F.col("text").cast("string")
+    given = F.shiftrightunsigned(F.xxhash64(text), 3) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), given), F.hash(text)
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+    doc, tie = _key()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), tie.alias("tie"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
 def copied_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "all") -> DataFrame:
-    """doc_id, los, his: byte spans of copies, one row for each document that has any; they may touch or
-    overlap."""
+    """SPANS: byte spans of copies, one row for each document that has any; they may touch or overlap."""
     every = mode == "all"
     n = parallelism(docs.sparkSession, docs)
-    body = _bodies(docs)
-    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    body = _bodies(docs).drop("doc_id")
+    doc, tie = _key()
+    text = docs.select(doc.alias("doc"), tie.alias("tie"), F.col("text").cast("string").alias("text"))
     scan = materialize(_scan(text, length, gram, every, n), "suffix-scan")
     settled = materialize(_settle(scan.where("kind = 1"), length, every, n), "suffix-settled")
-    asked = settled.where("kind = 1").groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
-    needed = body.join(asked, "doc_id").select("doc_id", "body", "blocks")
-    found = _resolve(_cut_out(needed, length), length, every, n)
-    spans = scan.where("kind = 0").select("doc_id", "los", "his").unionByName(settled.where("kind = 0").select("doc_id", "los", "his")).unionByName(found.select("doc_id", "los", "his"))
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("los")).alias("los"), F.flatten(F.collect_list("his")).alias("his"))
+    asked = settled.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list("block").alias("blocks"))
+    needed = body.join(asked, ["doc", "tie"]).select("doc", "tie", "body", "blocks")
+    found = _resolve(_cut_out(needed, length, gram), length, every, n)
+    names = ["doc", "tie", "los", "his"]
+    spans = scan.where("kind = 0").select(*names).unionByName(settled.where("kind = 0").select(*names)).unionByName(found.select(*names))
+    return spans.groupBy("doc", "tie").agg(F.flatten(F.collect_list("los")).alias("los"), F.flatten(F.collect_list("his")).alias("his"))
 
 
 def copies(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode: str = "all") -> DataFrame:
     """doc_id, body (binary), los, his (null: none) for every row. Both uses of the bodies here share one
     shuffle of them."""
-    return _bodies(docs).join(copied_spans(docs, length, gram, mode), "doc_id", "left").select("doc_id", "body", "los", "his")
+    return _bodies(docs).join(copied_spans(docs, length, gram, mode), ["doc", "tie"], "left").select("doc_id", "body", "los", "his")
 
 
 def _merged(los: list[int] | None, his: list[int] | None) -> list[tuple[int, int]]:
@@ -406,5 +443,9 @@ def remove_later(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     names = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.select(*names).join(found.select("doc_id", F.col("los").alias("__los"), F.col("his").alias("__his")), "doc_id", "left").select(*names, "__los", "__his")
+    own = {c: free_name(docs, c) for c in ("doc", "tie", "los", "his")}
+    found = found.select(*(F.col(c).alias(n) for c, n in own.items()))
+    doc, tie = _key()
+    keyed = docs.withColumns({own["doc"]: doc, own["tie"]: tie})
+    joined = keyed.join(found, [own["doc"], own["tie"]], "left").select(*names, own["los"], own["his"])
     return joined.mapInArrow(run, schema)

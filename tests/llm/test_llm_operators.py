@@ -261,13 +261,75 @@ def test_remove_later_keeps_rows(spark):
     assert suffix_dedup.remove_later(docs_of(spark, [])).count() == 0
 
 
-def test_longest_previous_factor():
-    data = b"abracadabra banana"
-    want = [max([k for j in range(i) for k in range(len(data) - i + 1) if data[j : j + k] == data[i : i + k]] or [0]) for i in range(len(data))]
-    assert suffix_dedup.longest_previous_factor(data).tolist() == want
-    rank = suffix_dedup.suffix_ranks(np.frombuffer(data, np.uint8), 3)
-    order = sorted(range(len(rank)), key=lambda i: data[i : i + 3])
-    assert all(rank[a] <= rank[b] for a, b in zip(order, order[1:], strict=False)) and rank[0] == rank[7]
+def longest_previous_factors(data):
+    """LPF array of a text, from its suffix array by previous and next smaller positions."""
+    sa = sorted(range(len(data)), key=lambda i: data[i:])
+    out, stack = [0] * len(data), []
+
+    def common(i, j):
+        k = 0
+        while i + k < len(data) and j + k < len(data) and data[i + k] == data[j + k]:
+            k += 1
+        return k
+
+    for at in (*sa, -1):
+        while stack and at < stack[-1]:
+            i = stack.pop()
+            out[i] = max([common(i, x) for x in (stack[-1] if stack else None, at) if x is not None and x >= 0], default=0)
+        stack.append(at)
+    return out
+
+
+def test_later_copies_are_long_previous_factors(spark):
+    rng = random.Random(8)
+    length, text = 24, ""
+    while len(text) < 3000:
+        at = rng.randrange(max(1, len(text)))
+        text += rng.choice(["".join(rng.choice("ab ") for _ in range(30)), text[at : at + rng.randint(1, 80)]])
+    want = np.zeros(len(text), bool)
+    for i, n in enumerate(longest_previous_factors(text.encode())):
+        if n >= length:
+            want[i : i + length] = True
+    r = suffix_dedup.copies(docs_of(spark, [text]), length, 8, "later").first()
+    got = np.zeros(len(text), bool)
+    for lo, hi in zip(r.los, r.his, strict=True):
+        got[lo:hi] = True
+    assert (got == want).all() and want.any() and not want.all()
+
+
+def test_copies_of_rows_alike(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c, d = text(600), text(900), text(500), text(300)
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, "x" + c), (None, d), (5, d), (5, d), (7, "own " * 3)]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(4)
+    got = {}
+    for r in suffix_dedup.digest(suffix_dedup.copies(df)).collect():
+        got.setdefault((r.doc_id, r.n_bytes), []).append(r.n_removed)
+    assert got == {(1, 600): [600], (1, 900): [0], (2, 600): [600], (None, 500): [500], (None, 501): [500], (None, 300): [300], (5, 300): [300] * 2, (7, 12): [0]}
+    left = collections.Counter((r.doc_id, len(r.text)) for r in suffix_dedup.remove_later(df).collect())
+    first = {(1, 600): 1, (1, 900): 1, (2, 0): 1, (5, 300): 2, (7, 12): 1, (None, 0): 1}  # rows alike in id and text are cut alike
+    assert {k: n for k, n in left.items() if k in first} == first and sorted(n for (i, n) in left if i is None) in ([0, 1, 500], [0, 0, 501])
+
+
+def test_copies_under_one_anchor(spark, monkeypatch):
+    """Hundreds of variants of a passage, blocks and folds of a few rows, clashing columns."""
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "FOLD_BYTES", 5000)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(260))
+    docs = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            t[rng.randrange(len(t))] = rng.choice("XYZ")
+        docs.append((i, "".join(t)))
+    d = docs_of(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(5)
+    for mode in ("all", "later"):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(suffix_dedup.copies(d, 60, 16, mode)).collect()}
+        assert got == brute_copies(docs, 60, mode == "later")
+    clash = d.withColumn("doc", F.lit(1)).withColumn("TIE", F.lit(2)).withColumn("los", F.lit(3))
+    assert suffix_dedup.remove_later(clash, 60, 16).columns == clash.columns
 
 
 # ---- 6 top-k
