@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import discard, materialize, text_slices, words
+from .common import discard, free_name, materialize, text_slices, words
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -41,7 +41,10 @@ BESIDE = -12.0
 #: Documents that a shorter beginning's share counts as; the least share that says anything.
 LEAN = 4.0
 LEAST_SHARE = 0.25
+#: Entries of a worker's caches: weights of tokens, readings of tokens, and code lengths.
 CACHE_WORDS = 300_000
+CACHE_READINGS = 50_000
+CACHE_COSTS = 100_000
 #: Characters of a joined stretch that may begin and end within repeats; least bound of one that may not.
 STRETCH = 16
 
@@ -108,7 +111,7 @@ class Lattice:
     def cost(self, state: tuple[int, int], text: str) -> tuple[tuple[int, int], float]:
         key = state, text
         if key not in self.costs:
-            if len(self.costs) > CACHE_WORDS:
+            if len(self.costs) > CACHE_COSTS:
                 self.costs.clear()
             self.costs[key] = self._cost(state, text)
         return self.costs[key]
@@ -263,15 +266,20 @@ def word_features(docs: DataFrame, lattice_model) -> DataFrame:
         lattice = Lattice(lattice_model.value)
         cache: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                have: set[str] = set()
-                for t in tokens(text.as_py() or ""):
-                    if t not in cache:
-                        if len(cache) > CACHE_WORDS:
-                            cache.clear()
-                        cache[t] = tuple(x for r in lattice.readings(t) for x in features(r))
-                    have.update(cache[t])
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([sorted(have)], pa.list_(pa.string()))], names=["label", "features"])
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                rows: list[list[str]] = []
+                for text in part.column(1):
+                    have: set[str] = set()
+                    for t in tokens(text.as_py() or ""):
+                        if t not in cache:
+                            if len(cache) > CACHE_READINGS:
+                                cache.clear()
+                            cache[t] = tuple(lattice.readings(t))
+                        for r in cache[t]:
+                            have.update(features(r))
+                    rows.append(list(have))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["label", "features"])
 
     return docs.select("label", "text").mapInArrow(run, "label int, features array<string>")
 
@@ -457,7 +465,5 @@ def predict(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, thres
 
 def keep_clean(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows that score below the threshold, as they are, whatever columns they have."""
-    name = "toxicity"
-    while name in (c.lower() for c in docs.columns):
-        name += "_"
+    name = free_name(docs, "toxicity")
     return scored(docs, labels, of, out, sample, name).where(F.col(name) < threshold).drop(name)
