@@ -335,22 +335,35 @@ def test_copies_under_one_anchor(spark, monkeypatch):
 # ---- 6 top-k
 
 
-@pytest.mark.parametrize("block,head", [(8192, 2048), (3, 4)])
-def test_top_k(spark, block, head, monkeypatch):
-    monkeypatch.setattr(topk, "HEAD_ROWS", head)
+@pytest.mark.parametrize("block,chunk", [(4096, 2048), (3, 7)])
+def test_top_k(spark, block, chunk, monkeypatch):
+    monkeypatch.setattr(topk, "OPEN", 2)
     rng = np.random.default_rng(3)
     v = (rng.standard_normal((700, 9)) * rng.random((700, 1)) ** 3).astype(np.float32)
     v[5] = v[6] = v[7]
     rows = [(i, x.tolist(), 1.0, [0]) for i, x in enumerate(v)] + [(900, None, 1.0, [0]), (950, [float("nan")] * 9, 1.0, [0]), (1000, [], 1.0, [0]), (None, v[0].tolist(), 1.0, [0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, norm double, v array<int>")
     got = collections.defaultdict(list)
-    for r in topk.top_k(df, block=block).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, block=block, chunk=chunk).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     q = np.floor(256 * v.astype(np.float64)).astype(np.int64)
     want = {i: sorted(((j, int(q[i] @ q[j])) for j in range(700) if j != i), key=lambda x: (-x[1], x[0]))[:5] for i in range(0, 700, 50)}
     assert dict(got) == want
 
 
+@pytest.mark.parametrize("size", [3e4, 2e5, 2e6])
+def test_top_k_is_exact_beyond_floats(spark, size):
+    rng = np.random.default_rng(int(size))
+    v = (rng.standard_normal((120, 8)) * size).round(3)
+    v[60:] = v[:60] + rng.integers(-1, 2, (60, 8)) / 256  # scores that differ in their last digits
+    got = collections.defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    q = [[int(y) for y in x] for x in np.floor(256 * v)]
+    want = {i: sorted(((j, sum(a * b for a, b in zip(q[i], q[j], strict=True))) for j in range(120) if j != i), key=lambda x: (-x[1], x[0]))[:5] for i in (0, 50, 100)}
+    assert dict(got) == want
+
+
 def test_top_k_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.top_k(spark.createDataFrame([], schema)).count() == 0
