@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, shared_dir
+from .common import materialize, parallelism, shared_dir
 
 MAGIC = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
@@ -33,6 +33,8 @@ DICTIONARY_BYTES = 64 << 10
 #: Records of the dictionary's sample, and bytes taken of each.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 16 << 10
+#: Digests (of 32 bytes) that are broadcast at most.
+BROADCAST_ROWS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -81,12 +83,17 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), refers_to: null for what is to be a response."""
+    """page_id, url, payload (binary), refers_to: null for what is to be a response.
+
+    Only digests and ids meet, to find the payloads that occur again. If these are few enough their digests are
+    broadcast, so that pages stay where they are; else pages are dealt out by digest.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("key", F.sha2("payload", 256))
+    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
     groups = rows.where(F.length("payload") >= least).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    joined = rows.join(groups.where("n > 1 and last is not null").drop("n"), "key", "left")
+    again = materialize(groups.where("n > 1 and last is not null").select("key", "last"), "warc-repeats")
+    joined = rows.join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "key", "left")
     other = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("last")))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("last")).alias("refers_to"))
 

@@ -190,7 +190,9 @@ def test_additive_model_learns_an_interaction():
 # ---- 4 WARC
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most", [warc.BROADCAST_ROWS, 0])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     pages = [(1, "http://a/\r\nX: y", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>one</p>"), (None, "v", "alone"), (7, "w", "ü" * 200_000), (9, "w", "<p>one</p>")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, key int")
     got = {(r.page_id, r.payload_bytes): r for r in warc.round_trip(df).collect()}
