@@ -43,8 +43,9 @@ BLOCK_GRAMS = 4 << 20
 STRIP = 4096
 #: Sets under one key that are paired; more are tied to one of them.
 FEW = 4
-#: Bytes of text whose parts a task folds together.
+#: Bytes of text whose n-grams, and whose part keys, a task folds together.
 FOLD_BYTES = 24 << 20
+KEY_FOLD_BYTES = 6 << 20
 #: N-grams on the list of frequent ones at most, sets of one fold that must hold one, and levels: n-grams of
 #: level l are in FREQUENT_FROM * 8 ** (l - 1) sets or more.
 FREQUENT = 1 << 20
@@ -318,7 +319,7 @@ def _part_keys(docs: DataFrame, k: int, percent: int, buckets: int, frequent) ->
                 keys, owners = parts.keys(grams, offs, np.array(which, np.int64), frequent.value)
                 held.append((keys, node[owners]))
                 size += len(data)
-                if size >= FOLD_BYTES:
+                if size >= KEY_FOLD_BYTES:
                     yield from flush()
         yield from flush()
 

@@ -493,6 +493,7 @@ def test_ngram_join(spark, k, percent, block):
 def test_ngram_join_hot_group(spark, monkeypatch):
     """A group of near copies whose members share their parts, blocks bounded by n-grams, folds of a few rows."""
     monkeypatch.setattr(ngram_join, "FOLD_BYTES", 4000)
+    monkeypatch.setattr(ngram_join, "KEY_FOLD_BYTES", 4000)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     docs = []
