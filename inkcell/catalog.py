@@ -11,6 +11,7 @@ from .functions import cells, decode, encode, tags, text
 from .functions import tables as t
 from .operators import annotations, compare, layout, lines, nav, physical, semantics
 from .plans import views as V
+from .sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,14 +132,30 @@ def topn_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- encoding
 
-SYLLABLES = quoted(encode.SYLLABLE_LIST)
 RANGE_SQL = r"\[\s*[0-9]{1,2}\s*[~\-–—]\s*[0-9]{1,2}\s*\]"
-SINGLES = {" ": " ", "\t": " "} | t.WORDS | {c: f"7#{b}7" for c, b in zip(t.CIRCLED, t.CIRCLED_CELLS, strict=True)} | t.INK_PUNCTUATION
+SINGLES = {" ": " ", "\t": " ", "①": "7#a7", "②": "7#b7", "③": "7#c7", "④": "7#d7", "⑤": "7#e7"}
+SINGLES |= {"그러나": "ac", "그러면": "a3", "그러므로": "a5", "그런데": "an", "그래서": "as", "그리고": "au", "그리하여": "a:"}
+SINGLES |= {".": "4", "!": "6", "?": "8", ",": "1", ":": "3", "-": "-", "(": "8'", ")": ",0", "[": "82", "]": ";0", '"': "8", "'": "'", "/": "/", "=": "=", "*": "99", "~": "-", "<": "7", ">": "7"}
+SINGLES |= {"‘": ",8", "’": "0'", "“": "8", "”": "0", "『": ";8", "』": "02", "「": '"8', "」": "01", "…": "444", "·": "1;", "～": "-", "※": "99", "ⓒ": "7c7", "〈": "7", "〉": "7"}
 SINGLES_SQL = "map {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in SINGLES.items()) + "}"
 DIGITS_SQL = lambda x: f"'#' || translate({x}, '1234567890', 'abcdefghij')"
 IS_SYLLABLE = lambda x: f"(unicode({x}) between 44032 and 55203)"
 
 
+# The standard's cells once more, apart from the engine's tables; the alias stands for the cell of ㄱ.
+SPELLED = r"""jm as (
+  select list_value('`', ',`', 'c', 'i', ',i', '"', 'e', '^', ',^', ',', ',,', '', '.', ',.', ';', 'f', 'h', 'd', 'j') as ini,
+    list_value('<', 'r', '>', '>r', 's', 'n', ':', '/', 'u', 'v', 'vr', 'y', '+', 'm', 'p', 'pr', 'mr', '%', '[', 'w', 'o') as vow,
+    list_value('', 'a', 'aa', 'a''', '3', '3k', '30', '9', '1', '1a', '15', '1b', '1''', '18', '14', '10', '5', 'b', 'b''', '''', '/', '7', 'k', '2', '6', '8', '4', '0') as fin,
+    list_value('$', null, 'c', 'i', null, null, 'e', '^', null, 'l', null, null, '.', null, null, 'f', 'h', 'd', 'j') as wa,
+    map {'4-1': '?', '4-4': ')', '4-8': 't', '6-4': '*', '6-8': chr(92), '6-21': ']', '8-1': 'x', '8-4': '(', '8-21': '=', '13-4': 'g', '13-8': '&', '18-4': 'z', '18-8': '!', '20-4': 'q'} as rime
+), sy as (
+  select x, case when x = 4 * 28 + 19 then '_s' when rime[v || '-' || f] is not null then ini[i + 1] || rime[v || '-' || f]
+    when v = 0 and wa[i + 1] is not null then wa[i + 1] || fin[f + 1] else ini[i + 1] || vow[v + 1] || fin[f + 1] end as cells
+  from (select x, x // 588 as i, x % 588 // 28 as v, x % 28 as f from (select unnest(range(0, 11172)) as x)), jm
+)"""
+
+
 def encode_sql(source: str, column: str) -> str:
     """Encoding of lines as SQL: the same tokens, looked up in the same tables."""
     held = "regexp_replace(translate(tok, '(),', chr(1) || chr(2) || chr(3)), '([A-Z])', ',\\1', 'g')"
@@ -147,7 +164,7 @@ def encode_sql(source: str, column: str) -> str:
     token = quoted("|".join([RANGE_SQL, *sorted(t.WORDS, key=lambda w: (-len(w), w)), "[0-9]+", encode.LATIN, r"(?s:.)"]))
     return f"""{source}, eh as (select doc_id, n, {column} as x, regexp_extract({column}, {quoted(encode.NUMBER)}, 1) as head from {'k' if column == 'ink' else 'l'}),
 et as (select doc_id, n, head, regexp_extract_all(case when head <> '' then regexp_replace(x, {quoted(encode.NUMBER)}, '') else x end, {token}) as toks from eh),
-tab as (select string_split({SYLLABLES}, '|') as syl, {SINGLES_SQL} as one),
+{SPELLED}, tab as (select (select list(cells order by x) from sy) as syl, {SINGLES_SQL} as one),
 eu as (select doc_id, n, head, tab.syl, tab.one, toks[i] as tok, i, toks[i + 1] as nxt, toks[i + 2] as aft from (select *, unnest(range(1, len(toks) + 1)) as i from et), tab),
 ec as (
   select doc_id, n, i, case
@@ -168,7 +185,7 @@ def encode_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", encode.number(F.col("n_chars").cast("string")).alias("number"), encode.passage_range(span).alias("span"))
 
 
-@query(f"with s as (select string_split({SYLLABLES}, '|') as syl) select event_id, chr((44032 + event_id % 11172)::int) as ink, syl[event_id % 11172 + 1] as cells from events, s")
+@query(f"with {SPELLED} select event_id, chr((44032 + event_id % 11172)::int) as ink, cells from events join sy on x = event_id % 11172")
 def encode_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = "".join(chr(0xAC00 + i) for i in range(len(t.SYLLABLES)))
     rows = V.table(spark, sf_dir, "events").select("event_id", F.substring(F.lit(every), (F.col("event_id") % 11172 + 1).cast("int"), F.lit(1)).alias("ink"))
@@ -185,11 +202,14 @@ def encode_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.lines(spark, sf_dir).select("doc_id", "n", encode.line(F.col("raw_ascii")).alias("cells"))
 
 
-@query("""with b as (select item_id, case when item_id % 2 = 0 then 'center' else 'left' end as align, trim(left(text, (item_id % 40)::int)) as body from benchmark)
-select item_id, case when length(body) >= 32 then left(body, 32) when body = '' then '' when align = 'center' then repeat(' ', (32 - length(body)) // 2) || body else '  ' || body end as head from b""")
+@query("""with i as (select item_id, item_id % 40 + 1 as w, text from benchmark), p as (select item_id, w, (k - 1)::int as n, text[((k - 1) * w + 1)::bigint : (k * w)::bigint] as body from (select *, unnest(range(1, ((length(text) + w - 1) // w + 1)::bigint)) as k from i)),
+b as (select item_id, n, case when n % 2 = 0 then 'center' else 'left' end as align, trim(body, ' ' || chr(9) || chr(10) || chr(13)) as body from p)
+select item_id, n, case when length(body) >= 32 then left(body, 32) when body = '' then '' when align = 'center' then repeat(' ', (32 - length(body)) // 2) || body else '  ' || body end as head from b""")
 def header_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    align = F.when(F.col("item_id") % 2 == 0, "center").otherwise("left")
-    return V.table(spark, sf_dir, "benchmark").select("item_id", text.pad_header(align, F.substring("text", F.lit(1), (F.col("item_id") % 40).cast("int"))).alias("head"))
+    """Whole items in pieces of 1 to 40 characters, every other one centred."""
+    pieces = F.expr("transform(filter(sequence(0, int((length(text) + w - 1) div w)), k -> k * w < length(text)), k -> substring(text, int(k * w + 1), w))")
+    rows = V.table(spark, sf_dir, "benchmark").selectExpr("item_id", "text", "int(item_id % 40 + 1) as w").select("item_id", F.posexplode(pieces).alias("n", "body"))
+    return rows.select("item_id", "n", text.pad_header(F.when(F.col("n") % 2 == 0, "center").otherwise("left"), F.col("body")).alias("head"))
 
 
 # ---- tags
@@ -369,7 +389,8 @@ def merge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.array_join("line_ids", ",").alias("line_ids"), "reading_order")
 
 
-@query(f"""with {V.SPANS}, f as (select doc_id, min(y0) as foot from sp where y0 >= 842 * 0.90::double group by doc_id), b as (select d.doc_id, 842 * 0.06::double as head, greatest(coalesce(foot, 842 * 0.96::double) - 4, 842 * 0.06::double + 50) as foot from (select distinct doc_id from sp) d left join f using (doc_id)),
+@query(f"""with {V.SPANS}, f as (select doc_id, min(y0) as foot from sp where y0 >= 842 * 0.90::double group by doc_id), se as (select doc_id, median(y1) as sep from (select doc_id, page_number, median(y1) as y1 from sp where length(trim(text)) >= 8 and regexp_matches(trim(text), '^[━─_\\-=*]+$') and len(list_distinct(string_split(trim(text), ''))) <= 2 and y0 < 250 group by doc_id, page_number) group by doc_id),
+b as (select doc_id, head, greatest(coalesce(foot, 842 * 0.96::double) - 4, head + 50) as foot from (select d.doc_id, coalesce(sep, 842 * 0.06::double) as head, foot from (select distinct doc_id from sp) d left join f using (doc_id) left join se using (doc_id))),
 o as (select sp.doc_id, page_number, x0, x1, (x0 + x1) / 2 as m from sp join b using (doc_id) where y0 >= head and y0 < b.foot),
 s as (select doc_id, page_number, max(case when m < 595 * 0.5 then x1 end) as l, min(case when m >= 595 * 0.5 then x0 end) as r from o group by doc_id, page_number having count(*) >= 4 and count(*) filter (m < 595 * 0.5) >= 2 and count(*) filter (m >= 595 * 0.5) >= 2),
 g as (select o.doc_id, o.page_number, m, lead(m) over (partition by o.doc_id, o.page_number order by m) as nx from o join s on o.doc_id = s.doc_id and o.page_number = s.page_number where s.r <= s.l),
@@ -395,10 +416,11 @@ def layout_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.lines(spark, sf_dir).select("doc_id", F.col("n").alias("row_no"), F.concat(F.lit("x"), "n").alias("node_id"), F.when(F.col("n") % 4 == 0, "").otherwise(F.substring("raw_ascii", 1, 32)).alias("ascii_text"))
+    """Whole lines as rows; the blank ones are the text's own."""
+    return V.lines(spark, sf_dir).select("doc_id", F.col("n").alias("row_no"), F.concat(F.lit("x"), "n").alias("node_id"), F.col("raw_ascii").alias("ascii_text"))
 
 
-PAGES_SQL = f"""{V.LINES}, q as (select doc_id, n, n // 10 as page, n % 10 as ofs, 'x' || n as node_id, case when n % 4 = 0 then '' else left(raw_ascii, 32) end as a from l),
+PAGES_SQL = f"""{V.LINES}, q as (select doc_id, n, n // 10 as page, n % 10 as ofs, 'x' || n as node_id, raw_ascii as a from l),
 s as (select *, case when page > 0 and first_value(a) over (partition by doc_id, page order by n) <> '' then 1 else 0 end as shift from q)"""
 
 
@@ -446,14 +468,55 @@ def last_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.last_of_key(compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir)))).select("doc_id", "key", "seg_no", "ink_text")
 
 
-@query(f"""with {V.VIEWS_OF_LINES}, n as (select *, row_number() over (partition by doc_id, key order by seg_no desc) as rn from sg where kind in ('passage_group', 'question')), k as (select * from n where rn = 1),
-a as (select doc_id, key, ink_text from k where doc_id % 3 <> 0 or length(ink_text) % 2 = 0), b as (select doc_id, key, ink_text from k where length(ink_text) % 5 <> 0)
-select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.key, b.key) as key, case when b.key is null then 'missing_in_reference' when a.key is null then 'missing_in_generated' else 'aligned_ok' end as classification
-from a full join b on a.doc_id = b.doc_id and a.key = b.key""")
+def _segment_diffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    seg = compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir)))
+    other = V.reference_segments(seg)
+    return compare.compare_segments(seg, other), seg, other
+
+
+DIFFS = f"{V.VIEWS_OF_LINES}{V.OTHER_SEGMENTS}"
+
+
+@query(f"with {DIFFS} select doc_id, key, classification, score, generated_ink, reference_ink from sd")
 def segment_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = compare.last_of_key(compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir))).where(F.col("kind").isin("passage_group", "question")))
-    diffs = compare.compare_segments(seg.where("doc_id % 3 <> 0 or length(ink_text) % 2 = 0"), seg.where("length(ink_text) % 5 <> 0"))
-    return diffs.select("doc_id", "key", "classification")
+    return _segment_diffs(spark, sf_dir)[0]
+
+
+@query(f"""with {DIFFS} select doc_id, count(*) filter (classification in ('aligned_ok', 'content_mismatch')) as aligned, count(*) filter (classification = 'aligned_ok') as aligned_ok, count(*) filter (classification = 'content_mismatch') as content_mismatch,
+  count(*) filter (classification = 'expected_guidance') as expected_guidance, count(*) filter (classification = 'missing_in_generated') as missing_in_generated, count(*) filter (classification = 'missing_in_reference') as missing_in_reference from sd group by doc_id""")
+def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.segment_summary(_segment_diffs(spark, sf_dir)[0])
+
+
+RANKED = """sk as (
+  select *, case when key like 'passage:%' then 0 when key like 'question:%' then 1 else 2 end as kd, coalesce(nullif(regexp_extract(key, '^passage:([0-9]+)-([0-9]+)$', 1), '')::int, 0) as pa, coalesce(nullif(regexp_extract(key, '^passage:([0-9]+)-([0-9]+)$', 2), '')::int, 0) as pb, coalesce(nullif(regexp_extract(key, '^question:([0-9]+)$', 1), '')::int, 0) as qn from sd
+), sr as (
+  select *, row_number() over (partition by doc_id, classification order by case when classification = 'content_mismatch' then score else 0 end, kd, case kd when 0 then pa when 1 then qn else 0 end, case kd when 0 then pb else 0 end, key)::int as rank from sk
+)"""
+
+
+@query(f"with {DIFFS}, {RANKED} select doc_id, classification, key, score, rank from sr")
+def ordered_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.ordered_diffs(_segment_diffs(spark, sf_dir)[0]).select("doc_id", "classification", "key", "score", "rank")
+
+
+CLIPPED = lambda c: f"(case when length(trim(replace({c}, chr(10), ' '))) <= 72 then trim(replace({c}, chr(10), ' ')) else left(trim(replace({c}, chr(10), ' ')), 71) || '…' end)"
+
+
+@query(f"""with {DIFFS}, {RANKED}, it as (
+  select *, '  [' || key || '] ' || case classification when 'content_mismatch' then '유사도 ' || round_even(score * 100, 0)::int || '% — 정렬된 구간 내용 불일치' || chr(10) || '    gen: ' || {CLIPPED('generated_ink')} || chr(10) || '    ref: ' || {CLIPPED('reference_ink')}
+    when 'expected_guidance' then '참고본 안내·머리말 등으로 보임' || chr(10) || '    ref: ' || {CLIPPED('reference_ink')} when 'missing_in_generated' then {CLIPPED('reference_ink')} else {CLIPPED('generated_ink')} end as line from sr where classification <> 'aligned_ok'
+), pt as (
+  select doc_id, classification, case classification when 'content_mismatch' then 1 when 'expected_guidance' then 2 when 'missing_in_generated' then 3 else 4 end as place,
+    chr(10) || chr(10) || case classification when 'content_mismatch' then '> 오류 후보' when 'expected_guidance' then '> 예상 차이 (참고에만 있는 안내·메타 등)' when 'missing_in_generated' then '> 생성본에 없는 시험 구간 (참고에만 있음)' else '> 참고본에 없는 생성 구간' end || chr(10)
+    || string_agg(line, chr(10) order by rank) filter (rank <= 8) || case when count(*) > 8 and classification in ('content_mismatch', 'expected_guidance') then chr(10) || '  … 외 ' || (count(*) - 8) || '건' else '' end as part from it group by doc_id, classification
+), pa as (select doc_id, string_agg(part, '' order by place) as parts from pt group by doc_id),
+cn as (select doc_id, count(*) as g from sg group by doc_id),
+ss as (select doc_id, count(*) filter (classification in ('aligned_ok', 'content_mismatch')) as al, count(*) filter (classification = 'aligned_ok') as ok, count(*) filter (classification = 'content_mismatch') as cm, count(*) filter (classification = 'expected_guidance') as eg, count(*) filter (classification = 'missing_in_generated') as mg, count(*) filter (classification = 'missing_in_reference') as mr from sd group by doc_id)
+select cn.doc_id, '=== 시험 내용 비교 (안내문 허용) ===' || chr(10) || '구간 생성 ' || g || ' / 참고 ' || g || chr(10) || '정렬됨 ' || coalesce(al, 0) || ' · 내용 일치 ' || coalesce(ok, 0) || chr(10) || '오류 후보(내용 불일치) ' || coalesce(cm, 0) || chr(10) || '예상 차이(안내·레이아웃 등) ' || coalesce(eg, 0)
+  || chr(10) || '생성에 없음 ' || coalesce(mg, 0) || ' · 참고에 없음 ' || coalesce(mr, 0) || coalesce(parts, '') as report from cn left join ss using (doc_id) left join pa using (doc_id)""")
+def content_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.content_report(*_segment_diffs(spark, sf_dir))
 
 
 @query(f"""with {V.VIEWS_OF_LINES}, u as (select distinct doc_id, key from sg),
@@ -537,3 +600,126 @@ def annotations_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = annotations.accept_candidates(annotations.apply(*V.annotations(spark, sf_dir)))
     return made.select("doc_id", "global_index", F.array_join("tags", ",").alias("tags"))
+
+
+# ---- records, heads and stand-ins
+
+
+@query(f"with {COMPARED}, s as (select doc_id, {TOTALS} from c group by doc_id), d as (select *, row_number() over (partition by doc_id order by page_index, line_index) as nth from c where not matched),\n"
+       "t as (select doc_id, string_agg('  p' || (page_index + 1) || ' L' || (line_index + 1) || ' (' || format('{:.0f}', cell_equal / cell_total * 100) || '%)' || chr(10) || '    gen: ' || generated || chr(10) || '    ref: ' || reference, chr(10) order by nth) as diffs from d where nth <= 12 group by doc_id)\n"
+       "select s.doc_id, 'lines ' || generated_lines || '/' || reference_lines || ', matched ' || matched_lines || ' (' || format('{:.1f}', matched_lines / greatest(generated_lines, reference_lines, 1) * 100) || '%)' || chr(10) || 'cells ' || cell_equal || '/' || cell_total || ' (' || format('{:.1f}', case when cell_total = 0 then 1 else cell_equal / cell_total end * 100) || '%)' || coalesce(chr(10) || diffs, '') as report from s left join t using (doc_id)")
+def compare_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.report(compare.compare_lines(*V.pair(spark, sf_dir)))
+
+
+@query(f"""with {V.TREE}, u as (select user_id as doc_id, event_id from events)
+select doc_id, 'PassageGroup ' || count(*) filter (node_type = 'PassageGroup') || ' · Passage ' || count(*) filter (node_type = 'Passage') || ' · Question ' || count(*) filter (node_type = 'Question') || ' · Choice ' || count(*) filter (node_type = 'Choice') || ' · ExampleBox ' || count(*) filter (node_type = 'ExampleBox')
+  || ' · relations ' || count(*) filter (node_type = 'Question' and parent_id <> 'exam-root') || ' · unclassified ' || count(*) filter (node_type = 'Unknown') as summary from tr group by doc_id""")
+def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.summary(_nodes(spark, sf_dir))
+
+
+@query(f"with {V.TREE} select doc_id, id as node_id, 'Unknown' as node_type, 'exam-root' as parent_id, text, 0.0::double as confidence, (row_number() over (partition by doc_id order by page_number, reading_order, id) - 1)::int as child_ordinal from vb")
+def unknown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.all_unknown(V.blocks(spark, sf_dir))
+
+
+@query(f"""with {V.LINES}, f as (select doc_id, n, row_number() over (partition by doc_id order by n) - 1 as k, raw_ascii from l)
+select doc_id, (k // 24)::int as page_index, (k % 24)::int as line_index, 'x' || n as node_id, raw_ascii as ascii_text from f""")
+def plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = V.lines(spark, sf_dir).select("doc_id", F.col("n").alias("seq_no"), F.concat(F.lit("x"), "n").alias("node_id"), F.col("raw_ascii").alias("ascii"))
+    return layout.plain(seqs).select("doc_id", "page_index", F.col("line_index").cast("int").alias("line_index"), "node_id", "ascii_text")
+
+
+HEADED = "case n % 7 when 0 then concat('2026 학년도 ', n % 12 + 1, '월  고', n % 3 + 1, ' 전국연합학력평가 문제지 ', n) when 1 then concat('제 ', n % 4 + 1, ' 교시국어영역') when 2 then string(n) when 3 then concat(raw_ascii, ' ', n % 100) when 4 then concat('국어 ', n) when 5 then '━━━ ━━━' else raw_ascii end"
+HEADED_SQL = "case n % 7 when 0 then '2026 학년도 ' || (n % 12 + 1) || '월  고' || (n % 3 + 1) || ' 전국연합학력평가 문제지 ' || n when 1 then '제 ' || (n % 4 + 1) || ' 교시국어영역' when 2 then n::varchar when 3 then raw_ascii || ' ' || (n % 100) when 4 then '국어 ' || n when 5 then '━━━ ━━━' else raw_ascii end"
+SKIPPED = lambda x: f"""({x} = '' or regexp_matches({x}, '^[0-9]{{1,3}}$') or regexp_matches({x}, '^[\\s━─=_\\-]+$') or (not contains({x}, '학년도') and not contains({x}, '교시') and contains({x}, '국어') and length({x}) < 24 and (regexp_matches({x}, '[0-9]\\s*고[0-9]') or starts_with({x}, '국어'))))"""
+
+
+@query(f"""with {V.LINES}, h as (select doc_id, n, trim({HEADED_SQL}) as x from l),
+h1 as (select *, regexp_replace(regexp_replace(replace(replace(regexp_replace(x, '\\s+', ' ', 'g'), '교시국어', '교시 국어'), '국어영역', '국어 영역'), '고\\s+([0-9])', '고\\1', 'g'), '제\\s*([0-9]+)\\s*교시', '제\\1교시', 'g') as s from h),
+h2 as (select *, {SKIPPED('x')} as skipped, trim(regexp_replace(s, '\\s+[0-9]{{1,3}}\\s*$', '')) as rest from h1)
+select doc_id, n, skipped, case when skipped then '' when regexp_matches(s, '^[0-9]{{4}}\\s*학년도\\s+[0-9]+\\s*월\\s+고\\s*[0-9]\\s+전국연합학력평가\\s*문제지(\\s+[0-9]+)?\\s*$')
+    then 'left:' || regexp_extract(s, '^([0-9]{{4}}\\s*학년도\\s+[0-9]+\\s*월\\s+고\\s*[0-9])\\s+(전국연합학력평가\\s*문제지)', 1) || '|left:' || regexp_extract(s, '^([0-9]{{4}}\\s*학년도\\s+[0-9]+\\s*월\\s+고\\s*[0-9])\\s+(전국연합학력평가\\s*문제지)', 2)
+  when regexp_matches(s, '^제[0-9]+교시\\s+국어\\s+영역\\s*$') then 'center:제' || regexp_extract(s, '^제([0-9]+)교시', 1) || '교시|center:국어 영역'
+  when rest <> '' and not {SKIPPED('rest')} then 'left:' || rest else '' end as heads from h2""")
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.lines(spark, sf_dir).select("doc_id", "n", F.expr(HEADED).alias("x"))
+    heads = F.array_join(F.transform(text.header_lines(F.col("x")), lambda h: F.concat(h["align"], F.lit(":"), h["ink"])), "|")
+    return rows.select("doc_id", "n", text.skip_header(F.col("x")).alias("skipped"), heads.alias("heads"))
+
+
+@query(f"""with {BLOCKS_SQL}, li as (select doc_id, page_number, id as line_id, text as t, x0, y0, x0 + length(text) as x1, y1, 'p' || page_number || '-b' || (block_no - 1) as b, row_number() over (partition by doc_id, page_number, block_no order by y0, x0, line_index) as nth, count(*) over (partition by doc_id, page_number, block_no) as many, (block_no - 1)::int as made from (select *, x0 + length(text) as x1 from pn)),
+hv as (select *, case when made % 2 = 0 and many > 1 and nth > greatest(1, many // 2) then 1 else 0 end as half from li)
+select doc_id, page_number, b || case when half = 1 then '-split' else '' end as id, string_agg(t, chr(10) order by nth) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, string_agg(line_id, ',' order by nth) as line_ids, max(made + half)::int as reading_order from hv group by doc_id, page_number, b, half""")
+def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other block split behind its middle line."""
+    lines_ = V.print_lines(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    made = physical.build_blocks(lines_).withColumns({"candidate_tags": none, "tags": none, "notes": F.lit(None).cast("string")})
+    out = physical.split_middle(made, lines_, made.where("reading_order % 2 = 0"))
+    return out.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.array_join("line_ids", ",").alias("line_ids"), "reading_order")
+
+
+@query(f"""with {BLOCKS_SQL}, n as (select *, count(*) over (partition by doc_id, page_number) as n from bk), r as (select *, 0 as dest, made = 1 as it from n)
+select doc_id, page_number, id, (case when n = 1 then made when it then dest else made - case when made > 1 then 1 else 0 end + case when made - case when made > 1 then 1 else 0 end >= dest then 1 else 0 end end)::int as reading_order from r""")
+def nudge_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second block of each page a place up."""
+    made = physical.build_blocks(V.print_lines(spark, sf_dir))
+    return physical.nudge_block(made, made.where("reading_order = 1").select("doc_id", "page_number", "id", F.lit(-1).alias("by"))).select("doc_id", "page_number", "id", "reading_order")
+
+
+@query(f"""with {V.TREE}, h as (select *, case when node_type = 'Question' then node_id end as hit from tr)
+select doc_id, node_id, case when is_nav then last_value(hit ignore nulls) over (partition by doc_id order by dfs_order rows between unbounded preceding and 1 preceding) end as target from h""")
+def prev_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nav.step_of_type(_nodes(spark, sf_dir), "Question", forward=False)
+
+
+@query(f"""with {NAV_SQL}, up as (
+  select a.doc_id, a.node_id, list_filter([c.node_type, b.node_type], lambda x: x is not null) as above from tr a left join tr b on a.doc_id = b.doc_id and a.parent_id = b.node_id left join tr c on b.doc_id = c.doc_id and b.parent_id = c.node_id
+), kd as (select doc_id, parent_id, string_agg(node_id, ',' order by child_ordinal) as every, string_agg(node_id, ',' order by child_ordinal) filter (is_nav) as navigable from tr group by doc_id, parent_id)
+select am.doc_id, am.node_id, coalesce(kd.navigable, kd.every, '') as child_ids, array_to_string(list_append(above, node_type || ': ' || case when q || b = '' then am.node_id when length(q || b) > 48 then left(q || b, 47) || '…' else q || b end), ' > ') as summary
+from (select *, case when question_number is not null then question_number || '. ' else '' end as q, trim(replace(text, chr(10), ' ')) as b from am) am left join up on am.doc_id = up.doc_id and am.node_id = up.node_id left join kd on am.doc_id = kd.doc_id and am.node_id = kd.parent_id""")
+def nav_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = nav.locations(nav.index(_nodes(spark, sf_dir)))
+    return made.select("doc_id", "node_id", F.array_join("child_ids", ",").alias("child_ids"), "summary")
+
+
+@query(f"""with {V.ANNOTATIONS}, c as (select doc_id, count(*) as lines, count(distinct page_index) as pages from ap group by doc_id)
+select c.doc_id, lines::int as line_count, pages::int as page_count, coalesce(string_agg(global_index || ':' || tags || ':' || coalesce(notes, ''), ';' order by global_index) filter (tags <> '' or coalesce(notes, '') <> ''), '') as marks from c left join ap using (doc_id) group by c.doc_id, lines, pages""")
+def annotations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation records written as JSON and read again."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("source_path"))
+    made = annotations.export_json(annotations.apply(*V.annotations(spark, sf_dir)), docs)
+    back = made.select("doc_id", F.from_json("json", records.ANNOTATIONS).alias("r"))
+    mark = F.transform("r.lines", lambda x: F.concat(x["global_index"].cast("string"), F.lit(":"), F.array_join(x["tags"], ","), F.lit(":"), F.coalesce(x["notes"], F.lit(""))))
+    return back.select("doc_id", "r.line_count", "r.page_count", F.array_join(mark, ";").alias("marks"))
+
+
+@query(f"""with {V.PRINT_LINES} select doc_id, page_number, id, text, x0, y0, x0 + length(text) as x1, y1, line_index as reading_order from p""")
+def structure_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages written as structure records in JSON and read again."""
+    line = F.struct("id", "text", F.array("x0", "y0", "x1", "y1").alias("bbox"), F.array().cast("array<string>").alias("span_ids"), "page_number", "reading_order")
+    pages = V.print_lines(spark, sf_dir).groupBy("doc_id", "page_number").agg(F.collect_list(line).alias("lines"))
+    page = F.struct("page_number", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.array().cast(f"array<{records.SPAN}>").alias("spans"), "lines", F.array().cast(f"array<{records.BLOCK}>").alias("blocks"))
+    docs = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("page_count"), F.collect_list(page).alias("pages")).withColumns({"source_path": F.concat(F.lit("d"), "doc_id"), "metadata": F.lit(None).cast("string")})
+    back = records.to_json(docs).select("doc_id", F.from_json("json", records.STRUCTURE).alias("r")).select("doc_id", "r.*")
+    return records.part(back, "lines").select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", "reading_order")
+
+
+@query(f"""with {V.SPANS}, m as (select doc_id, page_number, (x0 + x1) / 2 as m, count(*) over (partition by doc_id, page_number) as n, max(x1) over (partition by doc_id, page_number) as extent from sp),
+gp as (select *, lead(m) over w - m as gap, (m + lead(m) over w) / 2 as cut from m window w as (partition by doc_id, page_number order by m)),
+ok as (select * from gp where n >= 6 and gap > 0 and cut >= extent * 0.28::double and cut <= extent * 0.72::double),
+b as (select *, row_number() over (partition by doc_id, page_number order by gap desc, cut) as rn from ok)
+select sp.doc_id, sp.page_number, id, case when cut is null then 0 when x1 - x0 > cut and x0 < cut and cut < x1 then -1 when (x0 + x1) / 2 < cut then 0 else 1 end as col from sp left join (select * from b where rn = 1 and gap >= 24) c on sp.doc_id = c.doc_id and sp.page_number = c.page_number""")
+def column_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns without a profile, by each page's own cut."""
+    spans = V.spans(spark, sf_dir)
+    return physical.assign_columns(spans, cuts=physical.line_cuts(spans)).select("doc_id", "page_number", "id", "col")
+
+
+@query()
+def preview_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and ink of encoded lines; from_cells: the ink read from the Unicode cells, which is the same."""
+    coded = V.ink(spark, sf_dir).select("doc_id", "n", encode.line(F.col("ink")).alias("x")).select("doc_id", "n", decode.preview(F.col("x")).alias("p")).select("doc_id", "n", "p.*")
+    return coded.withColumn("from_cells", decode.decode_unicode(F.col("unicode_braille")))

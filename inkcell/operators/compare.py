@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..functions.decode import similarity
-from ..functions.text import norm_ink, norm_line, strip
+from ..functions.text import clip, norm_ink, norm_line, strip
 
 POSITION = ["doc_id", "page_index", "line_index"]
 
@@ -63,9 +63,9 @@ def first_diffs(compared: DataFrame, most: int = 200) -> DataFrame:
 def report(compared: DataFrame, most: int = 12) -> DataFrame:
     """doc_id, report: the summary as text, with the first differences."""
     s = summary(compared)
-    order = F.array_sort(F.collect_list(F.struct("nth", F.format_string("  p%d L%d (%.0f%%)\n    gen: %s\n    ref: %s", F.col("page_index") + 1, F.col("line_index") + 1, F.col("match_ratio") * 100, F.col("generated"), F.col("reference")).alias("t"))))
+    order = F.array_sort(F.collect_list(F.struct("nth", F.format_string("  p%d L%d (%.0f%%)\n    gen: %s\n    ref: %s", F.col("page_index") + 1, F.col("line_index") + 1, F.bround(F.col("match_ratio") * 100), F.col("generated"), F.col("reference")).alias("t"))))
     diffs = first_diffs(compared, most).groupBy("doc_id").agg(F.array_join(F.transform(order, lambda x: x["t"]), "\n").alias("diffs"))
-    head = F.format_string("lines %d/%d, matched %d (%.1f%%)\ncells %d/%d (%.1f%%)", "generated_lines", "reference_lines", "matched_lines", F.col("line_match_ratio") * 100, "cell_equal", "cell_total", F.col("cell_match_ratio") * 100)
+    head = F.format_string("lines %d/%d, matched %d (%.1f%%)\ncells %d/%d (%.1f%%)", "generated_lines", "reference_lines", "matched_lines", F.bround(F.col("line_match_ratio") * 100, 1), "cell_equal", "cell_total", F.bround(F.col("cell_match_ratio") * 100, 1))
     return s.join(diffs, "doc_id", "left").select("doc_id", F.concat_ws("\n", head, "diffs").alias("report"))
 
 
@@ -130,3 +130,35 @@ def segment_summary(diffs: DataFrame) -> DataFrame:
 def ordered_diffs(diffs: DataFrame) -> DataFrame:
     """Mismatches by score, all else by key."""
     return diffs.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "classification").orderBy(F.when(F.col("classification") == "content_mismatch", F.col("score")).otherwise(0.0), tags.key_rank(F.col("key")))))
+
+
+# Headings and details of the report.
+HEADS = {
+    "content_mismatch": "> 오류 후보", "expected_guidance": "> 예상 차이 (참고에만 있는 안내·메타 등)",
+    "missing_in_generated": "> 생성본에 없는 시험 구간 (참고에만 있음)", "missing_in_reference": "> 참고본에 없는 생성 구간",
+}
+MISMATCH, GUIDANCE_ONLY = "정렬된 구간 내용 불일치", "참고본 안내·머리말 등으로 보임"
+
+
+def content_report(diffs: DataFrame, generated: DataFrame, reference: DataFrame, most: int = 8, width: int = 72) -> DataFrame:
+    """doc_id, report: counts of segments and classes, and the first ``most`` of each class, clipped. Mismatches
+    come by score, all else by key. ``diffs``: of ``compare_segments`` over the two sides' segments."""
+    clip_ = lambda c: clip(c, width)
+    head = F.concat(F.lit("  ["), "key", F.lit("] "))
+    line = (
+        F.when(F.col("classification") == "content_mismatch", F.concat(head, F.lit("유사도 "), F.format_string("%.0f%%", F.bround(F.col("score") * 100)), F.lit(f" — {MISMATCH}\n    gen: "), clip_(F.col("generated_ink")), F.lit("\n    ref: "), clip_(F.col("reference_ink"))))
+        .when(F.col("classification") == "expected_guidance", F.concat(head, F.lit(f"{GUIDANCE_ONLY}\n    ref: "), clip_(F.col("reference_ink"))))
+        .when(F.col("classification") == "missing_in_generated", F.concat(head, clip_(F.col("reference_ink"))))
+        .otherwise(F.concat(head, clip_(F.col("generated_ink"))))
+    )
+    rows = ordered_diffs(diffs).where(F.col("classification").isin(*HEADS)).withColumn("line", line)
+    per = rows.groupBy("doc_id", "classification").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "line")))).alias("items"))
+    more = F.when((F.col("n") > most) & F.col("classification").isin("content_mismatch", "expected_guidance"), F.concat(F.lit("\n  … 외 "), (F.col("n") - most).cast("string"), F.lit("건"))).otherwise("")
+    title = F.create_map(*(F.lit(x) for kv in HEADS.items() for x in kv))
+    place = F.array_position(F.lit(list(HEADS)), F.col("classification"))
+    part = F.concat(F.lit("\n\n"), title[F.col("classification")], F.lit("\n"), F.array_join(F.transform("items", lambda x: x["line"]), "\n"), more)
+    parts = per.withColumn("part", F.struct(place.alias("place"), part.alias("text"))).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"]), "").alias("parts"))
+    sizes = generated.groupBy("doc_id").agg(F.count("*").alias("g")).join(reference.groupBy("doc_id").agg(F.count("*").alias("r")), "doc_id", "full_outer")
+    all_ = sizes.join(segment_summary(diffs), "doc_id", "left").join(parts, "doc_id", "left").na.fill(0)
+    top = F.format_string("=== 시험 내용 비교 (안내문 허용) ===\n구간 생성 %d / 참고 %d\n정렬됨 %d · 내용 일치 %d\n오류 후보(내용 불일치) %d\n예상 차이(안내·레이아웃 등) %d\n생성에 없음 %d · 참고에 없음 %d", "g", "r", "aligned", "aligned_ok", "content_mismatch", "expected_guidance", "missing_in_generated", "missing_in_reference")
+    return all_.select("doc_id", F.concat(top, F.coalesce("parts", F.lit(""))).alias("report"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import encode, text
 from ..functions.decode import wrap
@@ -66,7 +68,8 @@ def paginate(rows: DataFrame, lines_per_page: int = LINES_PER_PAGE, compat_trunc
 
     A later page begins with a blank row. ``compat_truncate``: the blank pushes the last row off a full page
     (what the established output has); otherwise pages hold one row less where they begin with text, so
-    nothing is lost. Row numbers decide the page, so both are one window a document.
+    nothing is lost. Row numbers, from 0 without gaps, decide the page: in the first case by themselves, in the
+    second with one bit a row, from which the pages' first rows follow.
     """
     n = max(1, lines_per_page)
     if compat_truncate:
@@ -78,15 +81,37 @@ def paginate(rows: DataFrame, lines_per_page: int = LINES_PER_PAGE, compat_trunc
         lines = laid.where(F.col("line_index") < n)
         blanks = lines.where((F.col("shift") == 1) & (F.col("line_index") == 1)).select("doc_id", "page_index", F.lit(0).alias("line_index"), F.lit(None).cast("string").alias("node_id"), F.lit("").alias("ascii_text")) if n > 1 else laid.where((F.col("shift") == 1) & (F.col("line_index") == 1)).select("doc_id", "page_index", F.lit(0).alias("line_index"), F.lit(None).cast("string").alias("node_id"), F.lit("").alias("ascii_text"))
         return lines.drop("shift").unionByName(blanks)
-    item = F.array_sort(F.collect_list(F.struct("row_no", "node_id", "ascii_text")))
-    step = "struct<page:int,line:int,out:array<struct<page_index:int,line_index:int,node_id:string,ascii_text:string>>>"
-    fold = F.expr(f"""
-        aggregate(items, cast(named_struct('page', 0, 'line', 0, 'out', array()) as {step}), (s, r) ->
-          case when s.line < {n} then cast(named_struct('page', s.page, 'line', s.line + 1, 'out', array_append(s.out, named_struct('page_index', s.page, 'line_index', s.line, 'node_id', r.node_id, 'ascii_text', r.ascii_text))) as {step})
-          when r.ascii_text = '' or {n} = 1 then cast(named_struct('page', s.page + 1, 'line', 1, 'out', array_append(s.out, named_struct('page_index', s.page + 1, 'line_index', 0, 'node_id', r.node_id, 'ascii_text', r.ascii_text))) as {step})
-          else cast(named_struct('page', s.page + 1, 'line', 2, 'out', concat(s.out, array(named_struct('page_index', s.page + 1, 'line_index', 0, 'node_id', null, 'ascii_text', ''), named_struct('page_index', s.page + 1, 'line_index', 1, 'node_id', r.node_id, 'ascii_text', r.ascii_text)))) as {step}) end,
-          s -> s.out)""")
-    return rows.groupBy("doc_id").agg(item.alias("items")).select("doc_id", F.explode(fold).alias("x")).select("doc_id", "x.*")
+    dealt = rows.repartition("doc_id")
+    blank = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", (F.col("ascii_text") == "").cast("int").cast("string").alias("blank")))), lambda x: x["blank"]), "")
+    starts = dealt.groupBy("doc_id").agg(blank.alias("blank")).select("doc_id", F.posexplode(_page_starts(F.col("blank"), F.lit(n))).alias("page_index", "row_no"))
+    order = Window.partitionBy("doc_id").orderBy("row_no", F.col("start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = dealt.select("doc_id", "row_no", F.lit(False).alias("start"), F.lit(None).cast("int").alias("page_index"), "node_id", "ascii_text").unionByName(
+        starts.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.lit(True).alias("start"), "page_index", F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("string").alias("ascii_text")))
+    page = F.last(F.when(F.col("start"), F.struct("page_index", "row_no")), ignorenulls=True).over(order)
+    laid = both.withColumn("page", page).where(~F.col("start"))
+    first = F.first("ascii_text").over(Window.partitionBy("doc_id", "page.page_index").orderBy("row_no"))
+    shift = ((F.col("page.page_index") > 0) & (first != "") & F.lit(n > 1)).cast("int")
+    at = (F.col("row_no") - F.col("page.row_no")).cast("int")
+    laid = laid.select("doc_id", F.col("page.page_index").alias("page_index"), (at + shift).alias("line_index"), "node_id", "ascii_text", (at == 0).alias("top"), shift.alias("shift"))
+    nobody = F.lit(None).cast("string")
+    parts = F.when(F.col("top") & (F.col("shift") == 1), F.array(F.struct(F.lit(0).alias("line_index"), nobody.alias("node_id"), F.lit("").alias("ascii_text")), F.struct("line_index", "node_id", "ascii_text"))).otherwise(F.array(F.struct("line_index", "node_id", "ascii_text")))
+    return laid.select("doc_id", "page_index", F.explode(parts).alias("r")).select("doc_id", "page_index", "r.*")
+
+
+def _starts(blank: pd.Series, n: pd.Series) -> pd.Series:
+    """The rows that pages begin with: a later page holds a row less if it begins with text."""
+
+    def one(flags: str, n: int) -> list[int]:
+        out, at = [], 0
+        while at < len(flags):
+            out.append(at)
+            at += n - (len(out) > 1 and n > 1 and flags[at] == "0")
+        return out
+
+    return pd.Series([one(x, int(y)) for x, y in zip(blank, n, strict=True)])
+
+
+_page_starts = F.pandas_udf(_starts, ArrayType(IntegerType()))
 
 
 def plain(seqs: DataFrame, lines_per_page: int = LINES_PER_PAGE - 2) -> DataFrame:

@@ -41,8 +41,12 @@ def index(nodes: DataFrame) -> DataFrame:
     })
     same = Window.partitionBy("doc_id", "node_type").orderBy("dfs_order")
     rows = rows.withColumn("prev_same", F.when(F.col("is_nav"), F.lag("node_id").over(same))).withColumn("next_same", F.when(F.col("is_nav"), F.lead("node_id").over(same)))
-    first = rows.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min(F.struct((~F.col("is_nav")).alias("other"), "child_ordinal", F.col("node_id").alias("child"))).alias("c")).select("doc_id", "node_id", F.col("c.child").alias("first_child"))
-    return rows.join(first, ["doc_id", "node_id"], "left").drop("among")
+    # a node and its children meet under its id: each row goes there as itself and as a child
+    both = F.filter(F.array(F.struct(F.col("node_id").alias("at"), F.lit(False).alias("child")), F.struct(F.col("parent_id").alias("at"), F.lit(True).alias("child"))), lambda x: x["at"].isNotNull())
+    rows = rows.withColumn("x", F.explode(both)).select("*", "x.at", "x.child").drop("x")
+    child = F.when(F.col("child"), F.struct((~F.col("is_nav")).alias("other"), "child_ordinal", "node_id"))
+    rows = rows.withColumn("first_child", F.min(child).over(Window.partitionBy("doc_id", "at"))["node_id"])
+    return rows.where(~F.col("child")).drop("among", "at", "child")
 
 
 def step_of_type(nodes: DataFrame, node_type: str, forward: bool = True) -> DataFrame:
@@ -58,8 +62,10 @@ def step_of_type(nodes: DataFrame, node_type: str, forward: bool = True) -> Data
 
 
 def breadcrumb(nodes: DataFrame, levels: int = 4) -> DataFrame:
-    """doc_id, node_id, crumbs: ancestors' ids below the root, topmost first. The tree has at most ``levels``
-    levels, so so many self-joins reach the top."""
+    """doc_id, node_id, crumbs: ancestors' ids below the root, topmost first. Nodes of the tree builder have them
+    as ``ancestors``; in others, of at most ``levels`` levels, so many self-joins reach the top."""
+    if "ancestors" in nodes.columns:
+        return nodes.select("doc_id", "node_id", F.coalesce("ancestors", F.array().cast("array<string>")).alias("crumbs"))
     up = nodes.where(F.col("node_type") != "ExamDocument").select("doc_id", F.col("node_id").alias("a"), F.col("parent_id").alias("p"))
     rows = nodes.select("doc_id", "node_id", F.col("parent_id").alias("p0"))
     for i in range(levels - 1):
@@ -76,6 +82,20 @@ def find_by_block(nodes: DataFrame) -> DataFrame:
     return flat.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("doc_id", "block_id", "node_id")
 
 
+def locations(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, node_type, label, depth, parent_id, child_ids, sibling_index, sibling_count, page_number,
+    question_number, summary: what a user is told about each place. ``nodes``: an index, with page_number and
+    ancestors. Children are the navigable ones if there are any; the summary names the ancestors' types."""
+    both = F.filter(F.array(F.struct(F.col("node_id").alias("at"), F.lit(False).alias("child")), F.struct(F.col("parent_id").alias("at"), F.lit(True).alias("child"))), lambda x: x["at"].isNotNull())
+    rows = nodes.withColumn("x", F.explode(both)).select("*", "x.at", "x.child").drop("x")
+    kids = F.array_sort(F.collect_list(F.when(F.col("child"), F.struct("child_ordinal", "node_id", "is_nav"))).over(Window.partitionBy("doc_id", "at")))
+    rows = rows.withColumn("kids", kids).where(~F.col("child"))
+    ids = lambda xs: F.transform(xs, lambda x: x["node_id"])
+    own = F.filter("kids", lambda x: x["is_nav"])
+    above = F.when(F.coalesce(F.size("ancestors"), F.lit(0)) <= 0, "").when(F.size("ancestors") == 2, "PassageGroup > Question > ").when(F.col("ancestors")[0].startswith("passage-group-"), "PassageGroup > ").otherwise("Question > ")
+    return rows.select("doc_id", "node_id", "node_type", "label", "depth", "parent_id", F.when(F.size(own) > 0, ids(own)).otherwise(ids(F.col("kids"))).alias("child_ids"), "sibling_index", F.greatest("sibling_count", F.lit(1)).alias("sibling_count"), "page_number", "question_number", F.concat(above, "node_type", F.lit(": "), "label").alias("summary"))
+
+
 @dataclass
 class Cursor:
     """A place in one document's index; every move is a point lookup in the table."""
@@ -100,6 +120,11 @@ class Cursor:
         self.at = row["node_id"] if row else self.at
         return row
 
+    def go_block(self, block_id: str):
+        """The most specific node that holds the block (``table`` with block_ids)."""
+        row = find_by_block(self.table.where(F.col("doc_id") == self.doc_id)).where(F.col("block_id") == block_id).first()
+        return self.go(row["node_id"]) if row else None
+
     def reset(self):
         row = self._row(F.col("is_nav")) or self._row(F.lit(True))
         return self.go(row["node_id"] if row else None)

@@ -28,7 +28,8 @@ def assign(blocks: DataFrame) -> DataFrame:
     node = F.when(tag == "PassageGroup", F.concat(F.lit("passage-group-"), F.col("group_no").cast("string"))).otherwise(F.col("id"))
     rows = rows.withColumn("node_id", node)
     rows = rows.withColumn("group_id", F.max(F.when(tag == "PassageGroup", F.col("node_id"))).over(inside))
-    rows = rows.withColumn("question_id", F.last(F.when(tag == "Question", F.col("node_id")), ignorenulls=True).over(inside))
+    question = F.last(F.when(tag == "Question", F.struct("node_id", "pos")), ignorenulls=True).over(inside)
+    rows = rows.withColumn("question", question).withColumn("question_id", F.col("question.node_id"))
     body = tag.isNull()
     q, g = F.col("question_id"), F.col("group_id")
     nth = F.sum(body.cast("int")).over(Window.partitionBy("doc_id", "epoch", "question_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
@@ -48,25 +49,24 @@ def assign(blocks: DataFrame) -> DataFrame:
     confidence = F.when(F.col("node_type") == "Unknown", 0.0).when(F.col("node_type").isin(*FLUSH), 0.9).otherwise(0.85)
     number = F.when(F.col("node_type") == "Question", tags.question_number(F.col("text")))
     rng = lambda i: F.when(F.col("node_type") == "PassageGroup", F.nullif(F.regexp_extract("text", r"\[\s*([0-9]{1,2})\s*[~\-–—]\s*([0-9]{1,2})\s*\]", i), F.lit("")).cast("int"))
-    rows = rows.withColumn("node_type", kind).withColumn("parent_id", parent)
-    return rows.select("doc_id", "pos", "epoch", "id", "node_id", "node_type", "parent_id", "page_number", "text", confidence.alias("confidence"), number.alias("question_number"), rng(1).alias("start_question"), rng(2).alias("end_question"))
+    # a parent is the root, the group or the question in force, so ancestors and their places are known here; a
+    # group takes its place among the root's children when it is closed
+    closed = F.max("pos").over(Window.partitionBy("doc_id", "epoch")) + 0.5
+    own = F.when(F.col("node_type") == "PassageGroup", closed).otherwise(F.col("pos").cast("double"))
+    asks, under = F.col("parent_id") == q, F.col("parent_id") == g
+    above = F.array_compact(F.array(F.when(asks & g.isNotNull(), F.struct(g.alias("id"), closed.alias("place"))), F.when(asks, F.struct(q.alias("id"), F.col("question.pos").cast("double").alias("place"))).when(under, F.struct(g.alias("id"), closed.alias("place")))))
+    rows = rows.withColumn("node_type", kind).withColumn("parent_id", parent).withColumn("above", F.when(F.col("parent_id") == ROOT, F.slice(above, 1, 0)).otherwise(above)).withColumn("place", own)
+    rows = rows.withColumn("ancestors", F.transform("above", lambda x: x["id"])).withColumn("path", F.concat(F.transform("above", lambda x: x["place"]), F.array("place")))
+    return rows.select("doc_id", "ancestors", "path", "id", "node_id", "node_type", "parent_id", "page_number", "text", confidence.alias("confidence"), number.alias("question_number"), rng(1).alias("start_question"), rng(2).alias("end_question"))
 
 
 def tree(nodes: DataFrame) -> DataFrame:
-    """Adds child_ordinal, depth and dfs_order. A group takes its place among the root's children when it is
-    closed, so what is put at the root while it is open comes before it."""
-    per = Window.partitionBy("doc_id", "epoch")
-    closed = F.when(F.col("node_type") == "PassageGroup", F.max("pos").over(per) + 0.5).otherwise(F.col("pos").cast("double"))
-    rows = nodes.withColumn("place", closed)
-    ids = rows.select("doc_id", F.col("node_id").alias("parent_id"), F.col("place").alias("up_place"), F.col("parent_id").alias("up_id"))
-    rows = rows.join(ids, ["doc_id", "parent_id"], "left")
-    top = ids.select("doc_id", F.col("parent_id").alias("up_id"), F.col("up_place").alias("top_place"))
-    rows = rows.join(top, ["doc_id", "up_id"], "left")
-    path = F.array_compact(F.array("top_place", "up_place", "place"))
-    rows = rows.withColumn("path", path).withColumn("depth", F.size("path"))
+    """Adds child_ordinal, depth and dfs_order to assigned nodes. A group takes its place among the root's
+    children when it is closed, so what is put at the root while it is open comes before it."""
+    rows = nodes.withColumn("depth", F.size("path"))
     rows = rows.withColumn("dfs_order", F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "node_id")))
-    rows = rows.withColumn("child_ordinal", F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("place", "node_id")) - 1)
-    return rows.drop("place", "up_place", "top_place", "up_id", "path", "epoch", "pos")
+    family = Window.partitionBy("doc_id", "parent_id").orderBy(F.element_at("path", -1), "node_id")
+    return rows.withColumn("child_ordinal", F.row_number().over(family) - 1).drop("path")
 
 
 def with_root(nodes: DataFrame, docs: DataFrame) -> DataFrame:

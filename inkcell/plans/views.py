@@ -56,14 +56,16 @@ pl as (
 
 
 def pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Generated lines, and a reference with e and o exchanged; each side lacks some lines."""
+    """Generated lines, and a reference with e and o exchanged; each side has some lines at places where the other
+    has none."""
     rows = lines(spark, sf_dir)
-    return rows.where("(doc_id + n) % 11 <> 0"), rows.where("(doc_id + n) % 7 <> 0").withColumn("raw_ascii", F.translate("raw_ascii", "eo", "oe"))
+    moved = lambda k, by: rows.withColumn("line_index", F.expr(f"if((doc_id + n) % {k} = 0, line_index + {by}, line_index)"))
+    return moved(11, PAGE), moved(7, 2 * PAGE).withColumn("raw_ascii", F.translate("raw_ascii", "eo", "oe"))
 
 
-PAIR = LINES + """,
-g as (select * from l where (doc_id + n) % 11 <> 0),
-r as (select doc_id, n, page_index, line_index, translate(raw_ascii, 'eo', 'oe') as raw_ascii from l where (doc_id + n) % 7 <> 0)"""
+PAIR = LINES + f""",
+g as (select doc_id, n, page_index, case when (doc_id + n) % 11 = 0 then line_index + {PAGE} else line_index end as line_index, raw_ascii from l),
+r as (select doc_id, n, page_index, case when (doc_id + n) % 7 = 0 then line_index + {2 * PAGE} else line_index end as line_index, translate(raw_ascii, 'eo', 'oe') as raw_ascii from l)"""
 
 
 def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,26 +133,37 @@ PROFILE = {"page_width": 595.0, "page_height": 842.0, "column_cut_x": 320.0, "he
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first 50 characters' worth of every line, placed on two-column pages of 50 lines."""
-    rows = lines(spark, sf_dir).selectExpr("doc_id", "n", "n % 50 as r", "int(n div 50) + 1 as page_number", "split(substring(raw_ascii, 1, 50), ' ', -1) as w")
-    rows = rows.selectExpr("doc_id", "n", "r", "page_number", "posexplode(transform(w, (x, i) -> struct(x as t, length(array_join(slice(w, 1, i), ' ')) + int(i > 0) as before))) as (i, s)")
-    rows = rows.where("s.t <> ''")
-    return rows.selectExpr(
-        "doc_id", "page_number", "concat('s', n, '-', i) as id", "if(i = 0, s.t, concat(' ', s.t)) as text",
-        "double(40 + 5 * s.before + if(r >= 25, 290, 0)) as x0", "double(72 + 14 * (r % 25)) as y0", "double(40 + 5 * (s.before + length(s.t)) + if(r >= 25, 290, 0)) as x1", "double(83 + 14 * (r % 25)) as y1",
-        "11D as font_size", "int(n * 1000 + i) as extraction_index",
+    """Words of whole lines, flowed in rows of 50 characters on two-column pages of 50 rows; every third page has a
+    rule at its top."""
+    rows = lines(spark, sf_dir).selectExpr("doc_id", "n", "raw_ascii", "greatest(length(raw_ascii) - 1, 0) div 50 + 1 as tall")
+    rows = rows.selectExpr("doc_id", "n", "raw_ascii", "sum(tall) over (partition by doc_id order by n) - tall as base", "sum(length(raw_ascii) + 1) over (partition by doc_id order by n) - length(raw_ascii) - 1 as spot")
+    rows = rows.selectExpr("doc_id", "n", "base", "spot", "posexplode(split(raw_ascii, ' ', -1)) as (i, t)")
+    rows = rows.selectExpr("*", "sum(length(t) + 1) over (partition by doc_id, n order by i) - length(t) - 1 as before").where("t <> ''")
+    rows = rows.selectExpr("*", "int((base + before div 50) % 50) as r", "int((base + before div 50) div 50) + 1 as page_number", "int(before % 50) as c")
+    words = rows.selectExpr(
+        "doc_id", "page_number", "concat('s', n, '-', i) as id", "if(i = 0, t, concat(' ', t)) as text",
+        "double(40 + 5 * c + if(r >= 25, 290, 0)) as x0", "double(72 + 14 * (r % 25)) as y0", "double(40 + 5 * (c + length(t)) + if(r >= 25, 290, 0)) as x1", "double(83 + 14 * (r % 25)) as y1",
+        "11D as font_size", "int(spot + before) as extraction_index",
     )
+    rules = words.where("page_number % 3 = 0").select("doc_id", "page_number").distinct().selectExpr(
+        "doc_id", "page_number", "concat('rule', page_number) as id", "repeat('=', 12) as text", "40D as x0", "double(58 + page_number % 5) as y0", "540D as x1", "double(60 + page_number % 5) as y1", "11D as font_size", "-1 as extraction_index")
+    return words.unionByName(rules)
 
 
 SPANS = LINES + """,
-w as (select doc_id, n, n % 50 as r, (n // 50 + 1)::int as page_number, string_split(left(raw_ascii, 50), ' ') as w from l),
-w1 as (select doc_id, n, r, page_number, w, unnest(range(1, len(w) + 1)) as i from w),
-w2 as (select doc_id, n, r, page_number, i, w[i] as t, length(array_to_string(w[1 : i - 1], ' ')) + case when i > 1 then 1 else 0 end as before from w1 where w[i] <> ''),
-sp as (
-  select doc_id, page_number, 's' || n || '-' || (i - 1) as id, case when i = 1 then t else ' ' || t end as text, n * 1000 + i - 1 as extraction_index,
-    (40 + 5 * before + case when r >= 25 then 290 else 0 end)::double as x0, (72 + 14 * (r % 25))::double as y0,
-    (40 + 5 * (before + length(t)) + case when r >= 25 then 290 else 0 end)::double as x1, (83 + 14 * (r % 25))::double as y1
-  from w2
+w0 as (select doc_id, n, raw_ascii, greatest(length(raw_ascii) - 1, 0) // 50 + 1 as tall from l),
+w1 as (select doc_id, n, string_split(raw_ascii, ' ') as w, sum(tall) over v - tall as base, sum(length(raw_ascii) + 1) over v - length(raw_ascii) - 1 as spot from w0 window v as (partition by doc_id order by n rows unbounded preceding)),
+w2 as (select doc_id, n, base, spot, i, w[i] as t from (select *, unnest(range(1, len(w) + 1)) as i from w1)),
+w3 as (select *, (sum(length(t) + 1) over (partition by doc_id, n order by i rows unbounded preceding) - length(t) - 1)::bigint as before from w2),
+w4 as (select *, ((base::bigint + before // 50) % 50)::int as r, ((base::bigint + before // 50) // 50 + 1)::int as page_number, before % 50 as c from w3 where t <> ''),
+w5 as (
+  select doc_id, page_number, 's' || n || '-' || (i - 1) as id, case when i = 1 then t else ' ' || t end as text, (spot + before)::int as extraction_index,
+    (40 + 5 * c + case when r >= 25 then 290 else 0 end)::double as x0, (72 + 14 * (r % 25))::double as y0,
+    (40 + 5 * (c + length(t)) + case when r >= 25 then 290 else 0 end)::double as x1, (83 + 14 * (r % 25))::double as y1
+  from w4
+), sp as (
+  select * from w5 union all
+  select distinct doc_id, page_number, 'rule' || page_number, repeat('=', 12), -1, 40::double, (58 + page_number % 5)::double, 540::double, (60 + page_number % 5)::double from w5 where page_number % 3 = 0
 ), sc as (
   select *, case when y0 < 80 then -2 when y0 >= 410 then 2 when x1 - x0 > 595 * 0.5 then -1 when (x0 + x1) / 2 < 320 then 0 else 1 end as col from sp
 )"""
@@ -228,6 +241,33 @@ sg0 as (
 ), sg as (select doc_id, seg_no, coalesce(key, case when guidance then 'guidance:preamble' else 'preamble' end) as key, coalesce(kind, case when guidance then 'guidance' else 'preamble' end) as kind, ink_text, ascii_text from sg1)"""
 
 
+def reference_segments(segments: DataFrame) -> DataFrame:
+    """Segments as another edition has them: some under other keys, some with a tail of letters that occur nowhere
+    else, so that their similarity is known."""
+    size = "length(regexp_replace(ink_text, '[^a-z]', ''))"
+    key = "if(kind in ('passage_group', 'question') and key rlike '[38]$', concat(key, '99'), key)"
+    tail = f"case seg_no % 3 when 1 then repeat('ㅋ', int({size} div 2)) when 2 then repeat('ㅋ', 2 * {size}) else '' end"
+    return segments.selectExpr("doc_id", "seg_no", f"{key} as key", "kind", f"concat(ink_text, {tail}) as ink_text", "ascii_text")
+
+
+OTHER_SEGMENTS = r""",
+so as (
+  select doc_id, seg_no, case when kind in ('passage_group', 'question') and regexp_matches(key, '[38]$') then key || '99' else key end as key, kind,
+    ink_text || case seg_no % 3 when 1 then repeat('ㅋ', (length(regexp_replace(ink_text, '[^a-z]', '', 'g')) // 2)::int) when 2 then repeat('ㅋ', (2 * length(regexp_replace(ink_text, '[^a-z]', '', 'g')))::int) else '' end as ink_text
+  from sg
+), na as (select *, row_number() over (partition by doc_id, key order by seg_no desc) as rn from sg where kind in ('passage_group', 'question')),
+nb as (select *, row_number() over (partition by doc_id, key order by seg_no desc) as rn from so where kind in ('passage_group', 'question')),
+a as (select doc_id, key, ink_text, NORM(ink_text) as t from na where rn = 1), b as (select doc_id, key, ink_text, NORM(ink_text) as t from nb where rn = 1),
+j as (
+  select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.key, b.key) as key, coalesce(a.ink_text, '') as generated_ink, coalesce(b.ink_text, '') as reference_ink, a.key is not null as ina, b.key is not null as inb,
+    case when a.key is null or b.key is null then 0 when a.t = b.t then 1 when a.t = '' or b.t = '' then 0 else 2.0::double * length(a.t) / (length(a.t) + length(b.t)) end as score
+  from a full join b on a.doc_id = b.doc_id and a.key = b.key
+), sd as (
+  select doc_id, case when not inb then 'missing_in_reference' when not ina then 'missing_in_generated' when score >= 0.72 then 'aligned_ok' else 'content_mismatch' end as classification, key, score, generated_ink, reference_ink from j
+  union all select doc_id, 'expected_guidance', key, 0, '', ink_text from so where kind = 'guidance'
+)""".replace("NORM(ink_text)", "translate(regexp_replace(regexp_replace(lower(ink_text), '\\s+', '', 'g'), '[·.?!,;:''\"\\[\\]()<>〈〉【】]', '', 'g'), '～—–', '~--')")
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines without tags, and two annotations for line doc_id mod 5 of every labelled document."""
     rows = lines(spark, sf_dir).selectExpr("doc_id", "n as global_index", "page_index", "line_index", "cast(array() as array<string>) as tags", "cast(null as string) as notes", "if(n % 3 = 0, array('Body'), cast(array() as array<string>)) as candidate_tags")

@@ -39,6 +39,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), decode_bytes(F.col("content")).alias("text"))
 
 
+def line(lines: DataFrame, doc_id, global_index: int):
+    """One line's row; IndexError if there is none."""
+    row = lines.where((F.col("doc_id") == doc_id) & (F.col("global_index") == global_index)).first()
+    if row is None:
+        raise IndexError(global_index)
+    return row
+
+
+def annotated(docs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``parsed`` lines of documents with their annotations (doc_id, nth, global_index, tags, notes) applied."""
+    from ..operators.annotations import apply
+
+    return apply(parsed(docs), annotations)
+
+
 def parsed(docs: DataFrame) -> DataFrame:
     """Lines with unicode_braille, reverse_text, candidate_tags, empty tags and null notes; what isn't used
     is never computed."""
@@ -54,9 +69,15 @@ def write(texts: DataFrame, path: str) -> None:
 
 def export_files(texts: DataFrame, path: str, suffix: str = ".brf") -> DataFrame:
     """doc_id, uri: one file a document under ``path`` (any file system that Arrow opens), written whole under
-    another name and then renamed."""
+    another name and then renamed. Names are percent-encoded ids, so each has its own and gives its id back;
+    null and repeated ids are refused."""
+    from urllib.parse import quote
+
     import pyarrow as pa
 
+    if bad := texts.groupBy("doc_id").count().where("count > 1 or doc_id is null").first():
+        raise ValueError(f"no file of its own for doc_id {bad['doc_id']}")
+
     def run(batches):
         from pyarrow import fs
         from pyspark import TaskContext
@@ -66,7 +87,7 @@ def export_files(texts: DataFrame, path: str, suffix: str = ".brf") -> DataFrame
         for batch in batches:
             uris = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"{root}/{str(doc).replace('/', '_')}{suffix}"
+                name = f"{root}/{quote(str(doc), safe='')}{suffix}"
                 own = f"{name}.{TaskContext.get().taskAttemptId()}"
                 with store.open_output_stream(own, compression=None) as f:
                     f.write((text or "").encode())

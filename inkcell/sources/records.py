@@ -39,6 +39,15 @@ def part(structures: DataFrame, name: str) -> DataFrame:
     return rows.withColumns({c: box[i] for i, c in enumerate(("x0", "y0", "x1", "y1"))}).drop("bbox")
 
 
+def page(structures: DataFrame, doc_id, page_number: int):
+    """One page's record; KeyError if there is none."""
+    rows = structures.where(F.col("doc_id") == doc_id).select(F.explode("pages").alias("p")).where(F.col("p.page_number") == page_number)
+    row = rows.first()
+    if row is None:
+        raise KeyError(page_number)
+    return row["p"]
+
+
 def to_json(pages: DataFrame) -> DataFrame:
     """doc_id, json from doc_id, source_path, page_count, metadata, pages."""
     return pages.select("doc_id", F.to_json(F.struct("source_path", "page_count", "metadata", "pages")).alias("json"))
