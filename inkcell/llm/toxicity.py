@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import langid
+from . import charmodel
 from .common import discard, free_name, materialize, text_slices, words
+from .langid import fold
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -74,7 +75,7 @@ CLASSES = _classes()
 NONE: frozenset = frozenset()
 #: Letters that a character may stand for, and the symbol of each in the byte model.
 LETTERS = {ch: frozenset(ch) for ch in "abcdefghijklmnopqrstuvwxyz"} | {ch: frozenset(x) for ch, x in LOOKALIKES.items()}
-SYMBOL = {ch: int(langid.FOLD[ord(ch)]) for ch in "abcdefghijklmnopqrstuvwxyz"}
+SYMBOL = {ch: int(charmodel.FOLD[ord(ch)]) for ch in "abcdefghijklmnopqrstuvwxyz"}
 
 
 def skeleton(word: str) -> str:
@@ -104,7 +105,7 @@ def collapse(word: str) -> str:
 class Lattice:
     """Viterbi decoding of a word under the byte trigram model."""
 
-    def __init__(self, model: langid.Model) -> None:
+    def __init__(self, model: charmodel.Model) -> None:
         self.bits = model.tables()[0] if model.labels else None
         self.costs: dict[tuple[tuple[int, int], str], tuple[tuple[int, int], float]] = {}
 
@@ -118,9 +119,9 @@ class Lattice:
 
     def _cost(self, state: tuple[int, int], text: str) -> tuple[tuple[int, int], float]:
         a, b = state
-        total, s = 0.0, langid.SYMBOLS
+        total, s = 0.0, charmodel.SYMBOLS
         for x in text.encode():
-            c = int(langid.FOLD[x])
+            c = int(charmodel.FOLD[x])
             total += float(self.bits[(a * s + b) * s + c])
             a, b = b, c
         return (a, b), total
@@ -335,7 +336,7 @@ def related(f: str, own: set[str]) -> bool:
     return any(stem.startswith(g.lstrip("^")) if g[0] == "^" else f == g or f[0] == "^" and g.startswith(stem) for g in own)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held, model: langid.Model, sample: int = SAMPLE) -> dict[str, float]:
+def learn(docs: DataFrame, labels: DataFrame, held, model: charmodel.Model, sample: int = SAMPLE) -> dict[str, float]:
     """Feature -> -log(1 - precision) of the features with toxic documents of their own. What reaches the
     driver is bounded by ``sample``: the labels, and of the toxic documents the significant features."""
     spark = docs.sparkSession
@@ -438,8 +439,8 @@ def scored(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, sample
     """The rows of ``docs`` with a column ``name``, which they must not have yet."""
     spark = docs.sparkSession
     corpus = docs.select(F.lit("all").alias("label"), F.col("text").cast("string").alias("text"))
-    model = langid.train(corpus)
-    lexicon = learn(docs, labels, langid.fold("doc_id", of, out), model, sample)
+    model = charmodel.train(corpus)
+    lexicon = learn(docs, labels, fold("doc_id", of, out), model, sample)
     shared = spark.sparkContext.broadcast((lexicon, model))
     at = docs.columns.index("text")
 
@@ -460,7 +461,7 @@ def scored(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, sample
 def predict(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = scored(plain, labels, of, out, sample)
-    return got.select("doc_id", langid.fold("doc_id", of, out).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
+    return got.select("doc_id", fold("doc_id", of, out).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkcell.llm import common, decontam, edit_tokens, langid, ngram_join, packing, quality, suffix_dedup, topk, toxicity, warc
+from inkcell.llm import charmodel, common, decontam, edit_tokens, langid, ngram_join, packing, quality, suffix_dedup, topk, toxicity, warc
 from inkcell.llm.common import shared_dir
 from inkcell.llm.components import components
 from inkcell.llm.queries import table, word_vocabulary
@@ -388,18 +388,69 @@ def test_language_edges(spark):
     assert langid.predict(docs_of(spark, [])).count() == 0
 
 
-def test_code_lengths_are_exact():
+def brute_bits(trees, text, order):
+    """Code length of a text by walking a language's tree byte by byte. ``trees``: context -> byte -> count."""
+    bits = 0.0
+    padded = bytes(order) + text
+    for i in range(order, len(padded)):
+        p = 1.0
+        for d in range(order, -1, -1):
+            seen = trees.get(padded[i - d : i])
+            if seen is None:
+                continue
+            whole = sum(seen.values()) + len(seen)
+            if padded[i] in seen:
+                p *= seen[padded[i]] / whole
+                break
+            p *= len(seen) / whole
+        else:
+            p /= 256
+        bits -= np.log2(p)
+    return bits
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_code_lengths_are_exact(spark, monkeypatch, order):
+    monkeypatch.setattr(langid, "HELD", 50)
+    monkeypatch.setattr(langid, "SCORED", 7)
+    texts = [("xx", "abab aba cab"), ("yy", "über dem Öl"), ("xx", "cab!"), ("yy", ""), (None, "q"), ("xx", None)]
+    model = langid.train(spark.createDataFrame(texts, "label string, text string").repartition(3), order)
+    assert model.labels == ["xx", "yy"]
+    asked = ["abab", "", "zebra", "dem Öl ab", "c", "\x00\x00a", "über über"]
+    raw = [t.encode() for t in asked]
+    offsets = np.cumsum([0, *map(len, raw)])
+    got = model.bits(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for k, label in enumerate(model.labels):
+        trees = collections.defaultdict(collections.Counter)
+        for mine, text in texts:
+            if mine == label and text:
+                padded = bytes(order) + text.encode()
+                for i in range(order, len(padded)):
+                    for d in range(order + 1):
+                        trees[padded[i - d : i]][padded[i]] += 1
+        assert np.allclose(got[:, k], [brute_bits(dict(trees), t, order) for t in raw], rtol=1e-5)
+
+
+def test_nodes_are_bounded(spark):
+    rng = random.Random(0)
+    texts = [(x, "".join(rng.choice("abcdefgh") for _ in range(3000))) for x in ("xx", "yy", "zz")]
+    model = langid.train(spark.createDataFrame(texts, "label string, text string"), 3, 900)
+    assert all(len(g) <= 300 for tree in model.trees for g, _ in tree) and len(model.trees[1][0][0]) == 64 + 1
+    assert langid.train(spark.createDataFrame([], "label string, text string")).labels == []
+
+
+def test_character_model_is_exact():
     text = "abab aba cab"
     data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
-    at, n = np.unique(langid.gram_index(data, offsets), return_counts=True)
-    bits = langid.code_lengths(at, n)
-    probabilities = 2.0 ** -bits.reshape(-1, langid.SYMBOLS).astype(np.float64)
+    at, n = np.unique(charmodel.gram_index(data, offsets), return_counts=True)
+    bits = charmodel.code_lengths(at, n)
+    probabilities = 2.0 ** -bits.reshape(-1, charmodel.SYMBOLS).astype(np.float64)
     assert (probabilities.sum(1) <= 1 + 1e-5).all() and (probabilities > 0).all()  # escapes are shared with what is seen
-    sym = langid.FOLD[data].tolist()
+    sym = charmodel.FOLD[data].tolist()
     grams = collections.Counter(zip([0, 0, *sym], [0, *sym], sym, strict=False))
     total = sum(c for (a, b, _), c in grams.items() if (a, b) == (0, 0))
     kinds = sum(1 for (a, b, _) in grams if (a, b) == (0, 0))
-    assert np.isclose(2.0 ** -bits[langid.gram_index(data, offsets)[0]], grams[0, 0, sym[0]] / (total + kinds))
+    assert np.isclose(2.0 ** -bits[charmodel.gram_index(data, offsets)[0]], grams[0, 0, sym[0]] / (total + kinds))
 
 
 # ---- 8 edit-aware counts
@@ -583,7 +634,7 @@ def test_toxicity_held_out(spark, sf):
 def test_deobfuscation(spark, sf):
     big = sf.replace("0.001", "0.1")
     docs = table(spark, big, "documents")
-    model = langid.train(docs.select(F.lit("all").alias("label"), "text"))
+    model = charmodel.train(docs.select(F.lit("all").alias("label"), "text"))
     lexicon = {w: 3.0 for w in ("idiot", "loser", "trash", "stupid", "worthless", "^patheti")}
     score = toxicity.Scorer(lexicon, toxicity.Lattice(model)).score
     for bad in ("l0ser", "1d10t", "i.d.i.o.t", "LOOOOSER!", "tr@sh", "stuupid,", "wor7hless", "path3tic", "you i d i o t there", "(loser)", "$tup1d"):

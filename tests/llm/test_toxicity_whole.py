@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkcell.llm import langid, toxicity
+from inkcell.llm import charmodel, toxicity
 from inkcell.llm.queries import table
 
 LEXICON = {w: 3.0 for w in ("idiot", "loser", "trash", "stupid", "worthless", "incomprehensibilities", "^patheti")}
@@ -13,7 +13,7 @@ LEXICON = {w: 3.0 for w in ("idiot", "loser", "trash", "stupid", "worthless", "i
 @pytest.fixture(scope="module")
 def lattice(spark, sf):
     docs = table(spark, sf.replace("0.001", "0.1"), "documents")
-    return toxicity.Lattice(langid.train(docs.select(F.lit("all").alias("label"), "text")))
+    return toxicity.Lattice(charmodel.train(docs.select(F.lit("all").alias("label"), "text")))
 
 
 def test_no_token_is_too_long(lattice):
