@@ -5,8 +5,9 @@ shares with a benchmark item hold that same least hash, so the join of the finge
 span. Around each joined fingerprint the windows are compared word for word and hits are extended to all
 words of the windows found. Items shorter than ``ngram`` words are one window of their own length.
 
-The benchmark is handled in blocks of at most about ``block_bytes`` of text; one block's fingerprints are
-broadcast at a time, and a larger benchmark takes more passes. Null texts and texts without words have no
+The benchmark is handled in blocks of at most about ``block_bytes`` of text, as a worker holds about 32 bytes
+for each of them; one block is in memory at a time, and a larger benchmark takes more passes, each of which
+writes what it found. Null texts and texts without words have no
 hits. Null item ids are ignored. Repeated items count once by id. Repeated documents get a row each.
 """
 
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, gram_hashes, materialize, prefix_hash, sliding_min, span_hash, text_slices, words
+from .common import LOWER, U64, free_name, gram_hashes, materialize, prefix_hash, sliding_min, span_hash, text_slices, words
 
 NGRAM = 10
 GRAM = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Bytes of a word once A-Z are lower-cased: digits, a-z and all of non-ASCII.
 KEEP = np.zeros(256, bool)
@@ -126,18 +127,40 @@ SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no window of an item occurs."""
-    out = docs
-    for items in blocks(benchmark, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, ngram, gram))
+    spark = docs.sparkSession
+    n = count_blocks(benchmark, block_bytes)
+    if n == 1:
+        index = spark.sparkContext.broadcast(Index(block(benchmark, 0, 1), ngram, gram))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, data, offsets in text_slices(batch):
                     clean = pa.array([not s for s in find(data, offsets, index.value)[1]])
                     yield part.filter(clean)
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return docs.mapInArrow(run, docs.schema)
+    # rows alike in id and text are hit alike
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    base = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hit = _passes(base, benchmark, n, ngram, gram).select("row").distinct()
+    name = free_name(docs, "row")
+    kept = docs.withColumn(name, row).join(hit.withColumnRenamed("row", name), name, "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _passes(base: DataFrame, benchmark: DataFrame, n: int, ngram: int, gram: int) -> DataFrame:
+    """HITS of the rows that each block hits, written block by block."""
+    every = _pass(base, benchmark, 0, n, ngram, gram)
+    for b in range(1, n):
+        every = every.unionByName(_pass(base, benchmark, b, n, ngram, gram))
+    return every
+
+
+def _pass(base: DataFrame, benchmark: DataFrame, b: int, n: int, ngram: int, gram: int) -> DataFrame:
+    index = base.sparkSession.sparkContext.broadcast(Index(block(benchmark, b, n), ngram, gram))
+    found = materialize(_scan(base, index).where(F.size("spans") > 0), "decontam-hits")
+    index.destroy()
+    return found
 
 
 def _scan(docs: DataFrame, index, schema: str = HITS) -> DataFrame:
@@ -150,28 +173,35 @@ def _scan(docs: DataFrame, index, schema: str = HITS) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+
+
+def count_blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    total = _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-total // block_bytes))
+
+
+def block(benchmark: DataFrame, b: int, n: int) -> list[tuple[str, str]]:
+    """(item, text) of one block: about a share of 1 / n of all."""
+    items = _items(benchmark)
+    part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+    return [(r["item"], r["text"]) for r in part.collect()]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans of hit words [lo, hi), items: one row per document."""
     spark = docs.sparkSession
     base = docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
-    for items in blocks(benchmark, block_bytes):
-        parts.append(spark.sparkContext.broadcast(Index(items, ngram, gram)))
-    if len(parts) == 1:
-        return _scan(base, parts[0]).drop("row")
+    n = count_blocks(benchmark, block_bytes)
+    first = spark.sparkContext.broadcast(Index(block(benchmark, 0, n), ngram, gram))
+    if n == 1:
+        return _scan(base, first).drop("row")
     base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "decontam")
-    every = _scan(base, parts[0])
-    for p in parts[1:]:
-        every = every.unionByName(_scan(base, p))
+    every = materialize(_scan(base, first), "decontam-first")
+    first.destroy()
+    for b in range(1, n):
+        every = every.unionByName(_pass(base, benchmark, b, n, ngram, gram))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
