@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from inkcell.functions import cells, encode, tags, text
+from inkcell.functions import cells, decode, encode, tags, text
 from inkcell.functions import tables as t
 from inkcell.functions.decode import decode_line, ratio, wrap_row
 
@@ -58,6 +60,25 @@ def test_long_latin_run_does_not_recurse(spark):
     assert encoded(spark, "ab " * 20000 + "c")[0].startswith("0ab ab")
 
 
+def test_previews(spark):
+    rows = spark.createDataFrame([("`mas",), ("#a4",)], "x string").select(decode.preview(F.col("x")).alias("p")).select("p.*", decode.decode_unicode(F.col("p.unicode_braille")).alias("again"))
+    assert [(r.reverse_text, r.again) for r in rows.collect()] == [("국어", "국어"), ("1.", "1.")]
+
+
+@pytest.mark.parametrize("cells_,ink", [("0,,ab 0,c d", "AB C d"), ("0ab,8c", "ab‘c"), ("0,n,a,t,ov", "NATO와"), ("0,va", "Va"), ("0ab-,cd-", "ab(Cd)"), ("0a1 b4", "a, b."), ("0,,", "")])
+def test_latin(cells_, ink):
+    assert decode_line(cells_) == ink
+
+
+def test_words_are_decoded_as_lines_are():
+    rng = random.Random(4)
+    for _ in range(3000):
+        line = "".join(rng.choice(" abcv,0-14;'8267#@$=") for _ in range(rng.randint(1, 16)))
+        first = decode_line(line)
+        decode._WORDS.clear()
+        assert decode_line(line) == first
+
+
 def test_syllable_table():
     assert len(t.SYLLABLES) == 11172 and len(cells.ACCEPTED) == 91
     assert t.SYLLABLES[0] == "$" and t.SYLLABLES[ord("것") - 0xAC00] == "_s"

@@ -107,8 +107,12 @@ def test_navigation(spark):
     assert c.go_origin().node_id == "b3"
     crumbs = {r.node_id: r.crumbs for r in nav.breadcrumb(tree_nodes(spark)).collect()}
     assert crumbs["b3"] == ["passage-group-1", "b2"] and crumbs["passage-group-1"] == [] and crumbs["exam-root"] == []
-    found = nav.find_by_block(tree_nodes(spark).withColumn("block_ids", F.array(F.lit("k")))).first()
-    assert found.node_id == "b3"
+    held = tree_nodes(spark).withColumn("block_ids", F.array(F.lit("k")))
+    assert nav.find_by_block(held).first().node_id == "b3"
+    c = nav.Cursor(nav.index(held).cache(), 0)
+    assert c.go_block("k").node_id == "b3" and c.go_block("none") is None and c.at == "b3"
+    place = {r.node_id: r for r in nav.locations(index).collect()}
+    assert place["b3"].summary.startswith("PassageGroup > Question > Choice: ") and place["b2"].child_ids == ["b3", "b4"] and place["exam-root"].child_ids == ["passage-group-1"]
 
 
 def spans(spark, rows):
@@ -185,3 +189,16 @@ def test_pipeline(spark):
     same = pipeline.compare_content(out.text, out.text)
     assert {r.classification for r in same.collect()} == {"aligned_ok"}
     assert pipeline.stand_in(b).text.count() == 1
+
+
+def test_sampled_pages(spark):
+    rows = spark.createDataFrame([(d, p) for d, n in ((0, 4), (1, 2), (2, 1)) for p in range(1, n + 1)], "doc_id int, page_number int")
+    seen = lambda k: sorted(tuple(r) for r in physical.sample(rows, k).collect())
+    assert seen(2) == [(0, 2), (0, 3), (1, 1), (1, 2), (2, 1)] and seen(4) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_own_cuts(spark):
+    lines = spark.createDataFrame([(0, 1, f"l{i}", x, x + 100.0, 10.0 * i, 10.0 * i + 8) for i, x in enumerate([0.0, 0.0, 0.0, 130.0, 130.0, 130.0])] + [(0, 2, "m", 0.0, 90.0, 0.0, 8.0)], "doc_id int, page_number int, id string, x0 double, x1 double, y0 double, y1 double")
+    assert physical.line_cuts(lines).collect()[0].cut == 115.0 and physical.block_cuts(lines).count() == 1
+    placed = {r.id: r.col for r in physical.assign_columns(lines, cuts=physical.line_cuts(lines)).collect()}
+    assert placed == {"l0": 0, "l1": 0, "l2": 0, "l3": 1, "l4": 1, "l5": 1, "m": 0}

@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkcell.functions import decode
-from inkcell.sources import brf, records
+from inkcell.sources import brf, pdf, records
 from inkcell.streaming import drop
 
 
@@ -21,6 +22,30 @@ def test_export(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "abc\n"), ("d2", None)], "doc_id string, text string")
     uris = sorted(r.uri for r in brf.export_files(rows, f"file://{tmp_path}/out").collect())
     assert [open(u).read() for u in uris] == ["abc\n", ""]
+    rows = spark.createDataFrame([("a/b", "1"), ("a_b", "2"), ("..", "3")], "doc_id string, text string")
+    found = {r.doc_id: r.uri for r in brf.export_files(rows, f"file://{tmp_path}/more").collect()}
+    assert len(set(found.values())) == 3 and {d: open(u).read() for d, u in found.items()} == {"a/b": "1", "a_b": "2", "..": "3"}
+    for bad in ([("a", "1"), ("a", "2")], [(None, "1")]):
+        with pytest.raises(ValueError):
+            brf.export_files(spark.createDataFrame(bad, "doc_id string, text string"), f"file://{tmp_path}/bad")
+
+
+def test_lookups(spark):
+    docs = spark.createDataFrame([("d", "#a4 `u\n\x0c`mas")], "doc_id string, text string")
+    assert brf.line(brf.parsed(docs), "d", 1).reverse_text == "국어"
+    with pytest.raises(IndexError):
+        brf.line(brf.parsed(docs), "d", 2)
+    notes = spark.createDataFrame([("d", 0, 1, ["A"], "n"), ("d", 1, 9, ["B"], None)], "doc_id string, nth int, global_index int, tags array<string>, notes string")
+    got = [(r.tags, r.notes) for r in brf.annotated(docs, notes).orderBy("global_index").collect()]
+    assert got == [([], None), (["A"], "n")]
+    one = spark.sql("select 'd' as doc_id, array(named_struct('page_number', 2, 'width', 1D)) as pages")
+    assert records.page(one, "d", 2).width == 1.0
+    with pytest.raises(KeyError):
+        records.page(one, "d", 1)
+
+
+def test_bold():
+    assert pdf.is_bold(16, "x") and pdf.is_bold(0, "SomeBold") and not pdf.is_bold(0, "SomeBold", names=False)
 
 
 def test_records(spark, tmp_path):
