@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +158,8 @@ def _first_of(e: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
     return first, e[copies]
 
 
-def _cover(docs: np.ndarray, ties: np.ndarray, los: np.ndarray, his: np.ndarray) -> pa.RecordBatch:
-    """Spans of each document, merged where they touch."""
+def _cover(docs: np.ndarray, ties: np.ndarray, los: np.ndarray, his: np.ndarray, buckets: int = 1) -> pa.RecordBatch:
+    """Spans of each document, merged where they touch; any bucket will do."""
     order = np.lexsort((los, ties, docs))
     docs, ties, los, his = docs[order], ties[order], los[order], his[order]
     out: list[list] = [[], [], [], []]
@@ -173,12 +174,12 @@ def _cover(docs: np.ndarray, ties: np.ndarray, los: np.ndarray, his: np.ndarray)
         else:
             out[2][-1].append(lo)
             out[3][-1].append(hi)
-    return _rows(0, len(out[0]), doc=out[0], tie=out[1], los=out[2], his=out[3])
+    return _rows(0, len(out[0]), doc=out[0], tie=out[1], los=out[2], his=out[3], bucket=np.array(out[1], np.int64) % buckets)
 
 
-def _covered(c: np.ndarray, length: int) -> pa.RecordBatch:
+def _covered(c: np.ndarray, length: int, buckets: int = 1) -> pa.RecordBatch:
     lo = c["lo"].astype(np.int64)
-    return _cover(c["doc"], c["tie"], lo, lo + c["n"] + (length - 1))
+    return _cover(c["doc"], c["tie"], lo, lo + c["n"] + (length - 1), buckets)
 
 
 def _cuts(x: np.ndarray) -> list[int]:
@@ -198,7 +199,7 @@ def _scan(text: DataFrame, length: int, gram: int, every: bool, buckets: int) ->
             if held:
                 e, c = _first_of(np.concatenate(held), every)
                 if len(c):
-                    yield _covered(c, length)
+                    yield _covered(c, length, buckets)
                 bucket = (e["anchor"] % U64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 e, bucket = e[order], bucket[order]
@@ -224,13 +225,18 @@ def _scan(text: DataFrame, length: int, gram: int, every: bool, buckets: int) ->
     return text.mapInArrow(run, SCAN)
 
 
-def _settle(blocks: DataFrame, length: int, every: bool, partitions: int) -> DataFrame:
-    """kind 0: spans settled by whole stretches; kind 1: per document, entries whose bytes are needed."""
+def _settle(scan: DataFrame, length: int, every: bool, partitions: int) -> DataFrame:
+    """kind 0: spans settled by whole stretches, here or before; kind 1: per document, entries whose bytes are
+    needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            done = pa.compute.equal(batch.column(0), 0)
+            if (rest := batch.filter(done)).num_rows:
+                yield rest
+            kept = batch.filter(pa.compute.invert(done))
+            for b, x in zip(kept.column(5).to_pylist(), kept.column(6).to_pylist(), strict=True):
                 held.setdefault(b, []).append(np.frombuffer(x, ENTRY))
         for b in list(held):
             e, c = _first_of(np.concatenate(held.pop(b)), every)
@@ -247,7 +253,7 @@ def _settle(blocks: DataFrame, length: int, every: bool, partitions: int) -> Dat
                     first = e[[a for a, _ in part]]
                     yield _rows(1, len(part), doc=first["doc"], tie=first["tie"], block=[e[a:b].tobytes() for a, b in part])
 
-    return blocks.select("bucket", "block").repartition(partitions, "bucket").mapInArrow(run, SCAN)
+    return scan.repartition(partitions, "bucket").mapInArrow(run, SCAN)
 
 
 CUT = "meet long, doc long, tie int, lo int, low int, high int, known boolean, prefix binary, suffix binary"
@@ -363,13 +369,12 @@ def copied_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mode:
     body = _bodies(docs).drop("doc_id")
     doc, tie = _key()
     text = docs.select(doc.alias("doc"), tie.alias("tie"), F.col("text").cast("string").alias("text"))
-    scan = materialize(_scan(text, length, gram, every, n), "suffix-scan")
-    settled = materialize(_settle(scan.where("kind = 1"), length, every, n), "suffix-settled")
+    settled = materialize(_settle(_scan(text, length, gram, every, n), length, every, n), "suffix-settled")
     asked = settled.where("kind = 1").groupBy("doc", "tie").agg(F.collect_list("block").alias("blocks"))
     needed = body.join(asked, ["doc", "tie"]).select("doc", "tie", "body", "blocks")
     found = _resolve(_cut_out(needed, length, gram), length, every, n)
     names = ["doc", "tie", "los", "his"]
-    spans = scan.where("kind = 0").select(*names).unionByName(settled.where("kind = 0").select(*names)).unionByName(found.select(*names))
+    spans = settled.where("kind = 0").select(*names).unionByName(found.select(*names))
     return spans.groupBy("doc", "tie").agg(F.flatten(F.collect_list("los")).alias("los"), F.flatten(F.collect_list("his")).alias("his"))
 
 
