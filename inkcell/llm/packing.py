@@ -14,6 +14,7 @@ columns of the input are ignored. A null id is kept as null.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ CAPACITY = 4096
 TAIL = 64
 END_ID = 2
 #: Entries of a worker's cache of encoded words.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, nth long"
 
 
@@ -57,6 +58,23 @@ def _byte_letters() -> list[str]:
 STAND_IN = _byte_letters()
 #: A word that is one run of letters and perhaps one of marks after it: two pre-tokens.
 SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+#: Marks of ASCII.
+MARKS = string.punctuation.replace("_", "")
+
+
+class _Ids(dict):
+    """Ids of words; those of a word that isn't there are worked out once."""
+
+    def __init__(self, coder: WordEncoder) -> None:
+        self.coder = coder
+
+    def __missing__(self, w: str) -> bytes:
+        coder = self.coder
+        ids = coder.old.get(w)
+        if ids is None and (ids := coder.word(w)) is None:
+            ids = array("I", coder.whole.encode(w, add_special_tokens=False).ids).tobytes()
+        self[w] = ids
+        return ids
 
 
 class WordEncoder:
@@ -72,7 +90,7 @@ class WordEncoder:
 
         self.whole, self.limit = Tokenizer.from_file(path), limit // 2
         self.model = self.whole.model
-        self.young: dict[str, bytes] = {}
+        self.young = _Ids(self)
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -89,6 +107,10 @@ class WordEncoder:
     def word(self, w: str) -> bytes | None:
         """Ids of a simple word; None for any other."""
         low = w.lower()
+        if w.isascii():
+            letters = low.rstrip(MARKS)
+            if letters.isalpha():
+                return self.part(letters) if len(letters) == len(low) else self.part(letters) + self.part(low[len(letters) :])
         m = SIMPLE.fullmatch(low)
         if m and (w.isascii() or m[1].isalpha() and "\u03a3" not in w and is_normalized("NFC", w) and is_normalized("NFC", low)):
             return self.part(m[1]) + self.part(m[2])
@@ -96,21 +118,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        split = [t.split() for t in texts]
-        other = []
-        for w in set().union(*split).difference(young):
-            ids = old.get(w)
-            if ids is None and (ids := self.word(w)) is None:
-                other.append(w)
-            else:
-                young[w] = ids
-        if other:
-            for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-                young[w] = array("I", e.ids).tobytes()
-        get = young.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            self.old, self.young = self.young, _Ids(self)
+        get = self.young.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
     def encode_odd(self, text: str) -> bytes:
         """For texts with separators that Python, but not the vocabulary's rule, takes as white space."""
