@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import cells, decode, encode, tags, text
 from .functions import tables as t
 from .operators import annotations, compare, layout, lines, nav, physical, semantics
+from .plans import pipeline
 from .plans import views as V
 from .sources import records
 
@@ -335,11 +336,12 @@ def column_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return physical.column_boundary(V.spans(spark, sf_dir)).select("doc_id", "page_number", "gap", "cut")
 
 
-@query(f"""with {V.SPANS}, gx as (select *, lag(x1) over (partition by doc_id, page_number, col, y0 order by x0, extraction_index) as px from sc),
-gi as (select *, sum(case when x0 - px > greatest(28::double, 11 * 0.45::double * 6) then 1 else 0 end) over (partition by doc_id, page_number, col, y0 order by x0, extraction_index rows unbounded preceding) as part from gx),
+@query(f"""with {V.SPANS}, gr as (select *, floor((y0 - 72) / 14) * 2 + case when (y0 - 72) - floor((y0 - 72) / 14) * 14 > 5 then 1 else 0 end as rowed from sc),
+gx as (select *, lag(x1) over (partition by doc_id, page_number, col, rowed order by x0, extraction_index) as px from gr),
+gi as (select *, sum(case when x0 - px > greatest(28::double, 11 * 0.45::double * 6) then 1 else 0 end) over (partition by doc_id, page_number, col, rowed order by x0, extraction_index rows unbounded preceding) as part from gx),
 ln as (
-  select doc_id, page_number, col, part, y0 as ly, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, trim(string_agg(text, '' order by x0, extraction_index)) as text, count(*)::int as n_spans from gi group by doc_id, page_number, col, y0, part)
-select doc_id, page_number, col, text, x0, y0, x1, y1, n_spans, (row_number() over (partition by doc_id, page_number order by col, ly, part) - 1)::int as reading_order from ln""")
+  select doc_id, page_number, col, part, rowed, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, trim(string_agg(text, '' order by x0, extraction_index)) as text, count(*)::int as n_spans from gi group by doc_id, page_number, col, rowed, part)
+select doc_id, page_number, col, text, x0, y0, x1, y1, n_spans, (row_number() over (partition by doc_id, page_number order by col, rowed, part) - 1)::int as reading_order from ln""")
 def line_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = V.spans(spark, sf_dir)
     made = physical.build_lines(physical.assign_columns(spans, V.profile(spans)))
@@ -455,9 +457,25 @@ def braille_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.serialize(layout.paginate(layout.rows(seqs)), end="", cells="ascii_text")
 
 
+@query()
+def convert_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: spans to columns, lines, blocks, tree, cells, rows, pages and text."""
+    spans = V.spans(spark, sf_dir)
+    sizes = spans.select("doc_id").distinct().select("doc_id", F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"))
+    return pipeline.convert(spans, sizes).text
+
+
 # ---- content
 
 
+@query()
+def compare_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment classes of encoded documents against the same with the cells of two finals exchanged, decoded first."""
+    coded = V.ink(spark, sf_dir).select("doc_id", "n", encode.line(F.col("ink")).alias("cells"))
+    docs = coded.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cells"))), lambda x: x["cells"]), "\n").alias("text"))
+    return pipeline.compare_content(docs, docs.withColumn("text", F.translate("text", "35", "53"))).drop("generated_ink", "reference_ink")
+
+
 @query(f"with {V.VIEWS_OF_LINES} select doc_id, seg_no, key, kind, ink_text, ascii_text from sg")
 def segment_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.segments(compare.line_views(V.views_of_lines(spark, sf_dir)))

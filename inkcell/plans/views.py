@@ -87,8 +87,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user in time as the blocks of a document."""
     return table(spark, sf_dir, "events").selectExpr(
         "user_id as doc_id", "1 as page_number", "row_number() over (partition by user_id order by ts, event_id) - 1 as reading_order", "concat('b', event_id) as id",
-        "case event_type when 'signup' then '[1~3] signup' when 'view' then concat(event_id % 50, '. view') else concat(event_type, ' ', event_id) end as text",
-        """case event_type when 'signup' then 'PassageGroup' when 'view' then 'Question' when 'click' then 'Choice' when 'error' then 'Footer'
+        "case when event_id % 11 = 0 then case event_id % 3 when 0 then '2026 학년도 6월 고2 전국연합학력평가 문제지 3' when 1 then '제 1 교시국어영역' else concat('head ', event_id) end when event_type = 'signup' then '[1~3] signup' when event_type = 'view' then concat(event_id % 50, '. view') else concat(event_type, ' ', event_id) end as text",
+        """case when event_id % 11 = 0 then 'Header' when event_type = 'signup' then 'PassageGroup' when event_type = 'view' then 'Question' when event_type = 'click' then 'Choice' when event_type = 'error' then 'Footer'
            else case when event_id % 5 = 0 then 'ExampleBox' when event_id % 7 = 0 then 'Footnote' end end as tag""",
     )
 
@@ -96,12 +96,12 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE = r"""
 vb as (
   select user_id as doc_id, 1 as page_number, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as reading_order, 'b' || event_id as id,
-    case event_type when 'signup' then '[1~3] signup' when 'view' then (event_id % 50) || '. view' else event_type || ' ' || event_id end as text,
-    case event_type when 'signup' then 'PassageGroup' when 'view' then 'Question' when 'click' then 'Choice' when 'error' then 'Footer'
+    case when event_id % 11 = 0 then case event_id % 3 when 0 then '2026 학년도 6월 고2 전국연합학력평가 문제지 3' when 1 then '제 1 교시국어영역' else 'head ' || event_id end when event_type = 'signup' then '[1~3] signup' when event_type = 'view' then (event_id % 50) || '. view' else event_type || ' ' || event_id end as text,
+    case when event_id % 11 = 0 then 'Header' when event_type = 'signup' then 'PassageGroup' when event_type = 'view' then 'Question' when event_type = 'click' then 'Choice' when event_type = 'error' then 'Footer'
       else case when event_id % 5 = 0 then 'ExampleBox' when event_id % 7 = 0 then 'Footnote' end end as tag
   from events
 ), e1 as (
-  select *, row_number() over w as pos, sum(case when tag in ('PassageGroup', 'Footer') then 1 else 0 end) over w as epoch,
+  select *, row_number() over w as pos, sum(case when tag in ('PassageGroup', 'Header', 'Footer') then 1 else 0 end) over w as epoch,
     sum(case when tag = 'PassageGroup' then 1 else 0 end) over w as gno
   from vb window w as (partition by doc_id order by reading_order rows unbounded preceding)
 ), e2 as (select *, case when tag = 'PassageGroup' then 'passage-group-' || gno::bigint else id end as node_id from e1),
@@ -111,9 +111,9 @@ e3 as (
 ), e4 as (select *, sum(case when tag is null then 1 else 0 end) over (partition by doc_id, epoch, q order by pos rows unbounded preceding) as nth from e3),
 asg as (
   select doc_id, pos, epoch, id, node_id, text,
-    case when tag in ('PassageGroup', 'Question', 'Footnote', 'ExampleBox', 'Footer') then tag when tag = 'Choice' then case when q is null then 'Unknown' else 'Choice' end
+    case when tag in ('PassageGroup', 'Question', 'Footnote', 'ExampleBox', 'Header', 'Footer') then tag when tag = 'Choice' then case when q is null then 'Unknown' else 'Choice' end
       when q is not null then case when nth = 1 then 'Prompt' else 'Paragraph' end when g is not null then 'Passage' else 'Unknown' end as node_type,
-    case when tag in ('PassageGroup', 'Footer') then 'exam-root' when tag in ('Question', 'Footnote') then coalesce(g, 'exam-root')
+    case when tag in ('PassageGroup', 'Header', 'Footer') then 'exam-root' when tag in ('Question', 'Footnote') then coalesce(g, 'exam-root')
       when tag = 'Choice' then coalesce(q, 'exam-root') else coalesce(q, g, 'exam-root') end as parent_id
   from e4
 ), pl0 as (select *, case when node_type = 'PassageGroup' then max(pos) over (partition by doc_id, epoch) + 0.5 else pos::double end as place from asg),
@@ -140,9 +140,11 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.selectExpr("doc_id", "n", "base", "spot", "posexplode(split(raw_ascii, ' ', -1)) as (i, t)")
     rows = rows.selectExpr("*", "sum(length(t) + 1) over (partition by doc_id, n order by i) - length(t) - 1 as before").where("t <> ''")
     rows = rows.selectExpr("*", "int((base + before div 50) % 50) as r", "int((base + before div 50) div 50) + 1 as page_number", "int(before % 50) as c")
+    # the right halves of some rows stand a little lower: within a line's height in one of three, beyond it in another
+    rows = rows.selectExpr("*", "72 + 14 * (r % 25) + case when c < 25 or r % 25 in (0, 24) or r % 3 = 2 then 0 when r % 3 = 1 then 5.5D else 2 end as y")
     words = rows.selectExpr(
         "doc_id", "page_number", "concat('s', n, '-', i) as id", "if(i = 0, t, concat(' ', t)) as text",
-        "double(40 + 5 * c + if(r >= 25, 290, 0)) as x0", "double(72 + 14 * (r % 25)) as y0", "double(40 + 5 * (c + length(t)) + if(r >= 25, 290, 0)) as x1", "double(83 + 14 * (r % 25)) as y1",
+        "double(40 + 5 * c + if(r >= 25, 290, 0)) as x0", "double(y) as y0", "double(40 + 5 * (c + length(t)) + if(r >= 25, 290, 0)) as x1", "double(y + 11) as y1",
         "11D as font_size", "int(spot + before) as extraction_index",
     )
     rules = words.where("page_number % 3 = 0").select("doc_id", "page_number").distinct().selectExpr(
@@ -158,9 +160,9 @@ w3 as (select *, (sum(length(t) + 1) over (partition by doc_id, n order by i row
 w4 as (select *, ((base::bigint + before // 50) % 50)::int as r, ((base::bigint + before // 50) // 50 + 1)::int as page_number, before % 50 as c from w3 where t <> ''),
 w5 as (
   select doc_id, page_number, 's' || n || '-' || (i - 1) as id, case when i = 1 then t else ' ' || t end as text, (spot + before)::int as extraction_index,
-    (40 + 5 * c + case when r >= 25 then 290 else 0 end)::double as x0, (72 + 14 * (r % 25))::double as y0,
-    (40 + 5 * (c + length(t)) + case when r >= 25 then 290 else 0 end)::double as x1, (83 + 14 * (r % 25))::double as y1
-  from w4
+    (40 + 5 * c + case when r >= 25 then 290 else 0 end)::double as x0, (72 + 14 * (r % 25) + dy)::double as y0,
+    (40 + 5 * (c + length(t)) + case when r >= 25 then 290 else 0 end)::double as x1, (83 + 14 * (r % 25) + dy)::double as y1
+  from (select *, case when c < 25 or r % 25 in (0, 24) or r % 3 = 2 then 0 when r % 3 = 1 then 5.5 else 2 end as dy from w4)
 ), sp as (
   select * from w5 union all
   select distinct doc_id, page_number, 'rule' || page_number, repeat('=', 12), -1, 40::double, (58 + page_number % 5)::double, 540::double, (60 + page_number % 5)::double from w5 where page_number % 3 = 0
