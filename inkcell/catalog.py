@@ -312,8 +312,10 @@ def tree_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {V.TREE}, x as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as b from tr), y as (
-  select doc_id, dfs_order, repeat('  ', depth) || node_type || case when question_number is not null then ' #' || question_number else '' end || ' (' || node_id || ')' || case when b <> '' then ' — ' || case when length(b) <= 48 then b else left(b, 47) || '…' end else '' end as line, row_number() over (partition by doc_id order by dfs_order) as nth from x)
-select doc_id, string_agg(line, chr(10) order by nth) as tree from y where nth <= 400 group by doc_id""")
+  select doc_id, dfs_order, repeat('  ', depth) || node_type || case when question_number is not null then ' #' || question_number else '' end || ' (' || node_id || ')' || case when b <> '' then ' — ' || case when length(b) <= 48 then b else left(b, 47) || '…' end else '' end as line, row_number() over (partition by doc_id order by dfs_order) as nth from x), r0 as (select doc_id, '  refers_to_passage: ' || node_id || ' → ' || parent_id as tie, row_number() over (partition by doc_id order by dfs_order) as rel from tr where node_type = 'Question' and parent_id <> 'exam-root'),
+rl as (select doc_id, chr(10) || 'relations:' || chr(10) || string_agg(tie, chr(10) order by rel) filter (rel <= 50) || case when count(*) > 50 then chr(10) || '  … 외 ' || (count(*) - 50) || '건' else '' end as ties from r0 group by doc_id),
+tx as (select doc_id, string_agg(line, chr(10) order by nth) filter (nth <= 400) || case when count(*) >= 400 then chr(10) || '… (truncated at 400 nodes)' else '' end as tree from y group by doc_id)
+select tx.doc_id, tree || coalesce(ties, '') as tree from tx left join rl using (doc_id)""")
 def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.tree_text(_nodes(spark, sf_dir))
 
@@ -741,3 +743,32 @@ def preview_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells and ink of encoded lines; from_cells: the ink read from the Unicode cells, which is the same."""
     coded = V.ink(spark, sf_dir).select("doc_id", "n", encode.line(F.col("ink")).alias("x")).select("doc_id", "n", decode.preview(F.col("x")).alias("p")).select("doc_id", "n", "p.*")
     return coded.withColumn("from_cells", decode.decode_unicode(F.col("unicode_braille")))
+
+
+@query(f"""with {PAGES_SQL}, ga as (select doc_id, page::int as page_index, (ofs + shift)::int as line_index, a as raw_ascii from s where ofs + shift < 10 union all select doc_id, page::int, 0, '' from s where shift = 1 and ofs = 0),
+g as (select * from ga where page_index < 8), mx as (select doc_id, max(page_index) + 1 as made from ga group by doc_id), r as (select l.doc_id, l.page_index, l.line_index, l.raw_ascii from l join mx on l.doc_id = mx.doc_id and l.page_index < least(made, 8)){COMPARED[len(V.PAIR):]}
+select doc_id, page_index, line_index, generated, reference, in_generated, in_reference, matched, cell_equal, cell_total from c""")
+def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paginated rows against the lines they came from, over the pages made, eight at most."""
+    return pipeline.compare_pages(layout.paginate(_rows(spark, sf_dir), 10), V.lines(spark, sf_dir))
+
+
+@query(f"""with {BLOCKS_SQL}, k as (select *, case when made = 1 then 0 else made end as key from bk),
+m as (select doc_id, page_number, key, min(x0) as x0, min(y0) as y0, max(x1) as x1, coalesce(string_agg(case when text <> '' then text end, chr(10) order by made), '') as x, 'p' || page_number || '-b' || min(made) as id from k group by doc_id, page_number, key),
+md as (select doc_id, page_number, (x0 + x1) / 2 as m, count(*) over (partition by doc_id, page_number) as n, max(x1) over (partition by doc_id, page_number) as extent from m),
+gp as (select *, lead(m) over w - m as gap, (m + lead(m) over w) / 2 as cut from md window w as (partition by doc_id, page_number order by m)),
+ok as (select *, row_number() over (partition by doc_id, page_number order by gap desc, cut) as rn from gp where n >= 4 and gap > 0 and cut >= extent * 0.28::double and cut <= extent * 0.72::double),
+cu as (select doc_id, page_number, cut from ok where rn = 1 and gap >= greatest(28::double, extent * 0.045::double)),
+tg as (select *, regexp_matches(x, {quoted(tags.PASSAGE)}) as pg, coalesce(nullif(regexp_extract(x, {quoted(tags.QUESTION)}, 1), ''), nullif(regexp_extract(x, {quoted(tags.QUESTION)}, 2), ''))::int as q from m),
+bt as (
+  select doc_id, page_number, id, x0, y0, x1, case when regexp_replace(x, '^\\s+|\\s+$', '', 'g') = '' then [] else list_filter([
+    case when pg then 'PassageGroup' end, case when not pg and q between 1 and 45 then 'Question' end, case when regexp_matches(x, {quoted(tags.CHOICE)}) then 'Choice' end,
+    case when regexp_matches(x, {quoted(tags.EXAMPLE)}) then 'ExampleBox' end, case when regexp_matches(x, {quoted(tags.FOOTNOTE)}) then 'Footnote' end, case when regexp_matches(x, {quoted(tags.ENDING)}) then 'EndNotice' end], lambda y: y is not null) end as c
+  from tg)
+select bt.doc_id, bt.page_number, id, array_to_string(c, ',') as tags, (row_number() over (partition by bt.doc_id, bt.page_number order by case when cut is null then 1 when x1 - x0 > cut and x0 < cut and cut < x1 then 0 when (x0 + x1) / 2 < cut then 1 else 2 end, y0, x0, id) - 1)::int as reading_order from bt left join cu on bt.doc_id = cu.doc_id and bt.page_number = cu.page_number""")
+def merge_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two blocks of each page merged, tags and order anew."""
+    none = F.array().cast("array<string>")
+    made = physical.build_blocks(V.print_lines(spark, sf_dir)).withColumns({"candidate_tags": none, "tags": none, "notes": F.lit(None).cast("string")})
+    pairs = made.where("reading_order = 1").select("doc_id", "page_number", F.concat(F.lit("p"), "page_number", F.lit("-b0")).alias("left_id"), F.col("id").alias("right_id"))
+    return pipeline.merge_selected(made, pairs).select("doc_id", "page_number", "id", F.array_join("candidate_tags", ",").alias("tags"), "reading_order")

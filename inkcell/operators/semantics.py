@@ -105,12 +105,22 @@ def warnings(nodes: DataFrame) -> DataFrame:
     return every.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "at", "warning")) - 1).alias("nth"), "warning")
 
 
-def tree_text(nodes: DataFrame, most: int = 400, width: int = 48) -> DataFrame:
-    """doc_id, tree: the indented tree of at most ``most`` nodes."""
+def tree_text(nodes: DataFrame, most: int = 400, width: int = 48, relations_most: int = 50) -> DataFrame:
+    """doc_id, tree: the indented tree of at most ``most`` nodes, and at most ``relations_most`` relations."""
     body = clip(F.coalesce("text", F.lit("")), width)
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "node_type", F.when(F.col("question_number").isNotNull(), F.concat(F.lit(" #"), F.col("question_number").cast("string"))).otherwise(""), F.lit(" ("), "node_id", F.lit(")"), F.when(body != "", F.concat(F.lit(" — "), body)).otherwise(""))
-    rows = nodes.withColumn("line", line).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("dfs_order"))).where(F.col("nth") <= most)
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias("tree"))
+    order = Window.partitionBy("doc_id").orderBy("dfs_order")
+    related = (F.col("node_type") == "Question") & (F.col("parent_id") != ROOT)
+    rows = nodes.withColumns({"line": line, "nth": F.row_number().over(order), "related": related}).withColumn("rel", F.sum(F.col("related").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    tie = F.concat(F.lit("  refers_to_passage: "), "node_id", F.lit(" → "), "parent_id")
+    kept = lambda ok, n, x: F.array_sort(F.collect_list(F.when(ok & (F.col(n) <= (most if n == "nth" else relations_most)), F.struct(F.col(n).alias("n"), x.alias("line")))))
+    per = rows.groupBy("doc_id").agg(kept(F.lit(True), "nth", F.col("line")).alias("lines"), F.count("*").alias("n"), kept(F.col("related"), "rel", tie).alias("ties"), F.count_if("related").alias("m"))
+    text = lambda xs: F.transform(xs, lambda x: x["line"])
+    none = F.array().cast("array<string>")
+    cut = F.when(F.col("n") >= most, F.array(F.lit(f"… (truncated at {most} nodes)"))).otherwise(none)
+    more = F.when(F.col("m") > relations_most, F.array(F.concat(F.lit("  … 외 "), (F.col("m") - relations_most).cast("string"), F.lit("건")))).otherwise(none)
+    ties = F.when(F.col("m") > 0, F.concat(F.array(F.lit("relations:")), text("ties"), more)).otherwise(none)
+    return per.select("doc_id", F.array_join(F.concat(text("lines"), cut, ties), "\n").alias("tree"))
 
 
 def all_unknown(blocks: DataFrame) -> DataFrame:
