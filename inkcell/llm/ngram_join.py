@@ -14,8 +14,9 @@ two), and their 48-bit keys are shuffled, packed in blocks. The sets that share
 The components of pairs and ties are the blocks of the product. In a block the incidence matrix over the
 n-grams that occur twice is multiplied with its transpose in strips of columns; a pair is discarded as soon
 as what it has and what it can still get stay below the overlap that its sizes ask for. A component of more
-than ``block`` nodes, or of too many n-grams, is a grid of blocks by hash, each pair of blocks a product of
-its own, so no task holds a whole component. Links found become the final components.
+than ``block`` nodes, or of too many n-grams, is cut into parts by hash, so no task holds a whole component:
+one part meets each other part, which links most of a group of near copies; then only nodes outside the
+largest class so far meet all the rest. Links found become the final components.
 
 A null text, or one without words, has an empty set: it is linked with nothing, n_shingles 0. Fewer words
 than a shingle make the whole sequence one. Repeated documents link like any others, and so do rows with a
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, discard, free_name, gram_hashes, materialize, mix, parallelism, text_slices, word_hash, words
@@ -491,16 +492,43 @@ def _linked(docs: DataFrame, k: int, percent: int, block: int, grams: int) -> tu
     likely = _plausible(found.where("not tied").select("a", "b").distinct(), nodes, percent)
     blocks = components(likely.union(found.where("tied").select("a", "b")))
     discard(found)
-    # each node's text is taken from one of its rows; places: the blocks it is needed in
-    spot = blocks.join(nodes.select("node", "n", "row"), "node")
-    sizes = spot.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
-    grid = F.when((F.col("size") <= block) & (F.col("grams") <= grams), F.lit(1)).otherwise(F.expr(f"int(least(size, greatest(ceil(size / {block // 2}), ceil(grams / {grams // 2}))))"))
-    spot = spot.join(sizes, "root").withColumn("grid", grid).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
-    # blocks i and j of a grid meet once; pairs inside i count where i meets itself
-    places = F.when(F.col("grid") == 1, F.expr("array(struct(string(root) as part, 0 as side))")).otherwise(
-        F.expr("transform(sequence(0, grid - 1), j -> struct(concat_ws('/', root, least(mine, j), greatest(mine, j)) as part, if(j = mine, 0, if(mine < j, 1, 2)) as side))"))
-    needed = spot.select("row", "node", places.alias("places"))
-    return own, components(_links(text.select("row", "text").join(needed, "row"), k, percent, n))
+    sized = blocks.join(nodes.select("node", "n", "row"), "node")
+    sizes = sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
+    spot = sized.join(sizes, "root").withColumn("grid", _parts(F.col("size"), F.col("grams"), block, grams)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
+    spot = materialize(spot.select("root", "node", "n", "row", "grid", "mine"), "blocks")
+    # each node's text is taken from one of its rows; places: the blocks it is needed in. Part 0 of a large component
+    # meets each other part, pairs inside a part count once
+    meets = F.expr("transform(sequence(1, grid - 1), j -> struct(concat_ws('/', root, j) as part, if(j = 1, 0, 1) as side))")
+    own_block = F.expr("array(struct(concat_ws('/', root, mine) as part, 0 as side))")
+    first = spot.withColumn("places", F.when((F.col("grid") > 1) & (F.col("mine") == 0), meets).otherwise(own_block))
+    links = materialize(_links(_texts(text, first), k, percent, n), "links")
+    big = spot.where("grid > 1")
+    if not big.limit(1).count():
+        return own, components(links)
+    # what isn't in a large component's largest class by now meets all the rest of it
+    known = components(links).withColumnRenamed("root", "class")
+    classed = materialize(big.join(known, "node", "left").withColumn("class", F.coalesce("class", "node")), "classes")
+    largest = classed.groupBy("root", "class").agg(F.count("*").alias("many")).groupBy("root").agg(F.max(F.struct("many", "class"))["class"].alias("largest"))
+    classed = classed.join(largest, "root").withColumn("minor", F.col("class") != F.col("largest"))
+    minors = classed.where("minor").groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
+    minors = minors.select("root", _parts(F.col("size"), F.col("grams"), block, grams).alias("few"))
+    rest = classed.join(minors, "root").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(7)), F.col("few")).cast("int"))
+    among = F.expr("transform(sequence(0, few - 1), j -> struct(concat_ws('/', root, 'minor', least(turn, j), greatest(turn, j)) as part, if(j = turn, 0, if(turn < j, 1, 2)) as side))")
+    across = F.expr("transform(sequence(0, grid - 1), j -> struct(concat_ws('/', root, 'rest', turn, j) as part, 1 as side))")
+    back = F.expr("transform(sequence(0, few - 1), i -> struct(concat_ws('/', root, 'rest', i, mine) as part, 2 as side))")
+    second = rest.withColumn("places", F.when(F.col("minor"), F.concat(among, across)).otherwise(back))
+    return own, components(links.union(_links(_texts(text, second), k, percent, n)))
+
+
+def _parts(size: Column, grams: Column, block: int, most: int) -> Column:
+    """Parts, of half a block each, that so many nodes with so many n-grams in all are cut into."""
+    cut = F.ceil(F.greatest(size / (block // 2), grams / (most // 2)))
+    return F.when((size <= block) & (grams <= most), 1).otherwise(F.greatest(F.lit(2), F.least(size, cut))).cast("int")
+
+
+def _texts(text: DataFrame, placed: DataFrame) -> DataFrame:
+    """text, node, places."""
+    return text.select("row", "text").join(placed.select("row", "node", "places"), "row")
 
 
 def _grouped(own: DataFrame, roots: DataFrame) -> DataFrame:
