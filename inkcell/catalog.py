@@ -434,6 +434,22 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paginate(_rows(spark, sf_dir), 10)
 
 
+WRAPPED = f"""recursive {V.LINES.strip()}, wr as (
+  select doc_id, n, 0 as row_no, raw_ascii as line, 30 as room from l
+  union all select doc_id, n, row_no + 1, substr(line, cut), 32 from (select *, case when instr(reverse(left(line, room)), ' ') between 1 and room - 1 then room - instr(reverse(left(line, room)), ' ') + 2 else room + 1 end as cut from wr where length(line) > room)
+  where substr(line, cut) <> ''
+), wl as (
+  select doc_id, n, row_no, case when line = '' then '' when length(line) <= room then repeat(' ', 32 - room) || line
+    when instr(reverse(left(line, room)), ' ') between 1 and room - 1 then repeat(' ', 32 - room) || left(line, room - instr(reverse(left(line, room)), ' ')) else repeat(' ', 32 - room) || left(line, room) end as row from wr
+)"""
+
+
+@query(f"with {WRAPPED} select doc_id, n, row_no, row from wl")
+def wrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode.wrap(F.col("raw_ascii"), F.lit(32), F.lit(2))
+    return V.lines(spark, sf_dir).select("doc_id", "n", F.posexplode(rows).alias("row_no", "row"))
+
+
 def _whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``wrap_rows``, numbered through each document; blank ones are the text's own."""
     rows = wrap_rows(spark, sf_dir)
@@ -441,17 +457,16 @@ def _whole_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.row_number().over(order) - 1).alias("row_no"), F.concat(F.lit("x"), "n").alias("node_id"), F.col("row").alias("ascii_text"))
 
 
-@query()
+@query(f"""with {WRAPPED}, wn as (select doc_id, (row_number() over (partition by doc_id order by n, row_no) - 1)::int as k, 'x' || n as node_id, row as a from wl),
+ps as (select doc_id, 0 as page, 0 as start, a from wn where k = 0
+  union all select ps.doc_id, page + 1, wn.k, wn.a from ps join wn on ps.doc_id = wn.doc_id and wn.k = start + 10 - case when page > 0 and ps.a <> '' then 1 else 0 end),
+pe as (select *, case when page > 0 and a <> '' then 1 else 0 end as shift, coalesce(lead(start) over (partition by doc_id order by page), 2147483647) as past from ps)
+select wn.doc_id, page as page_index, k - start + shift as line_index, node_id, wn.a as ascii_text from wn join pe on wn.doc_id = pe.doc_id and k >= start and k < past
+union all select doc_id, page, 0, null, '' from pe where shift = 1""")
 def paginate_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.paginate(_whole_rows(spark, sf_dir), 10, compat_truncate=False)
 
 
-@query()
-def wrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode.wrap(F.col("raw_ascii"), F.lit(32), F.lit(2))
-    return V.lines(spark, sf_dir).select("doc_id", "n", F.posexplode(rows).alias("row_no", "row"))
-
-
 @query()
 def braille_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree to encoded, wrapped and paginated text."""
@@ -772,3 +787,17 @@ def merge_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = physical.build_blocks(V.print_lines(spark, sf_dir)).withColumns({"candidate_tags": none, "tags": none, "notes": F.lit(None).cast("string")})
     pairs = made.where("reading_order = 1").select("doc_id", "page_number", F.concat(F.lit("p"), "page_number", F.lit("-b0")).alias("left_id"), F.col("id").alias("right_id"))
     return pipeline.merge_selected(made, pairs).select("doc_id", "page_number", "id", F.array_join("candidate_tags", ",").alias("tags"), "reading_order")
+
+
+#: Syllables for a-z that, in any order, encode to cells that have one reading.
+READABLE = "고너도루머부소수주추코투푸호것억울연은까씨꽃닭괜강빛"
+HEAD_INK = "case n % 6 when 0 then concat(n % 45 + 1, '. ') when 1 then concat('[', n % 40 + 1, '~', n % 40 + 3, '] ') when 2 then '① ' when 3 then 'EXW(Ex Works) ' when 4 then '‘학생 2’는 ' else '' end"
+
+
+@query(f"""with {V.LINES} select doc_id, n, {HEAD_INK.replace("concat(n % 45 + 1, '. ')", "(n % 45 + 1) || '. '").replace("concat('[', n % 40 + 1, '~', n % 40 + 3, '] ')", "'[' || (n % 40 + 1) || '~' || (n % 40 + 3) || '] '")}
+  || translate(ltrim(regexp_replace(lower(raw_ascii), '[^a-z]+', ' ', 'g')), 'abcdefghijklmnopqrstuvwxyz', '{READABLE}') as ink from l""")
+def reverse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink of one reading, encoded and decoded again: numbers, ranges, circled digits, Latin, quotes, syllables."""
+    text_ = F.translate(F.ltrim(F.regexp_replace(F.lower("raw_ascii"), "[^a-z]+", " ")), "abcdefghijklmnopqrstuvwxyz", READABLE)
+    rows = V.lines(spark, sf_dir).select("doc_id", "n", F.concat(F.expr(HEAD_INK), text_).alias("ink"))
+    return rows.select("doc_id", "n", decode.decode(encode.line(F.col("ink"))).alias("ink"))
