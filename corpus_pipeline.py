@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkcell.llm import decontam, ngram_join, packing, suffix_dedup, toxicity
-from inkcell.llm.common import materialize
+from inkcell.llm.common import discard, materialize
 from inkcell.llm.queries import table, word_vocabulary
 
 
@@ -46,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each writes Parquet that the next one reads."""
+    """All stages over ``documents``; each writes Parquet that the next one reads and that then goes."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-"))
+        if 0 < i < len(STAGES) - 1:
+            discard(before)
     return docs
