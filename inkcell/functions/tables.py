@@ -12,28 +12,38 @@ INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 FINALS = ["", *"ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"]
 
-# Cells of the jamo, "jamo cells" in Unicode order. The initial ㅇ is not written.
-INITIAL_CELLS = dict(x.split() for x in """
-ㄱ @|ㄲ ,@|ㄴ c|ㄷ i|ㄸ ,i|ㄹ "|ㅁ e|ㅂ ^|ㅃ ,^|ㅅ ,|ㅆ ,,|ㅈ .|ㅉ ,.|ㅊ ;|ㅋ f|ㅌ h|ㅍ d|ㅎ j
-""".strip().split("|"))
-VOWEL_CELLS = dict(x.split() for x in r"""
-ㅏ <|ㅐ r|ㅑ >|ㅒ >r|ㅓ s|ㅔ n|ㅕ :|ㅖ /|ㅗ u|ㅘ v|ㅙ vr|ㅚ y|ㅛ +|ㅜ m|ㅝ p|ㅞ pr|ㅟ mr|ㅠ %|ㅡ [|ㅢ w|ㅣ o
-""".strip().split("|"))
-FINAL_CELLS = dict(x.split() for x in """
-ㄱ a|ㄲ aa|ㄳ a'|ㄴ 3|ㄵ 3k|ㄶ 30|ㄷ 9|ㄹ 1|ㄺ 1a|ㄻ 15|ㄼ 1b|ㄽ 1'|ㄾ 18|ㄿ 14|ㅀ 10|ㅁ 5|ㅂ b|ㅄ b'|ㅅ '|ㅆ /|ㅇ 7|ㅈ k|ㅊ 2|ㅋ 6|ㅌ 8|ㅍ 4|ㅎ 0
-""".strip().split("|"))
+# Cells of the jamo in Unicode order. The initial ㅇ is not written.
+INITIAL_CELLS = {
+    "ㄱ": "@", "ㄲ": ",@", "ㄴ": "c", "ㄷ": "i", "ㄸ": ",i", "ㄹ": "\"", "ㅁ": "e", "ㅂ": "^", "ㅃ": ",^", "ㅅ": ",", "ㅆ": ",,", "ㅈ": ".", "ㅉ": ",.", "ㅊ": ";",
+    "ㅋ": "f", "ㅌ": "h", "ㅍ": "d", "ㅎ": "j",
+}
+VOWEL_CELLS = {
+    "ㅏ": "<", "ㅐ": "r", "ㅑ": ">", "ㅒ": ">r", "ㅓ": "s", "ㅔ": "n", "ㅕ": ":", "ㅖ": "/", "ㅗ": "u", "ㅘ": "v", "ㅙ": "vr", "ㅚ": "y", "ㅛ": "+", "ㅜ": "m",
+    "ㅝ": "p", "ㅞ": "pr", "ㅟ": "mr", "ㅠ": "%", "ㅡ": "[", "ㅢ": "w", "ㅣ": "o",
+}
+FINAL_CELLS = {
+    "ㄱ": "a", "ㄲ": "aa", "ㄳ": "a'", "ㄴ": "3", "ㄵ": "3k", "ㄶ": "30", "ㄷ": "9", "ㄹ": "1", "ㄺ": "1a", "ㄻ": "15", "ㄼ": "1b", "ㄽ": "1'", "ㄾ": "18",
+    "ㄿ": "14", "ㅀ": "10", "ㅁ": "5", "ㅂ": "b", "ㅄ": "b'", "ㅅ": "'", "ㅆ": "/", "ㅇ": "7", "ㅈ": "k", "ㅊ": "2", "ㅋ": "6", "ㅌ": "8", "ㅍ": "4", "ㅎ": "0",
+}
 
 # Cells that stand for an initial with the vowel ㅏ.
-WITH_A = dict(x.split() for x in "ㄱ $|ㄴ c|ㄷ i|ㅁ e|ㅂ ^|ㅅ l|ㅈ .|ㅋ f|ㅌ h|ㅍ d|ㅎ j".split("|"))
-# Cells that stand for a vowel with a final, "vowel final cell".
-RIMES = {(v, f): c for v, f, c in (x.split() for x in r"""
-ㅓ ㄱ ?|ㅓ ㄴ )|ㅓ ㄹ t|ㅕ ㄴ *|ㅕ ㄹ \|ㅕ ㅇ ]|ㅗ ㄱ x|ㅗ ㄴ (|ㅗ ㅇ =|ㅜ ㄴ g|ㅜ ㄹ &|ㅡ ㄴ z|ㅡ ㄹ !|ㅣ ㄴ q
-""".strip().split("|"))}
+WITH_A = {
+    "ㄱ": "$", "ㄴ": "c", "ㄷ": "i", "ㅁ": "e", "ㅂ": "^", "ㅅ": "l", "ㅈ": ".", "ㅋ": "f", "ㅌ": "h", "ㅍ": "d", "ㅎ": "j",
+}
+# Cells that stand for a vowel with a final.
+RIMES = {
+    ("ㅓ", "ㄱ"): "?", ("ㅓ", "ㄴ"): ")", ("ㅓ", "ㄹ"): "t", ("ㅕ", "ㄴ"): "*", ("ㅕ", "ㄹ"): "\\", ("ㅕ", "ㅇ"): "]", ("ㅗ", "ㄱ"): "x", ("ㅗ", "ㄴ"): "(",
+    ("ㅗ", "ㅇ"): "=", ("ㅜ", "ㄴ"): "g", ("ㅜ", "ㄹ"): "&", ("ㅡ", "ㄴ"): "z", ("ㅡ", "ㄹ"): "!", ("ㅣ", "ㄴ"): "q",
+}
 # The cell ] after these initials is read so.
-YEONG = dict(x.split() for x in "ㅅ 성|ㅆ 썽|ㅈ 정|ㅉ 쩡|ㅊ 청".split("|"))
+YEONG = {
+    "ㅅ": "성", "ㅆ": "썽", "ㅈ": "정", "ㅉ": "쩡", "ㅊ": "청",
+}
 GEOT = ("것", "_s")
 # Word abbreviations.
-WORDS = dict(x.split() for x in "그러나 ac|그러면 a3|그러므로 a5|그런데 an|그래서 as|그리고 au|그리하여 a:".split("|"))
+WORDS = {
+    "그러나": "ac", "그러면": "a3", "그러므로": "a5", "그런데": "an", "그래서": "as", "그리고": "au", "그리하여": "a:",
+}
 
 # Digits 1-9 and 0, and circled digits.
 DIGITS, DIGIT_CELLS = "1234567890", "abcdefghij"
