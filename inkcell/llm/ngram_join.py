@@ -45,8 +45,10 @@ STRIP = 4096
 #: Sets under one key that are paired; more are tied to one of them.
 FEW = 4
 #: Bytes of text whose n-grams, and whose part keys, a task folds together.
-FOLD_BYTES = 24 << 20
+FOLD_BYTES = 16 << 20
 KEY_FOLD_BYTES = 6 << 20
+#: Buckets of part keys for each partition of a shuffle, as they are sorted in memory.
+DEAL = 2
 #: N-grams on the list of frequent ones at most, sets of one fold that must hold one, and levels: n-grams of
 #: level l are in FREQUENT_FROM * 8 ** (l - 1) sets or more.
 FREQUENT = 1 << 20
@@ -488,7 +490,7 @@ def _linked(docs: DataFrame, k: int, percent: int, block: int, grams: int) -> tu
     own = survey.where("kind = 0").select("doc_id", "row", "n", "node")
     nodes = survey.where("kind = 1").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("row").alias("row"))
     frequent = spark.sparkContext.broadcast(frequent_grams(survey))
-    found = materialize(_candidates(_part_keys(text, k, percent, n, frequent), n), "candidates")
+    found = materialize(_candidates(_part_keys(text, k, percent, DEAL * n, frequent), DEAL * n), "candidates")
     likely = _plausible(found.where("not tied").select("a", "b").distinct(), nodes, percent)
     blocks = components(likely.union(found.where("tied").select("a", "b")))
     discard(found)
