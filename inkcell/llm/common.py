@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+#: glibc's function that returns free memory; None elsewhere.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 #: Odd base of the wrapping polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -80,6 +84,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         to = min(n, max(to, at + 1))
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that a worker no longer uses back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -43,9 +43,9 @@ BESIDE = -12.0
 LEAN = 4.0
 LEAST_SHARE = 0.25
 #: Entries of a worker's caches: weights of tokens, readings of tokens, and code lengths.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 CACHE_READINGS = 50_000
-CACHE_COSTS = 100_000
+CACHE_COSTS = 50_000
 #: Characters of a joined stretch that may begin and end within repeats; least bound of one that may not.
 STRETCH = 16
 
