@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = _both(now)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour of a node to the node's least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: a node and its smaller neighbours to the least of these
         tied = large.join(least, "a")

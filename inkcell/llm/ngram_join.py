@@ -14,9 +14,10 @@ two), and their 48-bit keys are shuffled, packed in blocks. The sets that share
 The components of pairs and ties are the blocks of the product. In a block the incidence matrix over the
 n-grams that occur twice is multiplied with its transpose in strips of columns; a pair is discarded as soon
 as what it has and what it can still get stay below the overlap that its sizes ask for. A component of more
-than ``block`` nodes, or of too many n-grams, is cut into parts by hash, so no task holds a whole component:
-one part meets each other part, which links most of a group of near copies; then only nodes outside the
-largest class so far meet all the rest. Links found become the final components.
+than ``block`` nodes, or of too many n-grams, is cut into parts by hash, so no task holds a whole component: a
+few parts all meet each other; of more, one part meets each other part, which links most of a group of near
+copies, and then only nodes outside the largest class so far meet all the rest. Links found become the final
+components.
 
 A null text, or one without words, has an empty set: it is linked with nothing, n_shingles 0. Fewer words
 than a shingle make the whole sequence one. Repeated documents link like any others, and so do rows with a
@@ -42,6 +43,10 @@ KEEP[9:14] = KEEP[32] = False
 BLOCK = 1024
 BLOCK_GRAMS = 4 << 20
 STRIP = 4096
+#: Parts of a component that all meet each other.
+PAIRED = 8
+#: Rows of nodes that are broadcast at most, to find their texts without a shuffle of all texts.
+BROADCAST_ROWS = 200_000
 #: Sets under one key that are paired; more are tied to one of them.
 FEW = 4
 #: Bytes of text whose n-grams, and whose part keys, a task folds together.
@@ -498,13 +503,14 @@ def _linked(docs: DataFrame, k: int, percent: int, block: int, grams: int) -> tu
     sizes = sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
     spot = sized.join(sizes, "root").withColumn("grid", _parts(F.col("size"), F.col("grams"), block, grams)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
     spot = materialize(spot.select("root", "node", "n", "row", "grid", "mine"), "blocks")
-    # each node's text is taken from one of its rows; places: the blocks it is needed in. Part 0 of a large component
-    # meets each other part, pairs inside a part count once
+    # each node's text is taken from one of its rows; places: the blocks it is needed in. Up to PAIRED parts all meet;
+    # of more, part 0 meets each other part. Pairs inside a part count once
+    pairs = F.expr("transform(sequence(0, grid - 1), j -> struct(concat_ws('/', root, least(mine, j), greatest(mine, j)) as part, if(j = mine, 0, if(mine < j, 1, 2)) as side))")
     meets = F.expr("transform(sequence(1, grid - 1), j -> struct(concat_ws('/', root, j) as part, if(j = 1, 0, 1) as side))")
     own_block = F.expr("array(struct(concat_ws('/', root, mine) as part, 0 as side))")
-    first = spot.withColumn("places", F.when((F.col("grid") > 1) & (F.col("mine") == 0), meets).otherwise(own_block))
+    first = spot.withColumn("places", F.when(F.col("grid") == 1, own_block).when(F.col("grid") <= PAIRED, pairs).when(F.col("mine") == 0, meets).otherwise(own_block))
     links = materialize(_links(_texts(text, first), k, percent, n), "links")
-    big = spot.where("grid > 1")
+    big = spot.where(F.col("grid") > PAIRED)
     if not big.limit(1).count():
         return own, components(links)
     # what isn't in a large component's largest class by now meets all the rest of it
@@ -529,8 +535,9 @@ def _parts(size: Column, grams: Column, block: int, most: int) -> Column:
 
 
 def _texts(text: DataFrame, placed: DataFrame) -> DataFrame:
-    """text, node, places."""
-    return text.select("row", "text").join(placed.select("row", "node", "places"), "row")
+    """text, node, places. ``placed``: of a written table, so that counting it is cheap."""
+    needed = placed.select("row", "node", "places")
+    return text.select("row", "text").join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("merge"), "row")
 
 
 def _grouped(own: DataFrame, roots: DataFrame) -> DataFrame:

@@ -523,8 +523,9 @@ def brute_join(docs, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k,percent,block", [(3, 90, 1024), (3, 90, 8), (5, 80, 1024)])
-def test_ngram_join(spark, k, percent, block):
+@pytest.mark.parametrize("k,percent,block,few", [(3, 90, 1024, 200_000), (3, 90, 4, 0), (5, 80, 16, 200_000)])
+def test_ngram_join(spark, monkeypatch, k, percent, block, few):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", few)
     rng = random.Random(k)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(20, 160))] for _ in range(8)]
     docs = []
