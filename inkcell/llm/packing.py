@@ -127,14 +127,14 @@ class WordEncoder:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    coder = _ENCODERS[path]
+def encode_texts(texts: list[str], path: str, cache: int = CACHE_WORDS) -> list[bytes]:
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = WordEncoder(path, cache)
+    coder = _ENCODERS[path, cache]
     out = coder.encode(texts)
     for i, t in enumerate(texts):
         if any(c in t for c in _ODD):
@@ -156,8 +156,9 @@ def _groups(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[list,
         yield ids, texts
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: PIECES; ``nth`` counts a worker's pieces of that length."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: PIECES; ``nth`` counts a worker's pieces of that length. ``cache``: words that a worker
+    keeps encoded, about 200 bytes each."""
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             for ids, texts in _groups(batch):
                 rows: list[tuple] = []
-                for doc, body in zip(ids, encode_texts(texts, path), strict=True):
+                for doc, body in zip(ids, encode_texts(texts, path, cache), strict=True):
                     body += end
                     n, view = len(body) // 4, memoryview(body)
                     for start, length in cuts(n, capacity):
@@ -207,10 +208,10 @@ def fill_plan(totals: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
     return [(length, first, full, [(a, b, base + i, o) for a, b, i, o in runs[length]]) for length, first, full in out]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, cache: int = CACHE_WORDS) -> DataFrame:
     """Pieces with their sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer_path, capacity, end_id), "packing")
+    cut = materialize(pieces(docs, tokenizer_path, capacity, end_id, cache), "packing")
     counts = cut.groupBy("length", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "worker", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
