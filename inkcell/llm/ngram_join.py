@@ -447,8 +447,14 @@ def _forest(link: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(members: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
-    """(a, b): a spanning forest of the links of each block. ``members``: text, node, places."""
+#: Where a node stands in its component; the blocks that follow from it, many in a large one, are written out only
+#: once its n-grams are at hand.
+SPOT = "struct<root:long,grid:int,mine:int,few:int,turn:int,minor:boolean>"
+
+
+def _links(members: DataFrame, places: Column, k: int, percent: int, partitions: int) -> DataFrame:
+    """(a, b): a spanning forest of the links of each block. ``members``: text, node, spot; ``places``: of a spot,
+    the blocks it takes part in."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -457,7 +463,7 @@ def _links(members: DataFrame, k: int, percent: int, partitions: int) -> DataFra
                 grams, offs = shingle_sets(data, offsets, k)
                 right = [i for i, x in enumerate(piece.column(1).to_pylist()) if x not in seen and not seen.add(x)]  # repeated rows once
                 packed = pa.array([grams[offs[i] : offs[i + 1]].tobytes() for i in right], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(2).take(pa.array(right, pa.int64())), piece.column(1).take(pa.array(right, pa.int64())), packed], names=["places", "node", "grams"])
+                yield pa.RecordBatch.from_arrays([piece.column(2).take(pa.array(right, pa.int64())), piece.column(1).take(pa.array(right, pa.int64())), packed], names=["spot", "node", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, {}
@@ -480,9 +486,8 @@ def _links(members: DataFrame, k: int, percent: int, partitions: int) -> DataFra
         if rows:
             yield solve()
 
-    schema = "places array<struct<part:string,side:int>>, node long, grams binary"
-    made = members.select("text", "node", "places").mapInArrow(sets, schema)
-    dealt = made.select(F.explode("places").alias("p"), "node", "grams").select("p.part", "p.side", "node", "grams")
+    made = members.select("text", "node", "spot").mapInArrow(sets, f"spot {SPOT}, node long, grams binary")
+    dealt = made.select("spot.*", "node", "grams").select(F.explode(places).alias("p"), "node", "grams").select("p.part", "p.side", "node", "grams")
     return dealt.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
 
 
@@ -503,13 +508,13 @@ def _linked(docs: DataFrame, k: int, percent: int, block: int, grams: int) -> tu
     sizes = sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("grams"))
     spot = sized.join(sizes, "root").withColumn("grid", _parts(F.col("size"), F.col("grams"), block, grams)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("grid")).cast("int"))
     spot = materialize(spot.select("root", "node", "n", "row", "grid", "mine"), "blocks")
-    # each node's text is taken from one of its rows; places: the blocks it is needed in. Up to PAIRED parts all meet;
+    # each node's text is taken from one of its rows; the places are the blocks it is needed in. Up to PAIRED parts all meet;
     # of more, part 0 meets each other part. Pairs inside a part count once
     pairs = F.expr("transform(sequence(0, grid - 1), j -> struct(concat_ws('/', root, least(mine, j), greatest(mine, j)) as part, if(j = mine, 0, if(mine < j, 1, 2)) as side))")
     meets = F.expr("transform(sequence(1, grid - 1), j -> struct(concat_ws('/', root, j) as part, if(j = 1, 0, 1) as side))")
     own_block = F.expr("array(struct(concat_ws('/', root, mine) as part, 0 as side))")
-    first = spot.withColumn("places", F.when(F.col("grid") == 1, own_block).when(F.col("grid") <= PAIRED, pairs).when(F.col("mine") == 0, meets).otherwise(own_block))
-    links = materialize(_links(_texts(text, first), k, percent, n), "links")
+    first = F.when(F.col("grid") == 1, own_block).when(F.col("grid") <= PAIRED, pairs).when(F.col("mine") == 0, meets).otherwise(own_block)
+    links = materialize(_links(_texts(text, spot), first, k, percent, n), "links")
     big = spot.where(F.col("grid") > PAIRED)
     if not big.limit(1).count():
         return own, components(links)
@@ -524,8 +529,8 @@ def _linked(docs: DataFrame, k: int, percent: int, block: int, grams: int) -> tu
     among = F.expr("transform(sequence(0, few - 1), j -> struct(concat_ws('/', root, 'minor', least(turn, j), greatest(turn, j)) as part, if(j = turn, 0, if(turn < j, 1, 2)) as side))")
     across = F.expr("transform(sequence(0, grid - 1), j -> struct(concat_ws('/', root, 'rest', turn, j) as part, 1 as side))")
     back = F.expr("transform(sequence(0, few - 1), i -> struct(concat_ws('/', root, 'rest', i, mine) as part, 2 as side))")
-    second = rest.withColumn("places", F.when(F.col("minor"), F.concat(among, across)).otherwise(back))
-    return own, components(links.union(_links(_texts(text, second), k, percent, n)))
+    second = F.when(F.col("minor"), F.concat(among, across)).otherwise(back)
+    return own, components(links.union(_links(_texts(text, materialize(rest, "rest")), second, k, percent, n)))
 
 
 def _parts(size: Column, grams: Column, block: int, most: int) -> Column:
@@ -535,8 +540,10 @@ def _parts(size: Column, grams: Column, block: int, most: int) -> Column:
 
 
 def _texts(text: DataFrame, placed: DataFrame) -> DataFrame:
-    """text, node, places. ``placed``: of a written table, so that counting it is cheap."""
-    needed = placed.select("row", "node", "places")
+    """text, node, spot. ``placed``: a written table, so that counting it is cheap."""
+    have = dict(x.split(":") for x in SPOT[len("struct<") : -1].split(","))
+    spot = F.struct(*(F.col(c).cast(t).alias(c) if c in placed.columns else F.lit(None).cast(t).alias(c) for c, t in have.items()))
+    needed = placed.select("row", "node", spot.alias("spot"))
     return text.select("row", "text").join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("merge"), "row")
 
 
