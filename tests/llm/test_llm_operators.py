@@ -439,6 +439,31 @@ def test_nodes_are_bounded(spark):
     assert langid.train(spark.createDataFrame([], "label string, text string")).labels == []
 
 
+@pytest.mark.parametrize("nodes", [1, 250, 900])
+def test_rare_nodes_count(spark, monkeypatch, nodes):
+    monkeypatch.setattr(langid, "JOINED", 40)
+    order, rng = 3, random.Random(0)
+    texts = [(x, " ".join("".join(rng.choice(y) for _ in range(rng.randint(2, 7))) for _ in range(60))) for x, y in (("xx", "aabcdeé"), ("yy", "abdefgß"), ("zz", "aacfgh")) for _ in range(3)]
+    asked = [t[:90] for _, t in texts] + [*AWKWARD, "abba feed", "zzz", "\x00\x00a", texts[0][1], texts[0][1]]
+    docs = spark.createDataFrame([(min(i, len(asked) - 2), t) for i, t in enumerate(asked)], "doc_id long, text string").repartition(3)  # the last repeats an id
+    taught = spark.createDataFrame(texts, "label string, text string")
+    model = langid.train(taught, order, nodes)
+    assert model.rest is not None
+    got = sorted(langid.identify(docs, model).collect())
+    assert got == sorted(langid.identify(docs, langid.train(taught, order)).collect()) and len(got) == len(asked)
+    grown = {label: collections.defaultdict(collections.Counter) for label, _ in texts}
+    for label, text in texts:
+        padded = bytes(order) + text.encode()
+        for i in range(order, len(padded)):
+            for d in range(order + 1):
+                grown[label][padded[i - d : i]][padded[i]] += 1
+    for r in got:
+        text = (asked[r.doc_id] or "").encode()
+        if r.lang_pred != "und":
+            bits = {label: brute_bits(dict(tree), text, order) for label, tree in grown.items()}
+            assert np.isclose(r.bits_per_byte, bits[r.lang_pred] / len(text), rtol=1e-5) and bits[r.lang_pred] <= min(bits.values()) + 1e-3
+
+
 def test_character_model_is_exact():
     text = "abab aba cab"
     data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
